@@ -6,14 +6,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, media, secrets
-from .common import table
+from . import bpe, exact, media, quality, secrets, toxicity
+from .common import fold, table
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def _predictions(scored: DataFrame, column: str, least: float) -> DataFrame:
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), F.col(column).alias("score"), (F.col(column) >= least).cast("int").alias("predicted"))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return _predictions(quality.score(docs, model), "quality", 0.3)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return coded.select(
@@ -45,7 +55,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_documents(spark, sf_dir)).drop("rid")
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op3_media": op3_media, "op7_secrets": op7_secrets, "op9_exact_dedup": op9_exact_dedup}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return _predictions(toxicity.score(docs, model), "toxicity", 0.5)
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_bpe": op2_bpe, "op3_media": op3_media, "op7_secrets": op7_secrets, "op9_exact_dedup": op9_exact_dedup, "op10_toxicity": op10_toxicity}
 
 ORACLE_SQL = {
     "op9_exact_dedup": r"""
