@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, media, packing, quality, secrets, toxicity
+from . import bpe, exact, media, neardup, packing, quality, secrets, toxicity
 from .common import fold, table
 
 
@@ -47,6 +47,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_documents(spark, sf_dir))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(_documents(spark, sf_dir)).drop("text")
     named = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
@@ -67,7 +71,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predictions(toxicity.score(docs, model), "toxicity", 0.5)
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_bpe": op2_bpe, "op3_media": op3_media, "op4_packing": op4_packing, "op7_secrets": op7_secrets, "op9_exact_dedup": op9_exact_dedup, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_quality": op1_quality, "op2_bpe": op2_bpe, "op3_media": op3_media, "op4_packing": op4_packing, "op5_minhash": op5_minhash, "op7_secrets": op7_secrets, "op9_exact_dedup": op9_exact_dedup, "op10_toxicity": op10_toxicity}
 
 ORACLE_SQL = {
     "op9_exact_dedup": r"""
