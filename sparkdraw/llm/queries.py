@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, media, neardup, packing, quality, secrets, toxicity
+from . import bpe, chat, exact, lm, media, neardup, packing, quality, secrets, toxicity
 from .common import fold, table
 
 
@@ -51,6 +51,21 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_documents(spark, sf_dir))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    fixed = [F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(said).alias("text")) for i, role in enumerate(("user", "assistant"))]
+    more = spark.range(1).select(F.explode(F.array(*fixed)).alias("r")).select("r.*")
+    made = chat.format_trees(chat.linear_trees(rows.unionByName(more), "conv_id", "turn"))
+    turns, loss = chat.read_turns(F.col("formatted")), chat.read_loss(F.col("formatted"), F.col("loss_spans"))
+    read = made.select("tree", "formatted", turns.alias("turns"), loss.alias("loss"))
+    joined = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return read.select(
+        F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(joined.cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(_documents(spark, sf_dir)).drop("text")
     named = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
@@ -61,6 +76,11 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = packing.byte_level_tokenizer(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return lm.stupid_backoff(_documents(spark, sf_dir), tokenizer)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_documents(spark, sf_dir)).drop("rid")
 
@@ -71,9 +91,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predictions(toxicity.score(docs, model), "toxicity", 0.5)
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_bpe": op2_bpe, "op3_media": op3_media, "op4_packing": op4_packing, "op5_minhash": op5_minhash, "op7_secrets": op7_secrets, "op9_exact_dedup": op9_exact_dedup, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_quality": op1_quality, "op2_bpe": op2_bpe, "op3_media": op3_media, "op4_packing": op4_packing, "op5_minhash": op5_minhash, "op6_chat": op6_chat, "op7_secrets": op7_secrets, "op8_lm_scoring": op8_lm_scoring, "op9_exact_dedup": op9_exact_dedup, "op10_toxicity": op10_toxicity}
+
+_ESCAPED = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '\"', '&quot;')"
 
 ORACLE_SQL = {
+    "op6_chat": rf"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+                     coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '') AS learned,
+                     CAST(sum(24 + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")})) AS BIGINT) AS formatted_chars
+              FROM t GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars FROM g""",
     "op9_exact_dedup": r"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS full_text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare FROM documents)
         SELECT doc_id, first_value(doc_id) OVER (PARTITION BY bare ORDER BY length(full_text) DESC, doc_id) AS keep_id,
