@@ -10,7 +10,8 @@ several components are worked through exactly: their members outside the bucket'
 are compared with all members of other components.
 
 A pair at the threshold shares no bucket with probability (1 - 0.75**4)**32, about 5 in a million, and
-is put aside by its sketch about as rarely. Null texts and texts without words have an empty set and
+is put aside by its sketch with one of 2 in ten thousand; at 0.8 both are below one in a million, and
+only links that hold two components together on their own matter. Null texts and texts without words have an empty set and
 link with nothing. A component's id is its smallest document id, null only if all are null.
 """
 
@@ -30,11 +31,11 @@ from .common import pieces, staged
 from .components import connected_components
 
 SHINGLE = 5
-BINS, BANDS, ROWS = 256, 32, 4
+BINS, BANDS, ROWS = 512, 32, 4
 #: Links have 100 * intersection >= SHARE * union.
 SHARE = 75
-#: Least number of equal two-bit cells, of BINS, for a pair to be worth confirming: 4.5 standard deviations below the mean at the threshold.
-ALIKE = 180
+#: Least number of equal two-bit cells, of BINS, for a pair to be worth confirming: 3.5 standard deviations below the mean at the threshold.
+ALIKE = 385
 #: Odd multipliers of 64 bits: the golden ratio's, and the mixing constants of splitmix64.
 _GOLD, _MIX1, _MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 _POWERS = np.array([pow(_GOLD, i + 1, 1 << 64) for i in range(SHINGLE)], np.uint64)
@@ -87,7 +88,9 @@ def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     filled = starts[:-1] < starts[1:]
     values = hashes[np.minimum(starts[:-1], len(hashes) - 1)]
     if not filled.all():
-        values = np.where(filled, values, values[_ORDERS[np.arange(BINS), filled[_ORDERS].argmax(axis=1)]])
+        empty = np.flatnonzero(~filled)
+        orders = _ORDERS[empty]
+        values[empty] = values[orders[np.arange(len(empty)), filled[orders].argmax(axis=1)]]
     rows = values[: BANDS * ROWS].reshape(BANDS, ROWS)
     keys = np.arange(BANDS, dtype=np.uint64) * np.uint64(_GOLD)
     for i in range(ROWS):
@@ -210,11 +213,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     placed = members.join(labels, members.m.node == labels.node, "left").select("band", "m", F.coalesce("label", "m.node").alias("part"))
     parts = placed.groupBy("band", "part").agg(F.count("*").alias("k"))
     mixed = parts.groupBy("band").agg(F.max(F.struct("k", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = staged(placed.join(mixed, "band").select("band", "m", "part", F.col("main.part").alias("main")), "open")
-    outside = open_.where("part <> main").select("band", F.col("m").alias("x"), F.col("part").alias("px"))
-    others = open_.select("band", F.col("m").alias("y"), F.col("part").alias("py"))
-    # Of two members outside the largest component, one order is enough; the struct comparison gives it.
-    more = outside.join(others, "band").where((F.col("px") != F.col("py")) & _plausible("x", "y"))
+    open_ = placed.join(mixed, "band").select("band", "m", "part", F.col("main.part").alias("main"))
+    open_ = staged(open_.join(classes.select("node", "bands"), open_.m.node == classes.node).select("band", "m", "part", "main", "bands"), "open")
+    outside = open_.where("part <> main").select("band", F.col("m").alias("x"), F.col("part").alias("px"), F.col("bands").alias("bx"))
+    others = open_.select("band", F.col("m").alias("y"), F.col("part").alias("py"), F.col("bands").alias("by"))
+    # A pair comes from the first bucket that both are in, not from each.
+    shared = F.filter(F.zip_with("bx", "by", lambda a, b: F.when(a == b, a)), lambda v: v.isNotNull())
+    more = outside.join(others, "band").where((F.col("px") != F.col("py")) & _plausible("x", "y") & (F.get(shared, F.lit(0)) == F.col("band")))
     more = more.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     more = staged(more.join(edges, ["a", "b"], "left_anti"), "edges")
     if not more.isEmpty():
