@@ -100,7 +100,7 @@ class Corpus:
 
     @cached_property
     def entities(self) -> DataFrame:
-        return self._shelf.put(decode.decode(self.records), "entities")
+        return self._shelf.put(decode.decode(self.records, decode.present_types(self.records)), "entities")
 
     @cached_property
     def located(self) -> DataFrame:

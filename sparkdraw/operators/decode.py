@@ -373,33 +373,50 @@ DECODERS = {
 }
 
 
-_built: dict[object, dict[str, Column]] = {}
+#: Record types with a decoder, and the variant column of each kind.
+KNOWN = frozenset(t for types in KINDS.values() for t in types)
+VARIANT = {kind: "arc" if kind == "fillet" else kind for kind in KINDS}
+_built: dict[object, dict] = {}
 
 
-def _columns() -> dict[str, Column]:
-    """The decoding expressions; they depend on names alone, so one set serves every corpus of a session."""
+def _session_cache() -> dict:
+    """Expressions and types of decoded columns; they depend on names alone, so one set serves a whole session."""
     context = SparkContext._active_spark_context
     if context not in _built:
         _built.clear()
-        made = {"start0": content_start(), "graphic": graphic_header()} | {name: build() for name, build in DECODERS.items()}
-        kind = F.when(F.lit(False), "")
-        for name, types in KINDS.items():
-            kind = kind.when(TYPE.isin(*types) & F.col("arc" if name == "fillet" else name).isNotNull(), name)
-        _built[context] = made | {"kind": kind.otherwise("unsupported")}
+        _built[context] = {"start0": content_start(), "graphic": graphic_header(), "types": None} | {name: build() for name, build in DECODERS.items()}
     return _built[context]
 
 
-def decode(records: DataFrame) -> DataFrame:
-    """Records with a valid id as entities: kind, graphic style, and one nullable struct a variant."""
-    made = _columns()
+def _variants(records: DataFrame, names: list[str], made: dict) -> DataFrame:
     base = records.where(F.col("entity_id").isNotNull()).withColumn("start0", made["start0"])
-    base = base.withColumn("start", F.when(TYPE == "TEX", (F.col("start0") / 2).cast("int")).otherwise(F.col("start0")))
-    base = base.withColumn("graphic", made["graphic"]).withColumns({name: made[name] for name in DECODERS})
-    out = base.withColumn("kind", made["kind"])
-    known = [t for types in KINDS.values() for t in types]
+    start = F.when(TYPE == "TEX", (F.col("start0") / 2).cast("int")).otherwise(F.col("start0"))
+    return base.withColumn("start", start).withColumn("graphic", made["graphic"]).withColumns({name: made[name] for name in names})
+
+
+def present_types(records: DataFrame) -> set[str]:
+    """Which of the known record types occur; reads one column."""
+    return {r[0] for r in records.where(F.col("record_type").isin(*KNOWN)).select("record_type").distinct().collect()}
+
+
+def decode(records: DataFrame, present: set[str] | None = None) -> DataFrame:
+    """Records with a valid id as entities: kind, graphic style, and one nullable struct a variant.
+
+    With ``present``, only the decoders of those record types are planned; other variants are null.
+    """
+    made = _session_cache()
+    if made["types"] is None:
+        made["types"] = {f.name: f.dataType for f in _variants(records, list(DECODERS), made).schema}
+    kinds = [k for k, types in KINDS.items() if present is None or present & set(types)]
+    used = [n for n in DECODERS if n in {VARIANT[k] for k in kinds}]
+    out = _variants(records, used, made).withColumns({n: F.lit(None).cast(made["types"][n]) for n in DECODERS if n not in used})
+    kind = F.when(F.lit(False), "")
+    for name in kinds:
+        kind = kind.when(TYPE.isin(*KINDS[name]) & F.col(VARIANT[name]).isNotNull(), name)
+    out = out.withColumn("kind", kind.otherwise("unsupported"))
     return out.select(
         "drawing_id", "entity_index", "entity_id", F.col("record_type").alias("mi_type"), "kind", "record_index", "section_number", "part_index", (F.col("entity_index") == F.col("first_index")).alias("is_first"), "first_index",
-        F.col("kind").isin(*GRAPHIC_KINDS).alias("is_graphic"), F.col("kind").isin(*ANNOTATION_KINDS).alias("is_annotation"), F.col("record_type").isin(*known).alias("known_type"),
+        F.col("kind").isin(*GRAPHIC_KINDS).alias("is_graphic"), F.col("kind").isin(*ANNOTATION_KINDS).alias("is_annotation"), F.col("record_type").isin(*KNOWN).alias("known_type"),
         F.struct("offset", F.col("payload_length").alias("length"), "start_line", F.col("payload_end_line").alias("end_line")).alias("payload_span"),
         F.when(F.col("kind") != "unsupported", F.col("graphic")).alias("graphic"), *DECODERS, "fields", "bad_fields", "type_line",
     )
