@@ -119,7 +119,8 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rows = rows.unionByName(more)
     rows = rows.select("rid", "blocks", "name", "info.*")
     best = F.struct((-F.col("n_chars")).alias("c"), F.col("doc_id").isNull().alias("u"), F.col("doc_id").alias("d"), F.col("rid").alias("r"))
-    groups = rows.groupBy("blocks", "name").agg(F.min(best).alias("best"), F.count("*").alias("group_size"))
+    # Written out, so that the join below has a plain exchange on both sides and a hot group can be split.
+    groups = staged(rows.groupBy("blocks", "name").agg(F.min(best).alias("best"), F.count("*").alias("group_size")), "groups")
     return rows.join(groups, ["blocks", "name"]).select(
         "doc_id", F.col("best.d").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.r")).alias("kept"), F.col("sha").alias("text_sha256"), "rid"
     )
