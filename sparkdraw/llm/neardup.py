@@ -231,7 +231,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             labels = connected_components(links.unionByName(found))
 
     marked = rows.select("doc_id", "n_shingles", "node").join(labels, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("label", "node").alias("label"))
-    least = marked.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
+    # Written out, so that the join below has a plain exchange on both sides and a hot component can be split.
+    least = staged(marked.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least")), "least")
     out = marked.join(least, "label", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
