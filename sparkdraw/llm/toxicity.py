@@ -1,8 +1,8 @@
 """Toxic passages by maximum-scoring segments.
 
-Learning: words and their beginnings are counted in toxic and other documents; a chain of Dirichlet
-priors (base rate, beginnings from short to long, the word) gives each word a log-odds of standing in
-a toxic document. Scanning: a linear pass finds the segments of a text whose summed log-odds, less a
+Learning: the distinct words of toxic and other documents are counted, whole and by their beginnings;
+a chain of Dirichlet priors (base rate, beginnings from short to long, the word) gives each word a
+log-odds of standing in a toxic document. Scanning: a linear pass finds the segments of a text whose summed log-odds, less a
 small cost per word, cannot be raised by lengthening or shortening. Calibration: chance scores follow
 an extreme-value law whose scale solves sum p exp(lambda w) = 1 over the words of clean documents and
 whose constant is fitted to their best scores; a logistic curve over that log p-value and the sum of
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, with_arrow
+from .common import pieces, staged, with_arrow
 from .labelled import SAMPLE, training_rows
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -34,9 +34,9 @@ WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6)
 #: Weight of the prior at each step of the chain, cost of a word, and bounds of a weight.
 PRIOR, COST, MOST = 2.0, 0.02, 6.0
-#: A feature needs so many documents, and a log-odds that differs from the one above it in the chain by
+#: A feature needs so many words, and a log-odds that differs from the one above it in the chain by
 #: so many standard deviations; a weight under FLAT counts as none.
-SEEN, CLEAR, FLAT = 3, 3.0, 0.75
+SEEN, CLEAR, FLAT = 3, 3.0, 2.0
 #: A segment is significant if chance has one as good with less than this probability.
 SIGNIFICANT = 0.01
 
@@ -135,7 +135,7 @@ def evidence(text: str, model: ToxicModel, memo: Memo) -> tuple[float, float, li
 
 
 def _count(rows: DataFrame) -> DataFrame:
-    """(feature, toxic0, seen0, toxic1, seen1): documents of either half of the sample that have the feature."""
+    """(feature, toxic0, seen0, toxic1, seen1): distinct words with the feature, summed over the documents of each half; all words have ""."""
     names = ["toxic0", "seen0", "toxic1", "seen1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +143,7 @@ def _count(rows: DataFrame) -> DataFrame:
             for part in pieces(batch, "text"):
                 counts = [Counter() for _ in names]
                 for text, label, half in zip(*[part.column(c).to_pylist() for c in ("text", "label", "half")], strict=True):
-                    keys = {k for w in set(WORD.findall(text.lower())) for k in keys_of(w)}
+                    keys = Counter(k for w in set(WORD.findall(text.lower())) for k in ("", *keys_of(w)))
                     counts[2 * half + 1].update(keys)
                     if label:
                         counts[2 * half].update(keys)
@@ -176,10 +176,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     n, positive = (sum(x[i] for x in sizes.values()) for i in (0, 1))
     if not n or not positive or positive == n:
         return model
-    model.rate = positive / n
+    counts = staged(_count(rows), "features")
+    total = counts.where("feature = ''").first()
+    if total is None or not 0 < total["toxic0"] + total["toxic1"] < total["seen0"] + total["seen1"]:
+        return model
+    model.rate = (total["toxic0"] + total["toxic1"]) / (total["seen0"] + total["seen1"])
     other = [ToxicModel(rate=model.rate), ToxicModel(rate=model.rate)]
     toxic, seen = F.col("toxic0") + F.col("toxic1"), F.col("seen0") + F.col("seen1")
-    for r in _count(rows).where((seen >= SEEN) & (toxic >= 2) & (toxic > 2.0 * model.rate * seen)).toLocalIterator():
+    for r in counts.where((F.col("feature") != "") & (seen >= SEEN) & (toxic >= 2) & (toxic > 2.0 * model.rate * seen)).toLocalIterator():
         model.odds[r["feature"]] = (r["toxic0"] + r["toxic1"], r["seen0"] + r["seen1"])
         for h in (0, 1):
             if r[f"seen{h}"] >= SEEN:
