@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -14,27 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import shared_dir
+
 #: Most UTF-8 bytes of text that one call of a batch function gets, unless one row alone has more.
 CHUNK_BYTES = 8 << 20
 #: The share of documents held out of every training set is 1 / FOLDS.
 FOLDS = 5
 
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only on a local master without the setting."""
-    conf = spark.sparkContext.getConf()
-    if found := conf.get("spark.checkpoint.dir"):
-        return found.rstrip("/")
-    if not conf.get("spark.master", "").startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="sparkdraw-"))
-        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-    return _own[0]
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and lost executors cost no rerun."""
     spark = df.sparkSession

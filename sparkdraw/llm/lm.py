@@ -95,7 +95,8 @@ def scores(counts: DataFrame, order: int, cutoff: int) -> DataFrame:
     """
     if order == 1:
         tokens = counts.where(F.col("gram") != START)
-        return tokens.crossJoin(F.broadcast(tokens.agg(F.sum("n").alias("total")))).select("gram", (F.col("n") / F.col("total")).alias("score"))
+        total = tokens.agg(F.sum("n")).first()[0] or 1
+        return tokens.select("gram", (F.col("n") / total).alias("score"))
     small = F.broadcast if order == 2 else (lambda df: df)
     contexts = counts.groupBy(F.shiftright("gram", 16).alias("context")).agg(F.sum("n").alias("above"))
     shorter = counts.groupBy(F.col("gram").bitwiseAND((1 << 16 * (order - 1)) - 1).alias("suffix")).agg(F.sum("n").alias("n"))
