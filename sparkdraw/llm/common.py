@@ -18,6 +18,7 @@ CHUNK_BYTES = 8 << 20
 #: The share of documents held out of every training set is 1 / FOLDS.
 FOLDS = 5
 
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and lost executors cost no rerun."""
     spark = df.sparkSession

@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
-from test_operators import by_brute_force, component_of, library
+from test_operators import awkward, by_brute_force, component_of, library
 
 from sparkdraw.llm import secrets
 from sparkdraw.llm.queries import ORACLE_SQL, QUERIES
@@ -142,3 +142,19 @@ def test_pipeline(spark, texts):
         docs, kept = rows, got
     check_packing(corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect(), kept)
     assert corpus_pipeline.run(spark, DATA).count() == corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count()
+
+
+@pytest.mark.parametrize("some", [True, False])
+def test_pipeline_stages_on_awkward_rows(spark, some):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing columns, and no rows at all."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    docs = awkward(spark).withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s"), "n_chars": F.lit(None).cast("long")})
+    docs = docs if some else docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        made = corpus_pipeline.staged(stage(spark, docs, DATA), name)
+        assert made.columns == docs.columns and [f.dataType for f in made.schema] == [f.dataType for f in docs.schema]
+        assert (made.count() > 0) == some
+        docs = made
+    assert (corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() > 0) == some
