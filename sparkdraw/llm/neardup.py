@@ -198,7 +198,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         """Sets of the classes in nodes, from the text of one document of each class."""
-        named = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("lead"))
+        # Aggregated before it is dealt out: a class can hold a third of all rows.
+        leads = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("lead"))
+        named = leads.join(nodes, "node", "left_semi")
         text = docs.join(named, docs.doc_id.eqNullSafe(named.lead)).select("node", "text")
         return staged(_sets(text), "sets")
 
