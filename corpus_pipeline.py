@@ -20,7 +20,11 @@ TOXIC = 0.5
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less likely than not to be toxic, with all their columns."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row__"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    if not {"toxicity", "passages"} & {c.lower() for c in docs.columns}:
+        return toxicity.score(docs, model).where(F.col("toxicity") < TOXIC).select(*names)
+    # Columns with a result's name would be replaced, so they wait in a struct.
+    rows = docs.select("text", F.struct(*names).alias("row__"))
     return toxicity.score(rows, model).where(F.col("toxicity") < TOXIC).select("row__.*")
 
 

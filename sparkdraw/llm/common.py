@@ -15,19 +15,30 @@ from ..storage import shared_dir
 
 #: Most UTF-8 bytes of text that one call of a batch function gets, unless one row alone has more.
 CHUNK_BYTES = 8 << 20
+#: Most rows of an Arrow batch.
+ARROW_ROWS = 2000
 #: The share of documents held out of every training set is 1 / FOLDS.
 FOLDS = 5
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to ARROW_ROWS rows in this session, as rows are whole documents."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and lost executors cost no rerun."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -60,6 +71,7 @@ def with_arrow(
     One narrow pass, no shuffle. Columns of df with a new field's name are replaced.
     ``function`` gets the texts of a bounded piece and returns one Arrow array per field.
     """
+    bounded_batches(df.sparkSession)
     names = {f.name.lower() for f in fields}
     kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in names or c == column])
     clash = column.lower() in names

@@ -170,7 +170,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> ToxicModel:
     """Learn from at most ``sample`` labelled rows; the driver gets counts, and three numbers a row."""
     half = (F.crc32(F.concat(F.lit("half "), F.col("doc_id").cast("string")).cast("binary")) % 2).cast("int")
-    rows = training_rows(docs, labels, label, sample).withColumn("half", half)
+    rows = staged(training_rows(docs, labels, label, sample).withColumn("half", half), "sample")
     model = ToxicModel()
     sizes = {r["half"]: (r["n"], r["p"]) for r in rows.groupBy("half").agg(F.count("*").alias("n"), F.sum("label").alias("p")).collect()}
     n, positive = (sum(x[i] for x in sizes.values()) for i in (0, 1))
