@@ -9,9 +9,11 @@ threshold are confirmed on the full sets, and confirmed links give components. B
 several components are worked through exactly: their members outside the bucket's largest component
 are compared with all members of other components.
 
-A pair at the threshold shares no bucket with probability (1 - 0.75**4)**32, about 5 in a million, and
-is put aside by its sketch with one of 2 in ten thousand; at 0.8 both are below one in a million, and
-only links that hold two components together on their own matter. Null texts and texts without words have an empty set and
+A pair at the threshold shares no bucket with probability (1 - 0.75**4)**32, about 5 in a million. Of
+those that share one, sketches put aside no pair at the threshold while a set has under LARGE shingles;
+larger pairs fail with one of less than one in a million, as unequal cells are spread no wider than a
+binomial count. At 0.8 both are rarer still, and only links that hold two components together on their
+own matter. Null texts and texts without words have an empty set and
 link with nothing. A component's id is its smallest document id, null only if all are null.
 """
 
@@ -34,8 +36,8 @@ SHINGLE = 5
 BINS, BANDS, ROWS = 512, 32, 4
 #: Links have 100 * intersection >= SHARE * union.
 SHARE = 75
-#: Least number of equal two-bit cells, of BINS, for a pair to be worth confirming: 3.5 standard deviations below the mean at the threshold.
-ALIKE = 385
+#: Sets of LARGE shingles and more are also put aside above so many unequal cells, over five standard deviations above the mean at the threshold.
+LARGE, UNLIKE = 2 * BINS, 140
 #: Odd multipliers of 64 bits: the golden ratio's, and the mixing constants of splitmix64.
 _GOLD, _MIX1, _MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 _POWERS = np.array([pow(_GOLD, i + 1, 1 << 64) for i in range(SHINGLE)], np.uint64)
@@ -83,10 +85,11 @@ _SHIFT = np.uint64(64 - BINS.bit_length() + 1)
 
 
 def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys and packed two-bit cells of a non-empty set."""
+    """Band keys and packed two-bit cells of a non-empty set; an empty bin's cell is 0."""
     starts = np.searchsorted(hashes >> _SHIFT, np.arange(BINS + 1, dtype=np.uint64))
     filled = starts[:-1] < starts[1:]
     values = hashes[np.minimum(starts[:-1], len(hashes) - 1)]
+    states = np.where(filled, values % np.uint64(3) + np.uint64(1), np.uint64(0))
     if not filled.all():
         empty = np.flatnonzero(~filled)
         orders = _ORDERS[empty]
@@ -95,7 +98,7 @@ def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys = np.arange(BANDS, dtype=np.uint64) * np.uint64(_GOLD)
     for i in range(ROWS):
         keys = _mix(keys ^ rows[:, i]) + np.uint64(_GOLD)
-    cells = (values & np.uint64(3)).reshape(-1, 32) << np.arange(0, 64, 2, dtype=np.uint64)
+    cells = states.reshape(-1, 32) << np.arange(0, 64, 2, dtype=np.uint64)
     return keys.view(np.int64), cells.sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
@@ -144,18 +147,24 @@ def _sets(df: DataFrame) -> DataFrame:
 
 
 def _plausible(x: str, y: str) -> F.Column:
-    """Whether sizes and sketches of two structs let a pair reach the threshold."""
+    """Whether sizes and sketches of two structs let a pair reach the threshold.
+
+    Bins with unequal cells hold a shingle each that only one set has, and a pair at the threshold has
+    at most (1 - t) / (1 + t) of its sizes' sum of those: this test loses no pair, whatever the sizes.
+    """
     sizes = (F.col(f"{x}.n") * 100 >= F.col(f"{y}.n") * SHARE) & (F.col(f"{y}.n") * 100 >= F.col(f"{x}.n") * SHARE)
-    return sizes & (_equal_cells(x, y) >= ALIKE)
+    unequal = _unequal_cells(x, y)
+    possible = unequal * (100 + SHARE) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (100 - SHARE)
+    return sizes & possible & ((F.least(f"{x}.n", f"{y}.n") < LARGE) | (unequal <= UNLIKE))
 
 
-def _equal_cells(x: str, y: str) -> F.Column:
+def _unequal_cells(x: str, y: str) -> F.Column:
     odd = F.lit(0x5555555555555555)
     unequal = F.lit(0)
     for s in _SIGS:
         diff = F.col(f"{x}.{s}").bitwiseXOR(F.col(f"{y}.{s}"))
         unequal = unequal + F.bit_count(diff.bitwiseOR(F.shiftrightunsigned(diff, 1)).bitwiseAND(odd))
-    return F.lit(BINS) - unequal
+    return unequal
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -193,7 +202,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Stars: each member's best centre, one edge a member.
     centres = members.groupBy("band").agg(F.max("m").alias("c"))
     stars = members.join(centres, "band").where((F.col("m.node") != F.col("c.node")) & _plausible("m", "c"))
-    stars = stars.groupBy(F.col("m.node").alias("node")).agg(F.max(F.struct(_equal_cells("m", "c").alias("cells"), F.col("c.met").alias("met"), F.col("c.node").alias("node"))).alias("best"))
+    stars = stars.groupBy(F.col("m.node").alias("node")).agg(F.max(F.struct((-_unequal_cells("m", "c")).alias("cells"), F.col("c.met").alias("met"), F.col("c.node").alias("node"))).alias("best"))
     edges = staged(stars.select(F.least("node", "best.node").alias("a"), F.greatest("node", "best.node").alias("b")).distinct(), "edges")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
