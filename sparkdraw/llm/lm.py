@@ -39,6 +39,8 @@ def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 def ngrams(ids: np.ndarray, order: int) -> np.ndarray:
     """Each position's n-gram, 16 bits a token, the last token lowest."""
+    if len(ids) and not 0 <= ids.min() <= ids.max() < START:
+        raise ValueError(f"token ids must be below {START}")
     padded = np.concatenate((np.full(order - 1, START, np.int64), ids.astype(np.int64)))
     out = np.zeros(len(ids), np.int64)
     for i in range(order):
@@ -62,7 +64,7 @@ def _lists(df: DataFrame, tokenizer: Callable, order: int) -> DataFrame:
                 sizes = np.array([len(x) for x in tokens])
                 grams = np.concatenate([ngrams(x, order) for x in tokens])
                 docs = np.repeat(np.arange(len(tokens), dtype=np.uint16), sizes)
-                by = np.lexsort((docs, grams)) if order > 2 else np.argsort(grams << 16 | docs)
+                by = np.argsort(grams.view(np.uint64) << np.uint64(16) | docs)  # three tokens and a document fill 64 bits
                 grams, docs = grams[by], docs[by]
                 fresh = np.flatnonzero(np.concatenate(([True], (grams[1:] != grams[:-1]) | (docs[1:] != docs[:-1])))) if len(grams) else np.zeros(0, np.int64)
                 times = np.diff(np.append(fresh, len(grams)))
@@ -106,7 +108,7 @@ def scores(counts: DataFrame, order: int, cutoff: int) -> DataFrame:
     return wide.select("gram", F.when(F.col("n") >= cutoff, F.col("n") / F.col("above")).otherwise(BACKOFF * F.col("lower")).alias("score"))
 
 
-def stupid_backoff(df: DataFrame, tokenizer: Callable, order: int = 2, cutoff: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def stupid_backoff(df: DataFrame, tokenizer: Callable, order: int = 3, cutoff: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_tokens, log_score (natural log), perplexity. Orders 1 to 3."""
     if not 1 <= order <= 3:
         raise ValueError("order must be 1, 2 or 3")
