@@ -2,12 +2,13 @@
 
 Learning: the distinct words of toxic and other documents are counted, whole and by their beginnings;
 a chain of Dirichlet priors (base rate, beginnings from short to long, the word) gives each word a
-log-odds of standing in a toxic document. Scanning: a linear pass finds the segments of a text whose summed log-odds, less a
+log-odds of standing in a toxic document, of either sign. Scanning: a linear pass finds the segments of a text whose summed log-odds, less a
 small cost per word, cannot be raised by lengthening or shortening. Calibration: chance scores follow
 an extreme-value law whose scale solves sum p exp(lambda w) = 1 over the words of clean documents and
 whose constant is fitted to their best scores; a logistic curve over that log p-value and the sum of
 significant segments gives the probability. The sample is halved: the curve and the law come from
-texts of one half under the words of the other, the final words from both.
+texts of one half under the words of the other, the final words from both. The same texts choose below
+which size log-odds are left out, by the loss of the curve.
 
 Null and empty texts have no words and the probability of a text without a significant segment.
 """
@@ -35,8 +36,9 @@ BEGINNINGS = (4, 5, 6)
 #: Weight of the prior at each step of the chain, cost of a word, and bounds of a weight.
 PRIOR, COST, MOST = 2.0, 0.02, 6.0
 #: A feature needs so many words, and a log-odds that differs from the one above it in the chain by
-#: so many standard deviations; a weight under FLAT counts as none.
-SEEN, CLEAR, FLAT = 3, 3.0, 2.0
+#: so many standard deviations; weights up to the one of FLATS that suits the sample best, of either
+#: sign, count as none.
+SEEN, CLEAR, FLATS = 3, 3.0, (0.0, 1.0, 2.0)
 #: A segment is significant if chance has one as good with less than this probability.
 SIGNIFICANT = 0.01
 
@@ -46,6 +48,11 @@ def keys_of(word: str) -> list[str]:
     return [f"{word[:n]}*" for n in BEGINNINGS if len(word) >= n] + [word]
 
 
+def _deviance(toxic: int, seen: int, q: float) -> float:
+    """Twice the log of the likelihood ratio between the share seen and q: the square of a number of standard deviations, also where a count is 0."""
+    return 2 * sum(n * math.log(n / (seen * p)) for n, p in ((toxic, q), (seen - toxic, 1 - q)) if n)
+
+
 @dataclass
 class ToxicModel:
     rate: float = 0.5
@@ -53,16 +60,16 @@ class ToxicModel:
     scale: float = 1.0
     constant: float = 1.0
     curve: tuple[float, ...] = (-3.0, 0.0, 0.0)
+    flat: float = 0.0
 
     def weight(self, word: str) -> float:
         q = self.rate
         for key in keys_of(word):
             if (seen := self.odds.get(key)) is not None:
-                a, b = seen[0] + PRIOR * q, seen[1] - seen[0] + PRIOR * (1 - q)
-                if abs(math.log(a / b) - math.log(q / (1 - q))) > CLEAR * math.sqrt(1 / a + 1 / b):
-                    q = a / (a + b)
+                if _deviance(*seen, q) > CLEAR**2:
+                    q = (seen[0] + PRIOR * q) / (seen[1] + PRIOR)
         w = math.log(q / (1 - q)) - math.log(self.rate / (1 - self.rate))
-        return min(w, MOST) if w > FLAT else 0.0
+        return max(-MOST, min(w, MOST)) if abs(w) > self.flat else 0.0
 
     def log_p(self, score: float, words: int) -> float:
         """Log of the probability that chance alone scores as high in so many words."""
@@ -95,7 +102,7 @@ def weights_of(text: str, memo: Memo) -> np.ndarray:
 def segments(weights: np.ndarray, cost: float = COST) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first word, end, score), in order, in time linear in the words.
 
-    Words of no weight only cost, so the scan visits the others; each candidate keeps the sum before
+    Words of no or negative weight only cost, so the scan visits the others; each candidate keeps the sum before
     it and the sum after it, and joins with an earlier one that starts lower and ends lower.
     """
     at = np.flatnonzero(weights > cost)
@@ -182,51 +189,68 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
         return model
     model.rate = (total["toxic0"] + total["toxic1"]) / (total["seen0"] + total["seen1"])
     other = [ToxicModel(rate=model.rate), ToxicModel(rate=model.rate)]
-    toxic, seen = F.col("toxic0") + F.col("toxic1"), F.col("seen0") + F.col("seen1")
-    for r in counts.where((F.col("feature") != "") & (seen >= SEEN) & (toxic >= 2) & (toxic > 2.0 * model.rate * seen)).toLocalIterator():
+    for r in counts.where((F.col("feature") != "") & (F.col("seen0") + F.col("seen1") >= SEEN)).toLocalIterator():
         model.odds[r["feature"]] = (r["toxic0"] + r["toxic1"], r["seen0"] + r["seen1"])
         for h in (0, 1):
             if r[f"seen{h}"] >= SEEN:
                 other[1 - h].odds[r["feature"]] = (r[f"toxic{h}"], r[f"seen{h}"])
 
+    best = math.inf
+    for flat in FLATS:
+        found = _measured(rows, other, flat)
+        clean = [r for r in found if not r["label"]]
+        if not clean or len(clean) == len(found):
+            return model
+        tried = ToxicModel(model.rate, model.odds, flat=flat)
+        _extremes(tried, found, clean)
+        x, y = [], []
+        for r in found:
+            log_p = tried.log_p(r["best"], r["words"])
+            total = sum(s for s in r["scores"] if tried.log_p(s, r["words"]) < math.log(SIGNIFICANT))
+            x.append((1.0, math.log1p(-log_p), math.log1p(total)))
+            y.append(r["label"])
+        x, y = np.array(x), np.array(y, float)
+        curve = _logistic(x, y)
+        tried.curve = tuple(curve.tolist())
+        loss = float(np.logaddexp(0, np.where(y > 0, -1, 1) * np.clip(x @ curve, -30, 30)).mean())
+        if loss < best:
+            best, chosen = loss, tried
+    return chosen
+
+
+def _measured(rows: DataFrame, other: list[ToxicModel], flat: float) -> list:
+    """Each row's scores under the words of the other half; clean rows' weights are counted by batch, in one of its rows."""
+    models = [ToxicModel(m.rate, m.odds, flat=flat) for m in other]
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                memos, out = [Memo(m) for m in other], []
+                memos, out, heavy = [Memo(m) for m in models], [], Counter()
                 for doc_id, text, y, h in zip(*[part.column(c).to_pylist() for c in ("doc_id", "text", "label", "half")], strict=True):
                     w = weights_of(text, memos[h])
-                    heavy = Counter(np.round(w[w > 0], 1).tolist()) if not y else {}
-                    out.append((str(doc_id), best_score(w), len(w), y, list(heavy), list(heavy.values()), [s[2] for s in segments(w)]))
-                cols = list(zip(*out, strict=True))
+                    if not y:
+                        heavy.update(np.round(w[w != 0], 1).tolist())
+                    out.append([str(doc_id), best_score(w), len(w), y, [], [], [s[2] for s in segments(w)]])
+                if out:
+                    out[-1][4:6] = list(heavy), list(heavy.values())
+                cols = list(zip(*out, strict=True)) or [[]] * 7
                 kinds = [pa.string(), pa.float64(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.float64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id", "best", "words", "label", "heavy", "times", "scores"])
 
     found = rows.mapInArrow(measure, "id string, best double, words long, label int, heavy array<double>, times array<long>, scores array<double>").collect()
-    found.sort(key=lambda r: r["id"])
-    clean = [r for r in found if not r["label"]]
-    if not clean or len(clean) == len(found):
-        return model
-    _extremes(model, clean)
-    x, y = [], []
-    for r in found:
-        log_p = model.log_p(r["best"], r["words"])
-        total = sum(s for s in r["scores"] if model.log_p(s, r["words"]) < math.log(SIGNIFICANT))
-        x.append((1.0, math.log1p(-log_p), math.log1p(total)))
-        y.append(r["label"])
-    model.curve = tuple(_logistic(np.array(x), np.array(y, float)).tolist())
-    return model
+    return sorted(found, key=lambda r: r["id"])
 
 
-def _extremes(model: ToxicModel, clean: list) -> None:
+def _extremes(model: ToxicModel, found: list, clean: list) -> None:
     """Scale from the law of the weights, constant from the best scores of clean documents."""
     counts: Counter[float] = Counter()
     words = sum(r["words"] for r in clean)
-    for r in clean:
+    for r in found:
         counts.update(dict(zip(r["heavy"], r["times"], strict=True)))
     if not words or not counts:
         return
-    w = np.array(list(counts), float)
-    p = np.array(list(counts.values()), float) / words
+    w = np.array(sorted(counts), float)
+    p = np.array([counts[v] for v in sorted(counts)], float) / words
     rest = 1 - p.sum()
     excess = lambda t: rest * math.exp(-t * COST) + float((p * np.exp(t * (w - COST))).sum()) - 1
     low, high = 1e-4, 20.0
