@@ -1,17 +1,22 @@
 """Secret scans: fixed patterns, and a battery of randomness tests over unlabelled strings.
 
 A candidate is a long run of encoding characters. Its encoding is inferred from the characters it
-has; chi-squared uniformity, runs above and below the middle, and serial correlation must all fit a
-uniform source over that encoding. What remains is weighed against written language: the likelihood
-ratio of "uniform" to the best of three models of ordinary strings is an e-value, and the e-BH
-procedure with weights by length controls the share of false findings in each document.
-
-Null texts count as empty. Spans are code points, end exclusive, by start, then kind as in KINDS.
+has. The battery tests it for chi-squared uniformity over that alphabet, for runs above and below the
+middle, and for serial correlation; together (Bonferroni) they must fit a uniform source. What remains
+is weighed against written language: each test statistic has a p-value under models of ordinary
+strings, made an e-value by a calibrator, and the likelihood ratio of a uniform source, averaged over
+all encodings as the encoding was chosen after looking, is another; their mean is the candidate's
+e-value. The e-BH procedure with weights by length controls the share of false findings in each
+document.
+
+Time is linear in the text, however many spans it has. Null texts count as empty. Spans are code
+points, end exclusive, by start, then kind as in KINDS.
 """
 
 from __future__ import annotations
 
 import math
+import operator
 import re
 
 import numpy as np
@@ -68,33 +73,93 @@ def _normal_tail(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
-def battery(body: str, alphabet: str) -> tuple[float, float, float]:
-    """p-values of chi-squared uniformity, of runs about the middle and of serial correlation."""
-    k, n = len(alphabet), len(body)
-    place = {c: i for i, c in enumerate(alphabet)}
-    x = np.array([place[c] for c in body], float)
-    counts = np.bincount(x.astype(int), minlength=k)
-    chi = float(((counts - n / k) ** 2).sum() * k / n)
+def _log_lower_tail(z: float) -> float:
+    """Log of the normal distribution function."""
+    if z > -30:
+        return math.log(0.5 * math.erfc(-z / math.sqrt(2)))
+    return -z * z / 2 - math.log(-z * math.sqrt(2 * math.pi))
+
+
+class Source:
+    """How ordinary strings of one model spread over an alphabet: sums of squares and cubes of the shares, share of the upper half."""
+
+    def __init__(self, model: dict[str, float], alphabet: str):
+        shares = np.exp([model[c] for c in alphabet])
+        shares /= shares.sum()
+        self.squares, self.cubes, self.high = float((shares**2).sum()), float((shares**3).sum()), float(shares[(len(alphabet) + 1) // 2 :].sum())
+
+
+_PLACES = {name: {c: i for i, c in enumerate(letters)} for name, letters in ENCODINGS}
+_SOURCES = {name: [Source(m, letters) for m in MODELS] for name, letters in ENCODINGS}
+
+
+def battery(body: str, name: str) -> tuple[tuple[float, float, float], tuple[float, float]]:
+    """p-values of chi-squared uniformity, of runs about the middle and of serial correlation over encoding ``name``; log e-values of the first two against ordinary strings.
+
+    Chi-squared is a count of equal pairs of characters: n and the alphabet fix the rest. Ordinary
+    strings have more equal pairs than random ones, and fewer or more runs; the serial correlation of
+    independent ordinary letters is that of random ones, so it tells nothing against them.
+    """
+    places = _PLACES[name]
+    k, n = len(places), len(body)
+    x = list(map(places.__getitem__, body))
+    counts = [0] * k
+    for i in x:
+        counts[i] += 1
+    equal = sum(c * (c - 1) for c in counts) / 2
+    chi = k * (n + 2 * equal) / n - n
     df = k - 1
     z = ((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
     uniform = 0.5 * math.erfc(z / math.sqrt(2))
-    high = x >= k / 2
-    a, b = int(high.sum()), int(n - high.sum())
+    middle = (k + 1) // 2
+    above = [i >= middle for i in x]
+    a = sum(above)
+    b = n - a
+    turns = 1 + sum(map(operator.ne, above, above[1:]))
     if a and b:
         mean = 1 + 2 * a * b / n
         var = (mean - 1) * (mean - 2) / (n - 1)
-        runs = _normal_tail((1 + int((high[1:] != high[:-1]).sum()) - mean) / math.sqrt(var)) if var > 0 else 1.0
+        runs = _normal_tail((turns - mean) / math.sqrt(var)) if var > 0 else 1.0
     else:
         runs = 2.0 ** (1 - n)
-    spread = x - x.mean()
-    power = float((spread**2).sum())
-    serial = _normal_tail((float((spread[1:] * spread[:-1]).sum()) / power + 1 / n) * math.sqrt(n)) if power else 0.0
-    return uniform, runs, serial
+    level = sum(x) / n
+    spread = [i - level for i in x]
+    power = sum(map(operator.mul, spread, spread))
+    serial = _normal_tail((sum(map(operator.mul, spread, spread[1:])) / power + 1 / n) * math.sqrt(n)) if power else 0.0
+    by_pairs = by_runs = math.inf
+    for s in _SOURCES[name]:
+        pairs = n * (n - 1) / 2
+        var = pairs * (s.squares - s.squares**2) + n * (n - 1) * (n - 2) * (s.cubes - s.squares**2)
+        by_pairs = min(by_pairs, _calibrated(_log_lower_tail((equal - pairs * s.squares) / math.sqrt(max(var, 1e-9)))))
+        change = 2 * s.high * (1 - s.high)
+        var = max((n - 1) * change * (1 - change) + (n - 2) * (change - 2 * change**2), (n - 1) * 1e-3)
+        by_runs = min(by_runs, _calibrated(min(0.0, math.log(2) + _log_lower_tail(-abs(turns - 1 - (n - 1) * change) / math.sqrt(var)))))
+    return (uniform, runs, serial), (by_pairs, by_runs)
+
+
+def _calibrated(log_p: float) -> float:
+    """Log of the e-value 1 / (2 sqrt(p))."""
+    return -log_p / 2 - math.log(2)
 
 
 def log_evidence(body: str, alphabet: str) -> float:
-    """Log of the likelihood ratio of a uniform source to the best model of ordinary strings."""
-    return -len(body) * math.log(len(alphabet)) - max(sum(map(m.__getitem__, body)) for m in MODELS)
+    """Log of the likelihood ratio of a uniform source to the best model of ordinary strings; the alphabet is one of all ENCODINGS."""
+    return -math.log(len(ENCODINGS)) - len(body) * math.log(len(alphabet)) - max(sum(map(m.__getitem__, body)) for m in MODELS)
+
+
+def log_e_value(body: str) -> float | None:
+    """Log e-value of a body against ordinary strings; minus infinity if the battery rejects a uniform source; None without an encoding."""
+    if (enc := encoding(body)) is None:
+        return None
+    ratio = log_evidence(body, enc[1])
+    if ratio <= -math.log(len(ENCODINGS)):
+        return -math.inf
+    tests, against = battery(body, enc[0])
+    if min(tests) * len(tests) < LEVEL:
+        return -math.inf
+    parts = (ratio, *against, 0.0)  # serial correlation gives 1
+    top = max(parts)
+    return top + math.log(sum(math.exp(p - top) for p in parts) / len(parts))
 
 
 def chosen(found: list[tuple[float, int]], rate: float = RATE) -> list[bool]:
@@ -130,15 +195,23 @@ def random_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int
     folded = text.encode("utf-8", "surrogatepass").lower().translate(_RUN_CLASS)
     if b"x" * LEAST not in folded:
         return []
+    taken = sorted((a, b) for a, _, b in taken)
     spans, evidence = [], []
+    known: dict[str, float | None] = {}
+    j = reach = 0  # taken spans before j start before the candidate's end; the farthest of them ends at reach
     for m in RUN.finditer(text):
+        while j < len(taken) and taken[j][0] < m.end():
+            reach = max(reach, taken[j][1])
+            j += 1
+        if reach > m.start():
+            continue
         body = m[0].rstrip("=")
-        if (enc := encoding(body)) is None or any(a < m.end() and m.start() < b for a, _, b in taken):
+        if body not in known:
+            known[body] = log_e_value(body)
+        if known[body] is None:
             continue
-        e = log_evidence(body, enc[1])
         spans.append((m.start(), 3, m.end()))
-        fits = e > 0 and min(battery(body, enc[1])) * 3 >= LEVEL
-        evidence.append((e if fits else -math.inf, len(body)))
+        evidence.append((known[body], len(body)))
     return [s for s, yes in zip(spans, chosen(evidence), strict=True) if yes]
 
 

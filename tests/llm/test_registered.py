@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from test_operators import awkward, by_brute_force, component_of, library
+from test_secret_battery import base_by_hand
 
 from sparkdraw.llm import secrets
 from sparkdraw.llm.queries import ORACLE_SQL, QUERIES
@@ -109,7 +110,7 @@ def test_op5(spark, texts):
 def test_op7(spark, texts):
     rows = result(spark, "op7_secrets")
     for d, t in texts.items():
-        base = sorted(secrets.base_spans(t))
+        base = base_by_hand(t)
         said = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in base)
         assert rows[d].base_sha256 == hashlib.sha256(said.encode()).hexdigest() and (rows[d].n_assign, rows[d].n_access, rows[d].n_hex) == tuple(sum(k == i for _, k, _ in base) for i in range(3))
 
