@@ -12,10 +12,10 @@ SAMPLE = 20_000
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, text, label) of at most ``sample`` labelled rows outside the held-out fold.
+    """(doc_id, text, label) of at most ``sample`` labelled rows outside the held-out fold, one an id.
 
-    Null ids, null labels and held-out ids are left out; an id with several labels counts by the largest.
-    The sample is broadcast: it has at most ``sample`` ids.
+    Null ids, null labels and held-out ids are left out; an id with several labels counts by the largest,
+    one with several texts by the least of them. The sample is broadcast: it has at most ``sample`` ids.
     """
     chosen = (
         labels.select("doc_id", F.col(label).cast("int").alias("label"))
@@ -24,4 +24,4 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int =
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.join(F.broadcast(chosen), "doc_id")
+    return rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))

@@ -102,27 +102,36 @@ def weights_of(text: str, memo: Memo) -> np.ndarray:
 def segments(weights: np.ndarray, cost: float = COST) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first word, end, score), in order, in time linear in the words.
 
-    Words of no or negative weight only cost, so the scan visits the others; each candidate keeps the sum before
-    it and the sum after it, and joins with an earlier one that starts lower and ends lower.
+    Words of no or negative weight only cost, so the scan visits the others. Each candidate keeps the sum before
+    it, the sum after it, and the nearest earlier candidate that starts lower: a search goes from one
+    of those to the next and passes over all between. A candidate joins with one found so if that ends lower.
     """
     at = np.flatnonzero(weights > cost)
-    stack: list[tuple[int, int, float, float]] = []
     if not len(at):
         return []
     sums = np.cumsum(weights - cost)
-    for i in at.tolist():
-        after = float(sums[i])
-        first, before, end = i, after - float(weights[i] - cost), i + 1
-        while stack:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= before:
-                j -= 1
-            if j < 0 or stack[j][3] >= after:
+    firsts: list[int] = []
+    ends: list[int] = []
+    befores: list[float] = []
+    afters: list[float] = []
+    lower: list[int] = []
+    for i, after, before in zip(at.tolist(), sums[at].tolist(), (sums[at] - (weights[at] - cost)).tolist(), strict=True):
+        first, j = i, len(firsts) - 1
+        while True:
+            while j >= 0 and befores[j] >= before:
+                j = lower[j]
+            if j < 0 or afters[j] >= after:
                 break
-            first, before = stack[j][0], stack[j][2]
-            del stack[j:]
-        stack.append((first, end, before, after))
-    return [(a, b, after - before) for a, b, before, after in stack]
+            first, before, near = firsts[j], befores[j], lower[j]
+            for column in (firsts, ends, befores, afters, lower):
+                del column[j:]
+            j = near
+        firsts.append(first)
+        ends.append(i + 1)
+        befores.append(before)
+        afters.append(after)
+        lower.append(j)
+    return [(a, b, after - before) for a, b, before, after in zip(firsts, ends, befores, afters, strict=True)]
 
 
 def best_score(weights: np.ndarray, cost: float = COST) -> float:
