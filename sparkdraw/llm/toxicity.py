@@ -53,23 +53,34 @@ def _deviance(toxic: int, seen: int, q: float) -> float:
     return 2 * sum(n * math.log(n / (seen * p)) for n, p in ((toxic, q), (seen - toxic, 1 - q)) if n)
 
 
+def resolved(rate: float, odds: dict[str, tuple[int, int]]) -> dict[str, float]:
+    """Log-odds of each feature (toxic, seen) against the rate; one that does not differ clearly from the feature above it in the chain takes that one's."""
+    shares: dict[str, float] = {}
+    base = math.log(rate / (1 - rate))
+    # Beginnings come before the words that have them, short ones first.
+    for key in sorted(odds, key=lambda k: (not k.endswith("*"), len(k))):
+        above = (key[:n] + "*" for n in reversed(BEGINNINGS) if n < len(key) - 1 or (n <= len(key) and not key.endswith("*")))
+        q = next((shares[k] for k in above if k in shares), rate)
+        toxic, seen = odds[key]
+        shares[key] = (toxic + PRIOR * q) / (seen + PRIOR) if _deviance(toxic, seen, q) > CLEAR**2 else q
+    return {k: max(-MOST, min(math.log(q / (1 - q)) - base, MOST)) for k, q in shares.items()}
+
+
 @dataclass
 class ToxicModel:
     rate: float = 0.5
-    odds: dict[str, tuple[int, int]] = field(default_factory=dict)
+    odds: dict[str, float] = field(default_factory=dict)
     scale: float = 1.0
     constant: float = 1.0
     curve: tuple[float, ...] = (-3.0, 0.0, 0.0)
     flat: float = 0.0
 
     def weight(self, word: str) -> float:
-        q = self.rate
-        for key in keys_of(word):
-            if (seen := self.odds.get(key)) is not None:
-                if _deviance(*seen, q) > CLEAR**2:
-                    q = (seen[0] + PRIOR * q) / (seen[1] + PRIOR)
-        w = math.log(q / (1 - q)) - math.log(self.rate / (1 - self.rate))
-        return max(-MOST, min(w, MOST)) if abs(w) > self.flat else 0.0
+        """The log-odds of the word, else of its longest known beginning."""
+        w = self.odds.get(word)
+        if w is None:
+            w = next((v for n in reversed(BEGINNINGS) if len(word) >= n and (v := self.odds.get(word[:n] + "*")) is not None), 0.0)
+        return w if abs(w) > self.flat else 0.0
 
     def log_p(self, score: float, words: int) -> float:
         """Log of the probability that chance alone scores as high in so many words."""
@@ -84,12 +95,16 @@ class ToxicModel:
 
 
 class Memo(dict):
-    """Weights of the words of one piece of the input."""
+    """Weights of words met so far by one task, MOST_WORDS at most."""
+
+    MOST_WORDS = 400_000
 
     def __init__(self, model: ToxicModel):
         self.model = model
 
     def __missing__(self, word: str) -> float:
+        if len(self) >= self.MOST_WORDS:
+            self.clear()
         self[word] = w = self.model.weight(word)
         return w
 
@@ -197,27 +212,32 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     if total is None or not 0 < total["toxic0"] + total["toxic1"] < total["seen0"] + total["seen1"]:
         return model
     model.rate = (total["toxic0"] + total["toxic1"]) / (total["seen0"] + total["seen1"])
-    other = [ToxicModel(rate=model.rate), ToxicModel(rate=model.rate)]
+    every: dict[str, tuple[int, int]] = {}
+    half: list[dict[str, tuple[int, int]]] = [{}, {}]
     for r in counts.where((F.col("feature") != "") & (F.col("seen0") + F.col("seen1") >= SEEN)).toLocalIterator():
-        model.odds[r["feature"]] = (r["toxic0"] + r["toxic1"], r["seen0"] + r["seen1"])
+        every[r["feature"]] = (r["toxic0"] + r["toxic1"], r["seen0"] + r["seen1"])
         for h in (0, 1):
             if r[f"seen{h}"] >= SEEN:
-                other[1 - h].odds[r["feature"]] = (r[f"toxic{h}"], r[f"seen{h}"])
+                half[h][r["feature"]] = (r[f"toxic{h}"], r[f"seen{h}"])
+    model.odds = resolved(model.rate, every)
+    # Rows of one half are judged by the words of the other.
+    other = [ToxicModel(model.rate, resolved(model.rate, half[1 - h])) for h in (0, 1)]
+    measured = _measured(rows, other)
 
     best = math.inf
-    for flat in FLATS:
-        found = _measured(rows, other, flat)
-        clean = [r for r in found if not r["label"]]
+    for k, flat in enumerate(FLATS):
+        found = [(r["label"], r["words"], r["best"][k], r["heavy"][k], r["times"][k], r["scores"][k]) for r in measured]
+        clean = [r for r in found if not r[0]]
         if not clean or len(clean) == len(found):
             return model
         tried = ToxicModel(model.rate, model.odds, flat=flat)
         _extremes(tried, found, clean)
         x, y = [], []
-        for r in found:
-            log_p = tried.log_p(r["best"], r["words"])
-            total = sum(s for s in r["scores"] if tried.log_p(s, r["words"]) < math.log(SIGNIFICANT))
+        for label_, words, top, _, _, scores in found:
+            log_p = tried.log_p(top, words)
+            total = sum(s for s in scores if tried.log_p(s, words) < math.log(SIGNIFICANT))
             x.append((1.0, math.log1p(-log_p), math.log1p(total)))
-            y.append(r["label"])
+            y.append(label_)
         x, y = np.array(x), np.array(y, float)
         curve = _logistic(x, y)
         tried.curve = tuple(curve.tolist())
@@ -227,35 +247,43 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     return chosen
 
 
-def _measured(rows: DataFrame, other: list[ToxicModel], flat: float) -> list:
-    """Each row's scores under the words of the other half; clean rows' weights are counted by batch, in one of its rows."""
-    models = [ToxicModel(m.rate, m.odds, flat=flat) for m in other]
+def _measured(rows: DataFrame, other: list[ToxicModel]) -> list:
+    """Each row's scores under the words of the other half, for each of FLATS; clean rows' weights are counted by batch, in one of its rows."""
+    models = rows.sparkSession.sparkContext.broadcast([[ToxicModel(m.rate, m.odds, flat=flat) for m in other] for flat in FLATS])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memos = [[Memo(m) for m in pair] for pair in models.value]
         for batch in batches:
             for part in pieces(batch, "text"):
-                memos, out, heavy = [Memo(m) for m in models], [], Counter()
+                out, heavy = [], [Counter() for _ in FLATS]
                 for doc_id, text, y, h in zip(*[part.column(c).to_pylist() for c in ("doc_id", "text", "label", "half")], strict=True):
-                    w = weights_of(text, memos[h])
-                    if not y:
-                        heavy.update(np.round(w[w != 0], 1).tolist())
-                    out.append([str(doc_id), best_score(w), len(w), y, [], [], [s[2] for s in segments(w)]])
+                    words = WORD.findall(text.lower())
+                    best, scores = [], []
+                    for k in range(len(FLATS)):
+                        w = np.fromiter(map(memos[k][h].__getitem__, words), float, len(words))
+                        if not y:
+                            heavy[k].update(np.round(w[w != 0], 1).tolist())
+                        best.append(best_score(w))
+                        scores.append([s[2] for s in segments(w)])
+                    out.append([str(doc_id), best, len(words), y, [[]] * len(FLATS), [[]] * len(FLATS), scores])
                 if out:
-                    out[-1][4:6] = list(heavy), list(heavy.values())
+                    out[-1][4:6] = [list(c) for c in heavy], [list(c.values()) for c in heavy]
                 cols = list(zip(*out, strict=True)) or [[]] * 7
-                kinds = [pa.string(), pa.float64(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.float64())]
+                many = pa.list_(pa.list_(pa.float64()))
+                kinds = [pa.string(), pa.list_(pa.float64()), pa.int64(), pa.int32(), many, pa.list_(pa.list_(pa.int64())), many]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id", "best", "words", "label", "heavy", "times", "scores"])
 
-    found = rows.mapInArrow(measure, "id string, best double, words long, label int, heavy array<double>, times array<long>, scores array<double>").collect()
+    found = rows.mapInArrow(measure, "id string, best array<double>, words long, label int, heavy array<array<double>>, times array<array<long>>, scores array<array<double>>").collect()
+    models.unpersist()
     return sorted(found, key=lambda r: r["id"])
 
 
-def _extremes(model: ToxicModel, found: list, clean: list) -> None:
-    """Scale from the law of the weights, constant from the best scores of clean documents."""
+def _extremes(model: ToxicModel, found: list[tuple], clean: list[tuple]) -> None:
+    """Scale from the law of the weights, constant from the best scores of clean documents: (label, words, best, heavy, times, scores)."""
     counts: Counter[float] = Counter()
-    words = sum(r["words"] for r in clean)
+    words = sum(r[1] for r in clean)
     for r in found:
-        counts.update(dict(zip(r["heavy"], r["times"], strict=True)))
+        counts.update(dict(zip(r[3], r[4], strict=True)))
     if not words or not counts:
         return
     w = np.array(sorted(counts), float)
@@ -270,7 +298,7 @@ def _extremes(model: ToxicModel, found: list, clean: list) -> None:
         low, high = (mid, high) if excess(mid) < 0 else (low, mid)
     model.scale = max(low, 0.05)
     # The mean of exp(-scale * best) over texts of n words is near 1 / (1 + constant * n).
-    chance = np.mean([math.exp(-model.scale * r["best"]) for r in clean])
+    chance = np.mean([math.exp(-model.scale * r[2]) for r in clean])
     model.constant = max(1e-6, (1 / max(chance, 1e-9) - 1) * len(clean) / words)
 
 
@@ -281,8 +309,14 @@ def score(df: DataFrame, model: ToxicModel, text_col: str = "text") -> DataFrame
     """df with toxicity (0 to 1) and passages (code points, end exclusive, score, log p-value)."""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("log_p", pa.float64())]))
 
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    held: list[Memo] = []  # a task's own, kept from one piece to the next
+
     def run(texts: list[str]):
-        memo, scores, passages = Memo(model), [], []
+        model = shared.value
+        if not held:
+            held.append(Memo(model))
+        memo, scores, passages = held[0], [], []
         for text in texts:
             log_p, total, found, weights = evidence(text, model, memo)
             scores.append(model.probability(log_p, total))
