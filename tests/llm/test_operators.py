@@ -8,6 +8,7 @@ import random
 import string
 import zlib
 
+import brute
 import numpy as np
 import public_tokenizers
 import pytest
@@ -167,7 +168,6 @@ def test_packing_rows(spark):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     other = Tokenizer.from_file(path)
-    other.encode_special_tokens = True
     make = packing.byte_level_tokenizer(path, public_tokenizers.PATTERN)
     rng = random.Random(4)
     texts = ["".join(rng.choices(string.printable + "éß日  ", k=rng.randrange(60))) for _ in range(300)] + ["<|endoftext|> x", LONG[:9000]]
@@ -325,7 +325,7 @@ def test_lm_scores(spark, order):
     rows = [(r.doc_id if r.doc_id is not None else -i, (r.text or "")[:3000] if r.text is not None else None) for i, r in enumerate(awkward(spark).collect())] + [(50, " a" * 900)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("gram", F.lit(1)).repartition(3)
     got = sorted((r.doc_id, r.log_score) for r in lm.stupid_backoff(df, make, order=order).collect())
-    want = sorted(zip([d for d, _ in rows], lm.brute_force(make()([t or "" for _, t in rows]), order, 2), strict=True))
+    want = sorted(zip([d for d, _ in rows], brute.stupid_backoff(make()([t or "" for _, t in rows]), order, 2), strict=True))
     assert [d for d, _ in got] == [d for d, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], atol=1e-5)
     assert lm.stupid_backoff(df.limit(0), make).count() == 0
 
