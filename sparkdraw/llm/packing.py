@@ -6,8 +6,10 @@ the piece and what is left (largest first), or by the weighted norm of what woul
 Pieces go in from the largest to the smallest, window by window; sequences that are still open at a
 window's end stay open for the next one.
 
-Each partition of the input packs its own pieces, in one narrow pass: nothing is shuffled, the number
-of open sequences is bounded, and each partition leaves a few sequences unfilled at most.
+A first round packs each partition of the input by itself, in one narrow pass without a shuffle. Its
+sequences that end with REOPEN tokens of room or more, a few a partition, are opened again: their pieces
+are dealt evenly to groups of a window each and packed once more, so the number of sequences does not grow with the
+number of partitions. The first round is written out, as both it and the second read it.
 
 Null texts count as empty: such a document is its end token alone. Repeated rows are packed as rows of
 their own.
@@ -27,7 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces
+from .common import pieces, staged
+
+
+#: Room, in parts of a sequence's tokens, from which a sequence is opened again at the end of the first round.
+REOPEN = 1 / 64
 
 
 @dataclass(frozen=True)
@@ -37,7 +43,7 @@ class Capacity:
     tokens: int = 1024
     documents: int = 1024
     attention: int = 1024 * 1024
-    weights: tuple[float, float, float] = (1.0, 0.01, 0.0)
+    weights: tuple[float, float, float] = (1.0, 0.02, 0.02)
     rule: str = "norm"
     window: int = 16_384
     open_sequences: int = 16_384
@@ -56,6 +62,7 @@ class Packer:
         self.left = np.empty((0, 3))  # what is left of each open sequence
         self.ids = np.empty(0, np.int64)
         self.made = 0
+        self.set_aside: set[int] = set()  # sequences with room that gave way to emptier ones
 
     def add(self, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sequence and offset of each piece; a piece must fit an empty sequence."""
@@ -88,8 +95,12 @@ class Packer:
             if left[best, 0] < 1 or left[best, 1] < 1 or left[best, 2] < 1:  # filled: nothing fits any more
                 room -= 1
                 left[best], ids[best] = left[room], ids[room]
-        keep = np.argsort(left[:room, 0], kind="stable")[::-1][: cap.open_sequences]  # the emptiest stay open
-        self.left, self.ids = left[keep], ids[keep]
+        self.left, self.ids = left[:room], ids[:room]
+        room_enough = self.left[:, 0] >= cap.tokens * REOPEN
+        self.left, self.ids = self.left[room_enough], self.ids[room_enough]
+        order = np.argsort(self.left[:, 0], kind="stable")[::-1]  # the emptiest stay open
+        self.set_aside |= set(self.ids[order[cap.open_sequences :]].tolist())
+        self.left, self.ids = self.left[order[: cap.open_sequences]], self.ids[order[: cap.open_sequences]]
         return sequence, offset
 
 
@@ -113,18 +124,29 @@ def pack(
         T.StructField("ids", T.BinaryType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()),
     ])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        kinds = (kind, pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+        cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=schema.names)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer, base_id = tokenizer(), Packer(capacity), TaskContext.get().partitionId() << 40
         held: list[tuple] = []
+        waiting: dict[int, list[tuple]] = {}  # rows of open sequences
         kind = None
 
         def placed() -> pa.RecordBatch:
-            lengths = np.array([r[3] for r in held], np.int64)
-            sequence, offset = packer.add(lengths)
-            cols = list(zip(*held, strict=True))
-            arrays = [pa.array(c, k) for c, k in zip(cols, (kind, pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+            sequence, offset = packer.add(np.array([r[3] for r in held], np.int64))
+            for row, q, at in zip(held, sequence.tolist(), offset.tolist(), strict=True):
+                waiting.setdefault(q, []).append((*row, base_id + q, at))
             held.clear()
-            return pa.RecordBatch.from_arrays([*arrays, pa.array(sequence + base_id), pa.array(offset)], names=schema.names)
+            still = set(packer.ids.tolist())
+            done = [r for q in list(waiting) if q not in still for r in given(q)]
+            return made(done, kind)
+
+        def given(q: int) -> list[tuple]:
+            rows = waiting.pop(q)
+            return [(*r[:5], None, None) for r in rows] if q in packer.set_aside else rows
 
         for batch in batches:
             kind = batch.schema.field("doc_id").type
@@ -137,8 +159,26 @@ def pack(
                         yield placed()
         if held:
             yield placed()
-
-    return base.mapInArrow(run, schema)
+        packer.set_aside |= set(waiting)
+        for a in range(0, len(names := list(waiting)), 2000):
+            yield made([r for q in names[a : a + 2000] for r in given(q)], kind)
+
+    def again(key: tuple, group: pa.Table) -> pa.Table:
+        packer = Packer(capacity)
+        sequence, offset = packer.add(group.column("length").to_numpy())
+        base_id = 1 << 62 | key[0].as_py() << 32
+        out = group.select(schema.names[:5])
+        return out.append_column("sequence_id", pa.array(sequence + base_id)).append_column("offset", pa.array(offset))
+
+    rows = staged(base.mapInArrow(first, schema), "packed", compression="zstd")
+    open_ = rows.where("sequence_id is null")
+    groups = -(-open_.count() // capacity.window)
+    packed = rows.where("sequence_id is not null")
+    if not groups:
+        return packed
+    # Places in a written table, so that a task that runs again deals the same way.
+    dealt = open_.withColumn("deal", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    return packed.unionByName(dealt.groupBy("deal").applyInArrow(again, schema))
 
 
 @lru_cache(maxsize=2)
@@ -146,10 +186,11 @@ def _ranked(path: str, pattern: str):
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        vocabulary = json.load(f)["model"]["vocab"]
+        whole = json.load(f)
     letters = _byte_letters()
-    ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items()}
-    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    special = {t["content"]: t["id"] for t in whole.get("added_tokens", [])}
+    ranks = {bytes(letters[c] for c in token): i for token, i in whole["model"]["vocab"].items() if token not in special}
+    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -162,11 +203,17 @@ def _byte_letters() -> dict[str, int]:
 def byte_level_tokenizer(path: str, pattern: str):
     """A tokenizer factory for a byte-level vocabulary in JSON form whose ids are merge ranks.
 
-    For such a file the ids are those of the tokenizers library without special tokens, at several times its speed.
+    For such a file the ids are those of the tokenizers library with add_special_tokens=False, which
+    still reads the added tokens of the file inside a text, at several times its speed.
     """
 
     def make():
         model = _ranked(path, pattern)
-        return lambda texts: [np.array(model.encode_ordinary(t), np.uint32) for t in texts]
+        special = model.special_tokens_set
+
+        def encode(texts: list[str]) -> list[np.ndarray]:
+            return [np.array(model.encode(t, allowed_special="all") if any(s in t for s in special) else model.encode_ordinary(t), np.uint32) for t in texts]
+
+        return encode
 
     return make
