@@ -25,6 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class Shelf:
     """Tables written once and read many times: plans stay small, and lost executors cost no rerun."""
 
@@ -41,6 +46,5 @@ class Shelf:
     def clear(self) -> None:
         """Delete the tables; frames that read them are of no use afterwards."""
         for spark, path in self.paths:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            remove(spark, path)
         self.paths.clear()
