@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import shared_dir
+from ..storage import remove, shared_dir
 
 #: Most UTF-8 bytes of text that one call of a batch function gets, unless one row alone has more.
 CHUNK_BYTES = 8 << 20
@@ -34,7 +34,22 @@ def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     bounded_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_paths = [path]
+    return out
+
+
+def owning(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """df, whose ``discard`` deletes those tables of ``staged`` that it reads."""
+    df.staged_paths = [p for t in tables for p in t.__dict__.get("staged_paths", [])]
+    return df
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``staged``, and those of frames that are ``owning`` some; frames that read them are of no use afterwards. Others are left alone."""
+    for df in tables:
+        for path in df.__dict__.get("staged_paths", []):
+            remove(df.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

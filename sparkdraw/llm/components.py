@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, owning, staged
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,14 +17,16 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     both = links.select(F.col(a).alias("u"), F.col(b).alias("v")).union(links.select(F.col(b).alias("u"), F.col(a).alias("v")))
     both = staged(both.where("u <> v").distinct(), "links")
-    labels = staged(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")), "labels")
+    step = staged(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label"), F.lit(True).alias("moved")), "labels")
     while True:
+        labels = step.select("node", "label")
         near = both.join(labels, both.v == labels.node).select(F.col("u").alias("node"), "label").union(labels)
         least = near.groupBy("node").agg(F.min("label").alias("label"))
         roots = least.select(F.col("node").alias("label"), F.col("label").alias("root"))
         jumped = least.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label"))
         before = labels.withColumnRenamed("label", "was")
-        step = staged(jumped.join(before, "node").select("node", "label", (F.col("label") != F.col("was")).alias("moved")), "labels")
-        labels = step.select("node", "label")
+        last, step = step, staged(jumped.join(before, "node").select("node", "label", (F.col("label") != F.col("was")).alias("moved")), "labels")
+        discard(last)
         if step.where("moved").isEmpty():
-            return labels
+            discard(both)
+            return owning(step.select("node", "label"), step)

@@ -21,15 +21,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, staged
+from .common import discard, owning, pieces, staged
 
-#: Bytes of a block.
-BLOCK = 16384
+#: Bytes of a block; bytes of blocks and number of places that a task gathers before it hands them on.
+BLOCK, GATHERED, PLACES = 16384, 48 << 20, 50_000
 WHITE = b" \t\n\v\f\r"
 
 
 def _cut(df: DataFrame, id_type: T.DataType, block: int) -> DataFrame:
-    """A row for each distinct block of a bounded piece of the input, with the places it stands at."""
+    """A row for each distinct block of a large piece of the input, with the places it stands at.
+
+    A block that many documents have leaves a task about once, so it comes to the task that names it a few times a task, not a document.
+    """
     place = T.StructType([
         T.StructField("rid", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("n", T.IntegerType()),
         T.StructField("doc_id", id_type), T.StructField("n_chars", T.IntegerType()), T.StructField("sha", T.StringType()),
@@ -38,12 +41,22 @@ def _cut(df: DataFrame, id_type: T.DataType, block: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        number = row = 0
+        number = row = held = count = 0
+        seen: dict[bytes, list[dict]] = {}
+        places_type = None
+
+        def gathered() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([part << 36 | number] * len(seen), pa.int64()), pa.array(range(len(seen)), pa.int32()), pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), places_type)],
+                names=["piece", "idx", "block", "places"],
+            )
+            seen.clear()
+            return out
+
         for batch in batches:
             kind = batch.schema.field("doc_id").type
             places_type = pa.list_(pa.struct([("rid", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("doc_id", kind), ("n_chars", pa.int32()), ("sha", pa.string())]))
             for some in pieces(batch, "text"):
-                seen: dict[bytes, list[dict]] = {}
                 for doc_id, text in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), strict=True):
                     text = text or ""
                     raw = text.encode("utf-8", "surrogatepass").translate(None, WHITE)
@@ -52,15 +65,18 @@ def _cut(df: DataFrame, id_type: T.DataType, block: int) -> DataFrame:
                     row += 1
                     for pos in range(n):
                         first = pos == 0
-                        seen.setdefault(raw[pos * block : (pos + 1) * block], []).append({
+                        at = seen.setdefault(raw[pos * block : (pos + 1) * block], [])
+                        held += 0 if at else min(block, len(raw))
+                        count += 1
+                        at.append({
                             "rid": rid, "pos": pos, "n": n, "doc_id": doc_id if first else None,
                             "n_chars": len(text) if first else None, "sha": hashlib.sha256(raw).hexdigest() if first else None,
                         })
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part << 36 | number] * len(seen), pa.int64()), pa.array(range(len(seen)), pa.int32()), pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), places_type)],
-                    names=["piece", "idx", "block", "places"],
-                )
-                number += 1
+                    if held > GATHERED or count > PLACES:
+                        yield gathered()
+                        number, held, count = number + 1, 0, 0
+        if seen:
+            yield gathered()
 
     return df.mapInArrow(run, schema)
 
@@ -100,7 +116,8 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         ),
         "names",
     )
-    done = [level.where("n = 1").select("rid", "blocks", "info", "name")]
+    discard(cut)
+    levels, done = [level], [level.where("n = 1").select("rid", "blocks", "info", "name")]
     most = level.agg(F.max("n")).first()[0] or 1
     level = level.where("n > 1")
     while most > 1:
@@ -112,6 +129,8 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         kinds = pairs.select("a", "b").distinct().withColumns({"x": F.col("a"), "y": F.col("b")})
         named = _named(kinds, ["a", "b"])
         level = staged(pairs.join(named, (pairs.a == named.x) & (pairs.b == named.y)).select("rid", "blocks", "pos", "n", "info", "name"), "names")
+        discard(pairs)
+        levels.append(level)
         done.append(level.where("n = 1").select("rid", "blocks", "info", "name"))
         level, most = level.where("n > 1"), -(-most // 2)
     rows = done[0]
@@ -121,14 +140,17 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     best = F.struct((-F.col("n_chars")).alias("c"), F.col("doc_id").isNull().alias("u"), F.col("doc_id").alias("d"), F.col("rid").alias("r"))
     # Written out, so that the join below has a plain exchange on both sides and a hot group can be split.
     groups = staged(rows.groupBy("blocks", "name").agg(F.min(best).alias("best"), F.count("*").alias("group_size")), "groups")
-    return rows.join(groups, ["blocks", "name"]).select(
+    found = rows.join(groups, ["blocks", "name"]).select(
         "doc_id", F.col("best.d").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.r")).alias("kept"), F.col("sha").alias("text_sha256"), "rid"
     )
+    out = staged(found, "exact")
+    discard(*levels, groups)
+    return out
 
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that stay, with its columns. Rows with one id and equal texts count as one row."""
-    found = staged(exact_duplicates(df, id_col, text_col), "exact")
+    found = exact_duplicates(df, id_col, text_col)
     kept = found.where("kept").select(F.col("doc_id").alias("kept_id__"))
     out = df.join(kept, df[id_col].eqNullSafe(kept.kept_id__), "left_semi")
     if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
@@ -138,4 +160,4 @@ def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
         keep = found.where("kept").select(F.col("doc_id").alias("kept_id__"), F.col("text_sha256").alias("sha__")).distinct()
         out = out.join(keep, out[id_col].eqNullSafe(keep.kept_id__) & (out.bare__ == keep.sha__), "left_semi")
         out = out.dropDuplicates([id_col, "bare__"]).drop("bare__")
-    return out
+    return owning(out, found)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, pieces, staged
+from .common import bounded_batches, owning, pieces, staged
 
 #: Factor of a step down, and the id that stands for a document's start; ids are below it.
 BACKOFF, START = 0.4, 0xFFFF
@@ -313,4 +313,5 @@ def stupid_backoff(df: DataFrame, tokenizer: Callable, order: int = 3, cutoff: i
 
     out = rows.groupBy("block").applyInArrow(close, result)
     log_score = F.col("total") / float(UNIT)
-    return out.select("doc_id", "n_tokens", F.round(log_score, 6).alias("log_score"), F.when(F.col("n_tokens") > 0, F.round(F.exp(-log_score / F.col("n_tokens")), 6)).alias("perplexity"))
+    perplexity = F.when(F.col("n_tokens") > 0, F.round(F.exp(-log_score / F.col("n_tokens")), 6))
+    return owning(out.select("doc_id", "n_tokens", F.round(log_score, 6).alias("log_score"), perplexity.alias("perplexity")), pairs)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, staged
+from .common import discard, owning, pieces, staged
 from .components import connected_components
 
 SHINGLE = 5
@@ -189,66 +189,88 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = staged(sketches(docs), "sketches")
-    classes = rows.where("n_shingles > 0").select("node", F.col("n_shingles").alias("n"), "bands", *[F.col("cells")[i].alias(s) for i, s in enumerate(_SIGS)])
-    classes = staged(classes.dropDuplicates(["node"]), "classes")
+    # Aggregated before it is dealt out: a class can hold a third of all rows.
+    found = rows.where("n_shingles > 0").groupBy("node")
+    classes = staged(found.agg(F.min("doc_id").alias("lead"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "cells")]), "classes")
+    sketch = classes.select("node", F.struct("node", F.col("n_shingles").alias("n"), *[F.col("cells")[i].alias(s) for i, s in enumerate(_SIGS)]).alias("s"))
 
     spread = classes.select("node", F.explode("bands").alias("band"))
     busy = spread.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-    members = staged(spread.join(busy, "band"), "members")
-    central = members.groupBy("node").agg(F.sum("members").alias("met"))
-    known = classes.drop("bands").join(central, "node")
-    members = staged(members.select("band", "node").join(known, "node").select("band", F.struct("met", "node", "n", *_SIGS).alias("m")), "members")
+    shared = staged(spread.join(busy, "band"), "members")
+    central = shared.groupBy("node").agg(F.sum("members").alias("met"))
+    members = staged(shared.select("band", "node").join(central, "node").select("band", "node", F.struct("met", "node").alias("m")), "members")
+    discard(shared)
 
-    # Stars: each member's best centre, one edge a member.
+    # Stars: each member's best centre, one edge a member. Sketches join the pairs, not the buckets' rows.
     centres = members.groupBy("band").agg(F.max("m").alias("c"))
-    stars = members.join(centres, "band").where((F.col("m.node") != F.col("c.node")) & _plausible("m", "c"))
-    stars = stars.groupBy(F.col("m.node").alias("node")).agg(F.max(F.struct((-_unequal_cells("m", "c")).alias("cells"), F.col("c.met").alias("met"), F.col("c.node").alias("node"))).alias("best"))
+    pairs = members.join(centres, "band").where(F.col("node") != F.col("c.node")).select("node", F.col("c.node").alias("centre"), F.col("c.met").alias("met")).distinct()
+    pairs = pairs.join(sketch.select("node", F.col("s").alias("m")), "node").join(sketch.select(F.col("node").alias("centre"), F.col("s").alias("c")), "centre").where(_plausible("m", "c"))
+    stars = pairs.groupBy("node").agg(F.max(F.struct((-_unequal_cells("m", "c")).alias("cells"), "met", F.col("centre").alias("node"))).alias("best"))
     edges = staged(stars.select(F.least("node", "best.node").alias("a"), F.greatest("node", "best.node").alias("b")).distinct(), "edges")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         """Sets of the classes in nodes, from the text of one document of each class."""
-        # Aggregated before it is dealt out: a class can hold a third of all rows.
-        leads = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("lead"))
-        named = leads.join(nodes, "node", "left_semi")
+        # Written out, so that its size is known: Spark sends it to all tasks if it is under its threshold, and deals out texts if not.
+        named = staged(classes.select("node", "lead").join(nodes, "node", "left_semi"), "leads")
         text = docs.join(named, docs.doc_id.eqNullSafe(named.lead)).select("node", "text")
-        return staged(_sets(text), "sets")
+        out = staged(_sets(text), "sets")
+        discard(named)
+        return out
 
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
+    # Within components classes go by their least document, then by name: the least label says which id a component has.
+    ranked = classes.select("node", F.struct(F.col("lead").isNull().alias("none"), "lead", "node").alias("rank"))
+
+    def labelled(links: DataFrame) -> DataFrame:
+        """(node, label) of the classes that have links; a label has the component's least document id as ``lead``."""
+        by_rank = links.join(ranked.select(F.col("node").alias("a"), F.col("rank").alias("x")), "a").join(ranked.select(F.col("node").alias("b"), F.col("rank").alias("y")), "b")
+        found = connected_components(by_rank, "x", "y")
+        out = staged(found.select("node.node", "label"), "labels")
+        discard(found)
+        return out
+
     sets = sets_of(ends(edges))
     links = staged(_confirmed(edges, sets), "links")
-    labels = connected_components(links)
+    labels = labelled(links)
 
     # The exact way for buckets that still hold several components.
-    placed = members.join(labels, members.m.node == labels.node, "left").select("band", "m", F.coalesce("label", "m.node").alias("part"))
+    placed = members.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("label.node", "node").alias("part"))
     parts = placed.groupBy("band", "part").agg(F.count("*").alias("k"))
     mixed = parts.groupBy("band").agg(F.max(F.struct("k", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = placed.join(mixed, "band").select("band", "m", "part", F.col("main.part").alias("main"))
-    open_ = staged(open_.join(classes.select("node", "bands"), open_.m.node == classes.node).select("band", "m", "part", "main", "bands"), "open")
+    open_ = placed.join(mixed, "band").select("band", "node", "part", F.col("main.part").alias("main"))
+    open_ = staged(open_.join(sketch, "node").join(classes.select("node", "bands"), "node").select("band", F.col("s").alias("m"), "part", "main", "bands"), "open")
     outside = open_.where("part <> main").select("band", F.col("m").alias("x"), F.col("part").alias("px"), F.col("bands").alias("bx"))
     others = open_.select("band", F.col("m").alias("y"), F.col("part").alias("py"), F.col("bands").alias("by"))
     # A pair comes from the first bucket that both are in, not from each.
-    shared = F.filter(F.zip_with("bx", "by", lambda a, b: F.when(a == b, a)), lambda v: v.isNotNull())
-    more = outside.join(others, "band").where((F.col("px") != F.col("py")) & _plausible("x", "y") & (F.get(shared, F.lit(0)) == F.col("band")))
+    common = F.filter(F.zip_with("bx", "by", lambda a, b: F.when(a == b, a)), lambda v: v.isNotNull())
+    more = outside.join(others, "band").where((F.col("px") != F.col("py")) & _plausible("x", "y") & (F.get(common, F.lit(0)) == F.col("band")))
     more = more.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     more = staged(more.join(edges, ["a", "b"], "left_anti"), "edges")
+    discard(open_, members)
+    spent = [edges, more, sets, links]
     if not more.isEmpty():
         missing = staged(ends(more).join(sets, "node", "left_anti"), "missing")
         if not missing.isEmpty():
-            sets = sets.unionByName(sets_of(missing))
+            rest = sets_of(missing)
+            spent.append(rest)
+            sets = sets.unionByName(rest)
         found = staged(_confirmed(more, sets), "links")
         if not found.isEmpty():
-            labels = connected_components(links.unionByName(found))
-
-    marked = rows.select("doc_id", "n_shingles", "node").join(labels, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("label", "node").alias("label"))
-    # Written out, so that the join below has a plain exchange on both sides and a hot component can be split.
-    least = staged(marked.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least")), "least")
-    out = marked.join(least, "label", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+            discard(labels)
+            labels = labelled(links.unionByName(found))
+        discard(missing, found)
+    named = staged(classes.select("node", "lead").join(labels, "node", "left").select("node", F.coalesce("label.lead", "lead").alias("least")), "components")
+    discard(*spent, labels, classes)
+    out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
+    out = staged(out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), "components")
+    discard(rows, named)
+    return out
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df whose id is the smallest of their component, with df's columns."""
-    kept = near_duplicates(df, id_col, text_col).where("kept").select(F.col("doc_id").alias("kept_id__")).distinct()
-    return df.join(kept, df[id_col].eqNullSafe(kept.kept_id__), "left_semi")
+    found = near_duplicates(df, id_col, text_col)
+    kept = found.where("kept").select(F.col("doc_id").alias("kept_id__")).distinct()
+    return owning(df.join(kept, df[id_col].eqNullSafe(kept.kept_id__), "left_semi"), found)

@@ -7,8 +7,8 @@ Pieces go in from the largest to the smallest, window by window; sequences that
 window's end stay open for the next one.
 
 A first round packs each partition of the input by itself, in one narrow pass without a shuffle. Its
-sequences that end with REOPEN tokens of room or more, a few a partition, are opened again: their pieces
-are dealt evenly to groups of a window each and packed once more, so the number of sequences does not grow with the
+sequences that end with REOPEN tokens of room or more, a few a partition, are opened again: their pieces are dealt
+evenly to groups of AGAIN each and packed once more, so the number of sequences does not grow with the
 number of partitions. The first round is written out, as both it and the second read it.
 
 Null texts count as empty: such a document is its end token alone. Repeated rows are packed as rows of
@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, staged
+from .common import owning, pieces, staged
 
 
-#: Room, in parts of a sequence's tokens, from which a sequence is opened again at the end of the first round.
-REOPEN = 1 / 64
+#: Room, in parts of a sequence's tokens, from which a sequence is opened again at the end of the first round; pieces of a group of the second.
+REOPEN, AGAIN = 1 / 64, 2048
 
 
 @dataclass(frozen=True)
@@ -172,13 +172,13 @@ def pack(
 
     rows = staged(base.mapInArrow(first, schema), "packed", compression="zstd")
     open_ = rows.where("sequence_id is null")
-    groups = -(-open_.count() // capacity.window)
+    groups = -(-open_.count() // AGAIN)
     packed = rows.where("sequence_id is not null")
     if not groups:
-        return packed
+        return owning(packed, rows)
     # Places in a written table, so that a task that runs again deals the same way.
     dealt = open_.withColumn("deal", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
-    return packed.unionByName(dealt.groupBy("deal").applyInArrow(again, schema))
+    return owning(packed.unionByName(dealt.groupBy("deal").applyInArrow(again, schema)), rows)
 
 
 @lru_cache(maxsize=2)

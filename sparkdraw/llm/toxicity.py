@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, staged, with_arrow
+from .common import discard, pieces, staged, with_arrow
 from .labelled import SAMPLE, training_rows
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -202,12 +202,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     """Learn from at most ``sample`` labelled rows; the driver gets counts, and three numbers a row."""
     half = (F.crc32(F.concat(F.lit("half "), F.col("doc_id").cast("string")).cast("binary")) % 2).cast("int")
     rows = staged(training_rows(docs, labels, label, sample).withColumn("half", half), "sample")
+    counts = staged(_count(rows), "features")
+    try:
+        return _fit(rows, counts)
+    finally:
+        discard(rows, counts)
+
+
+def _fit(rows: DataFrame, counts: DataFrame) -> ToxicModel:
     model = ToxicModel()
     sizes = {r["half"]: (r["n"], r["p"]) for r in rows.groupBy("half").agg(F.count("*").alias("n"), F.sum("label").alias("p")).collect()}
     n, positive = (sum(x[i] for x in sizes.values()) for i in (0, 1))
     if not n or not positive or positive == n:
         return model
-    counts = staged(_count(rows), "features")
     total = counts.where("feature = ''").first()
     if total is None or not 0 < total["toxic0"] + total["toxic1"] < total["seen0"] + total["seen1"]:
         return model
