@@ -3,12 +3,14 @@
 Images are decoded to numpy arrays, resized by area with integral images, and written as NPY tiles
 with a difference hash. ``text_to_image`` stores a text as the samples of a binary PPM image.
 
-Null text counts as empty. A null or malformed image gives null results and a reason in ``error``.
+Null text counts as empty. A null or malformed image gives null results and a reason in ``error``, whatever
+size it claims. Samples are given as stored; tiles and hashes take the largest possible sample as white.
 """
 
 from __future__ import annotations
 
 import io
+import math
 import re
 from collections.abc import Iterator
 
@@ -29,8 +31,15 @@ _HEAD = re.compile(rb"P([1-6])" + _SPACE + rb"(\d+)" + _SPACE + rb"(\d+)")
 _MAX = re.compile(_SPACE + rb"(\d+)")
 
 
-def decode_netpbm(data: bytes) -> np.ndarray:
-    """P1 to P6 as an array (height, width) or (height, width, 3); maxval up to 65535."""
+def _samples(data: bytes, at: int, count: int, kind: str) -> np.ndarray:
+    """count samples from place at; a size that the data cannot hold is an error before anything is made of it."""
+    if count * np.dtype(kind).itemsize > len(data) - at:
+        raise ValueError("too few samples")
+    return np.frombuffer(data, kind, count, at)
+
+
+def _netpbm(data: bytes) -> tuple[np.ndarray, int]:
+    """The image and its largest possible sample."""
     head = _HEAD.match(data)
     if not head:
         raise ValueError("no Netpbm header")
@@ -46,22 +55,30 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         if not 1 <= most <= 65535:
             raise ValueError("maxval out of range")
     shape = (height, width, 3) if kind in (3, 6) else (height, width)
-    count = int(np.prod(shape))
+    count = math.prod(shape)
     if kind <= 3:
+        if count > len(data) - at:
+            raise ValueError("too few samples")
         body = re.sub(rb"#[^\n]*", b" ", data[at:])
         found = re.findall(rb"[01]" if kind == 1 else rb"\d+", body)
         if len(found) < count:
             raise ValueError("too few samples")
-        flat = np.array([int(x) for x in found[:count]])
-        out = flat.reshape(shape)
-        return (1 - out).astype(np.uint8) * 255 if kind == 1 else out.astype(np.uint8 if most < 256 else np.uint16)
-    at += 1
-    if kind == 4:
+        out = np.array([int(x) if len(x) < 8 else most + 1 for x in found[:count]]).reshape(shape)
+    elif kind == 4:
         stride = (width + 7) // 8
-        raw = np.frombuffer(data, np.uint8, stride * height, at).reshape(height, stride)
-        return (1 - np.unpackbits(raw, axis=1)[:, :width]) * np.uint8(255)
-    raw = np.frombuffer(data, np.uint8 if most < 256 else ">u2", count, at)
-    return raw.reshape(shape)
+        out = np.unpackbits(_samples(data, at + 1, stride * height, "u1").reshape(height, stride), axis=1)[:, :width]
+    else:
+        out = _samples(data, at + 1, count, "u1" if most < 256 else ">u2").reshape(shape)
+    if kind in (1, 4):
+        return (1 - out).astype(np.uint8) * np.uint8(255), 255
+    if out.max() > most:
+        raise ValueError("a sample above maxval")
+    return out if kind > 3 else out.astype(np.uint8 if most < 256 else np.uint16), most
+
+
+def decode_netpbm(data: bytes) -> np.ndarray:
+    """P1 to P6 as an array (height, width) or (height, width, 3), samples as stored; maxval up to 65535."""
+    return _netpbm(data)[0]
 
 
 def encode_ppm(pixels: np.ndarray) -> bytes:
@@ -80,13 +97,13 @@ def decode_bmp(data: bytes) -> np.ndarray:
     if packing != 0 or bits not in (1, 4, 8, 24, 32) or width < 1 or height == 0:
         raise ValueError("unsupported BMP")
     rows, stride = abs(height), (width * bits + 31) // 32 * 4
-    raw = np.frombuffer(data, np.uint8, rows * stride, offset).reshape(rows, stride)
+    raw = _samples(data, offset, rows * stride, "u1").reshape(rows, stride)
     if bits >= 24:
         step = bits // 8
         out = raw[:, : width * step].reshape(rows, width, step)[:, :, 2::-1]
     else:
         used = int.from_bytes(data[46:50], "little") or 1 << bits
-        palette = np.frombuffer(data, np.uint8, used * 4, 14 + size).reshape(used, 4)[:, 2::-1]
+        palette = _samples(data, 14 + size, used * 4, "u1").reshape(used, 4)[:, 2::-1]
         per = 8 // bits
         shifts = np.arange(per - 1, -1, -1, dtype=np.uint8) * bits
         index = (raw[:, :, None] >> shifts & (1 << bits) - 1).reshape(rows, -1)[:, :width]
@@ -107,18 +124,27 @@ def encode_bmp(pixels: np.ndarray) -> bytes:
     return head + rows.tobytes()
 
 
+def _image(data: bytes) -> tuple[np.ndarray, int]:
+    return (decode_bmp(data), 255) if data[:2] == b"BM" else _netpbm(data)
+
+
 def decode_image(data: bytes) -> np.ndarray:
-    """Netpbm or BMP, told apart by content."""
-    return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+    """Netpbm or BMP, told apart by content; samples as stored."""
+    return _image(data)[0]
 
 
-def resize_area(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over each target pixel's area, fractions of source pixels included, by an integral image."""
+def integral(image: np.ndarray) -> np.ndarray:
+    """Sums of all samples above and left of each corner, by plane."""
     planes = image[:, :, None] if image.ndim == 2 else image
-    rows, cols, depth = planes.shape
-    total = np.zeros((rows + 1, cols + 1, depth))
+    total = np.zeros((planes.shape[0] + 1, planes.shape[1] + 1, planes.shape[2]))
     np.cumsum(planes, axis=0, dtype=np.float64, out=total[1:, 1:])
     np.cumsum(total[1:, 1:], axis=1, out=total[1:, 1:])
+    return total
+
+
+def area_means(total: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Mean over each target pixel's area, fractions of source pixels included, from an integral image."""
+    rows, cols = total.shape[0] - 1, total.shape[1] - 1
 
     def at(values: np.ndarray, n: int, parts: int, axis: int) -> np.ndarray:
         edge = np.arange(parts + 1) * (n / parts)
@@ -128,27 +154,41 @@ def resize_area(image: np.ndarray, height: int, width: int) -> np.ndarray:
         return a + share * (b - a)
 
     corners = at(at(total, rows, height, 0), cols, width, 1)
-    mean = np.diff(np.diff(corners, axis=0), axis=1) / (rows / height * cols / width)
+    return np.diff(np.diff(corners, axis=0), axis=1) / (rows / height * cols / width)
+
+
+def resize_area(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    mean = area_means(integral(image), height, width)
     return mean[:, :, 0] if image.ndim == 2 else mean
 
 
-def grey(image: np.ndarray) -> np.ndarray:
-    return image.astype(np.float64) if image.ndim == 2 else image @ np.array([0.299, 0.587, 0.114])
+def grey(image: np.ndarray, most: int = 255) -> np.ndarray:
+    """Brightness from 0 to 255, of samples up to ``most``."""
+    plane = image.astype(np.float64) if image.ndim == 2 else image @ np.array([0.299, 0.587, 0.114])
+    return plane * (255 / most) if most != 255 else plane
 
 
-def difference_hash(image: np.ndarray) -> str:
-    """64 bits as hex: whether each of 8 x 8 cells is darker than its right neighbour."""
-    cells = np.round(resize_area(grey(image), 8, 9), 6)
+def _hash_of(total: np.ndarray) -> str:
+    cells = np.round(area_means(total, 8, 9)[:, :, 0], 6)
     return np.packbits(cells[:, :-1] < cells[:, 1:]).tobytes().hex()
 
 
-def npy_tile(image: np.ndarray, side: int = TILE) -> bytes:
-    """A grey tile of side x side bytes in NPY form."""
+def difference_hash(image: np.ndarray, most: int = 255) -> str:
+    """64 bits as hex: whether each of 8 x 8 cells is darker than its right neighbour."""
+    return _hash_of(integral(grey(image, most)))
+
+
+def _tile_of(total: np.ndarray, side: int) -> bytes:
     out = io.BytesIO()
-    np.save(out, np.clip(np.rint(resize_area(grey(image), side, side)), 0, 255).astype(np.uint8), allow_pickle=False)
+    np.save(out, np.clip(np.rint(area_means(total, side, side)[:, :, 0]), 0, 255).astype(np.uint8), allow_pickle=False)
     return out.getvalue()
 
 
+def npy_tile(image: np.ndarray, side: int = TILE, most: int = 255) -> bytes:
+    """A grey tile of side x side bytes in NPY form; ``most`` is white."""
+    return _tile_of(integral(grey(image, most)), side)
+
+
 def text_to_image(df: DataFrame, text_col: str = "text", media_col: str = "media") -> DataFrame:
     """df with the text's UTF-8, filled up with spaces to whole pixel rows, as a PPM in ``media_col``."""
     row = WIDTH * 3
@@ -180,10 +220,11 @@ def decode_media(df: DataFrame, media_col: str = "media", side: int = TILE) -> D
         if data is None:
             return (None,) * 5 + ("no image",)
         try:
-            image = decode_image(data)
-        except (ValueError, IndexError) as bad:
-            return (None,) * 5 + (str(bad),)
-        return image.tobytes(), image.shape[0], image.shape[1], npy_tile(image, side), difference_hash(image), None
+            image, most = _image(data)
+        except (ValueError, IndexError, OverflowError, MemoryError) as bad:
+            return (None,) * 5 + (str(bad) or type(bad).__name__,)
+        total = integral(grey(image, most))
+        return image.tobytes(), image.shape[0], image.shape[1], _tile_of(total, side), _hash_of(total), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
