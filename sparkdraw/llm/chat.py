@@ -9,7 +9,11 @@ Template: ``<turn role="R">``, newline, text, newline, ``</turn>``, newline. In
 and ``<`` (and ``"``) become entities, so no text can hold a mark, and unescaping gives it back.
 
 A parent that is not in the tree makes its child a root. Null trees form a tree of their own, null
-texts, roles count as empty and null scores as 0. A cycle of parents raises ValueError.
+texts, roles count as empty and null scores as 0. A cycle of parents raises ValueError. Of rows that
+repeat a tree and node the least by parent, role, text and score counts, the others do not. Rows
+without a node can have no replies: each different one is a conversation of one turn, with a null leaf.
+
+A path is put together in one task, as it becomes one string.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, owning, staged
 
 _OPEN, _MID, _CLOSE = '<turn role="', '">\n', "</turn>\n"
 
@@ -46,25 +50,27 @@ def linear_trees(rows: DataFrame, tree: str, order: str, role: str = "role", tex
 
 
 def paths(nodes: DataFrame) -> DataFrame:
-    """(key, leaf, node, back) for nodes with key, node, parent: every node of every root-to-leaf path and its distance from the leaf."""
+    """(key, leaf, node, back) for nodes with key, node, parent, each node once: every node of every root-to-leaf path and its distance from the leaf."""
     own = nodes.select("key", "node")
     step = nodes.where(F.col("parent").isNotNull()).select("key", "node", F.col("parent").alias("up"))
     known = own.select("key", F.col("node").alias("up"))
-    jumps = [staged(step.join(known.distinct(), ["key", "up"], "left_semi").select("key", "node", "up"), "jumps")]
+    jumps = [staged(step.join(known, ["key", "up"], "left_semi").select("key", "node", "up"), "jumps")]
     most = None
     while not jumps[-1].isEmpty():
         most = most or own.count()
         if 2 ** (len(jumps) - 1) > most:
+            discard(*jumps)
             raise ValueError("parents form a cycle")
         last = jumps[-1]
         onward = last.select("key", F.col("node").alias("up"), F.col("up").alias("far"))
         jumps.append(staged(last.join(onward, ["key", "up"]).select("key", "node", F.col("far").alias("up")), "jumps"))
     parents = jumps[0].select("key", F.col("up").alias("node")).distinct()
-    found = own.join(parents, ["key", "node"], "left_anti").select("key", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back"))
+    found = staged(own.join(parents, ["key", "node"], "left_anti").select("key", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back")), "paths")
     for k in reversed(range(len(jumps) - 1)):
-        found = staged(found, "paths")
         far = found.join(jumps[k], ["key", "node"]).select("key", "leaf", F.col("up").alias("node"), (F.col("back") + 2**k).alias("back"))
-        found = found.unionByName(far)
+        last, found = found, staged(found.unionByName(far), "paths")
+        discard(last)
+    discard(*jumps)
     return found
 
 
@@ -75,31 +81,34 @@ def format_trees(nodes: DataFrame, best: int | None = None, learn: str = "assist
     of ``formatted`` that hold texts of the role ``learn``.
     """
     key = F.when(F.col("tree").isNull(), "").otherwise(F.concat(F.lit("="), F.col("tree").cast("string")))
-    nodes = staged(
-        nodes.select(
-            key.alias("key"), "tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
-            F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"),
-        ),
-        "nodes",
+    given = nodes.select(
+        key.alias("key"), "tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
+        F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"),
     )
-    turns = paths(nodes).join(nodes.drop("parent"), ["key", "node"])
+    row = F.struct("parent", "role", "text", "score", "tree")
+    named = given.where("node is not null").groupBy("key", "node").agg(F.min(row).alias("r")).select("key", "r.tree", "node", "r.parent", "r.role", "r.text", "r.score")
+    nodes = staged(named, "nodes")
+    joined = paths(nodes)
+    alone = given.where("node is null").withColumn("lone", F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256)).dropDuplicates(["key", "lone"])
+    alone = alone.select("key", "tree", F.col("node").alias("leaf"), F.lit(0).cast("long").alias("back"), "lone", "role", "text", "score")
+    turns = joined.withColumn("lone", F.lit("")).join(nodes.drop("parent"), ["key", "node"]).select(*alone.columns).unionByName(alone)
     head = F.concat(F.lit(_OPEN), escape(F.col("role")), F.lit(_MID))
     body = escape(F.col("text"))
-    turns = turns.select("key", "tree", "leaf", "back", "score", head.alias("head"), body.alias("body"), (F.col("role") == learn).alias("learn"))
+    turns = turns.select("key", "tree", "leaf", "lone", "back", "score", head.alias("head"), body.alias("body"), (F.col("role") == learn).alias("learn"))
     turns = turns.withColumn("piece", F.concat("head", "body", F.lit("\n" + _CLOSE)))
-    path = Window.partitionBy("key", "leaf").orderBy(F.desc("back"))
+    path = Window.partitionBy("key", "leaf", "lone").orderBy(F.desc("back"))
     before = F.coalesce(F.sum(F.length("piece")).over(path.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     start = before + F.length("head")
     turns = turns.withColumn("span", F.when(F.col("learn"), F.struct(start.cast("long").alias("start"), (start + F.length("body")).cast("long").alias("end"))))
-    whole = turns.groupBy("key", "leaf").agg(
+    whole = turns.groupBy("key", "leaf", "lone").agg(
         F.first("tree").alias("tree"), F.sum("score").alias("score"), F.count("*").alias("n_turns"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("at"), "piece"))), lambda t: t.piece), "").alias("formatted"),
         F.array_sort(F.collect_list("span")).alias("loss_spans"),
     )
-    ranked = whole.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "leaf")))
+    ranked = whole.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "leaf", "lone")))
     if best is not None:
         ranked = ranked.where(F.col("rank") <= best)
-    return ranked.select("tree", "leaf", "rank", "score", "n_turns", "formatted", "loss_spans")
+    return owning(ranked.select("tree", "leaf", "rank", "score", "n_turns", "formatted", "loss_spans"), nodes, joined)
 
 
 def read_turns(formatted: Column) -> Column:
