@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkdraw.llm import exact, neardup, packing, secrets, toxicity
-from sparkdraw.llm.common import staged, table
+from sparkdraw.llm.common import discard, staged, table
 
 #: A document at or above this probability goes.
 TOXIC = 0.5
@@ -61,5 +61,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage in order, over the whole of documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        made = stage(spark, docs, sf_dir)
+        last, docs = docs, staged(made, name)
+        discard(last, made)
     return STAGES[-1][1](spark, docs, sf_dir)
