@@ -20,12 +20,11 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     step = staged(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label"), F.lit(True).alias("moved")), "labels")
     while True:
         labels = step.select("node", "label")
-        near = both.join(labels, both.v == labels.node).select(F.col("u").alias("node"), "label").union(labels)
-        least = near.groupBy("node").agg(F.min("label").alias("label"))
+        near = both.join(labels, both.v == labels.node).select(F.col("u").alias("node"), "label", F.lit(None).cast(labels.schema["label"].dataType).alias("was"))
+        least = near.unionByName(labels.withColumn("was", F.col("label"))).groupBy("node").agg(F.min("label").alias("label"), F.max("was").alias("was"))
         roots = least.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        jumped = least.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label"))
-        before = labels.withColumnRenamed("label", "was")
-        last, step = step, staged(jumped.join(before, "node").select("node", "label", (F.col("label") != F.col("was")).alias("moved")), "labels")
+        jumped = least.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label"), "was")
+        last, step = step, staged(jumped.select("node", "label", (F.col("label") != F.col("was")).alias("moved")), "labels")
         discard(last)
         if step.where("moved").isEmpty():
             discard(both)

@@ -208,11 +208,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stars = pairs.groupBy("node").agg(F.max(F.struct((-_unequal_cells("m", "c")).alias("cells"), "met", F.col("centre").alias("node"))).alias("best"))
     edges = staged(stars.select(F.least("node", "best.node").alias("a"), F.greatest("node", "best.node").alias("b")).distinct(), "edges")
 
-    def sets_of(nodes: DataFrame) -> DataFrame:
+    def sets_of(nodes: DataFrame, hint: str | None = None) -> DataFrame:
         """Sets of the classes in nodes, from the text of one document of each class."""
-        # Written out, so that its size is known: Spark sends it to all tasks if it is under its threshold, and deals out texts if not.
+        # Written out, so that its size is known: without a hint Spark sends it to all tasks if it is under its threshold, and deals out texts if not.
         named = staged(classes.select("node", "lead").join(nodes, "node", "left_semi"), "leads")
-        text = docs.join(named, docs.doc_id.eqNullSafe(named.lead)).select("node", "text")
+        ids = named.hint(hint) if hint else named
+        text = docs.join(ids, docs.doc_id.eqNullSafe(named.lead)).select("node", "text")
         out = staged(_sets(text), "sets")
         discard(named)
         return out
@@ -220,23 +221,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
-    # Within components classes go by their least document, then by name: the least label says which id a component has.
-    ranked = classes.select("node", F.struct(F.col("lead").isNull().alias("none"), "lead", "node").alias("rank"))
-
-    def labelled(links: DataFrame) -> DataFrame:
-        """(node, label) of the classes that have links; a label has the component's least document id as ``lead``."""
-        by_rank = links.join(ranked.select(F.col("node").alias("a"), F.col("rank").alias("x")), "a").join(ranked.select(F.col("node").alias("b"), F.col("rank").alias("y")), "b")
-        found = connected_components(by_rank, "x", "y")
-        out = staged(found.select("node.node", "label"), "labels")
-        discard(found)
-        return out
-
-    sets = sets_of(ends(edges))
+    # These grow with the input, so texts are dealt out at every size; what is missing later are a few.
+    sets = sets_of(ends(edges), "merge")
     links = staged(_confirmed(edges, sets), "links")
-    labels = labelled(links)
+    labels = connected_components(links)
 
     # The exact way for buckets that still hold several components.
-    placed = members.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("label.node", "node").alias("part"))
+    placed = members.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("part"))
     parts = placed.groupBy("band", "part").agg(F.count("*").alias("k"))
     mixed = parts.groupBy("band").agg(F.max(F.struct("k", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     open_ = placed.join(mixed, "band").select("band", "node", "part", F.col("main.part").alias("main"))
@@ -258,10 +249,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             sets = sets.unionByName(rest)
         found = staged(_confirmed(more, sets), "links")
         if not found.isEmpty():
-            discard(labels)
-            labels = labelled(links.unionByName(found))
+            # Between components, so few: components of these join whole ones.
+            side = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
+            between = found.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+            joined = connected_components(between)
+            both = labels.unionByName(ends(found).join(labels, "node", "left_anti").select("node", F.col("node").alias("label")))
+            wide = both.join(joined.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+            spent.append(labels)
+            labels = staged(wide, "labels")
+            discard(joined)
         discard(missing, found)
-    named = staged(classes.select("node", "lead").join(labels, "node", "left").select("node", F.coalesce("label.lead", "lead").alias("least")), "components")
+    # By class, not by row, so that a text with many copies is one row here.
+    marked = classes.select("node", "lead").join(labels, "node", "left").select("node", "lead", F.coalesce("label", "node").alias("label"))
+    least = marked.groupBy("label").agg(F.min("lead").alias("least"))
+    named = staged(marked.join(least, "label").select("node", "least"), "components")
     discard(*spent, labels, classes)
     out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
     out = staged(out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), "components")
@@ -273,4 +274,4 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows of df whose id is the smallest of their component, with df's columns."""
     found = near_duplicates(df, id_col, text_col)
     kept = found.where("kept").select(F.col("doc_id").alias("kept_id__")).distinct()
-    return owning(df.join(kept, df[id_col].eqNullSafe(kept.kept_id__), "left_semi"), found)
+    return owning(df.join(kept.hint("merge"), df[id_col].eqNullSafe(kept.kept_id__), "left_semi"), found)
