@@ -7,38 +7,29 @@ import json
 import sys
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
-from .corpus import Corpus, read
+from .corpus import read
 
 
 def _rows(df) -> list[dict]:
     return [json.loads(x) for x in df.toJSON().toLocalIterator()]
 
 
-def summary(corpus: Corpus, records: bool = False, lines: bool = False) -> list[dict]:
-    """A dictionary a drawing, as ``inspect`` prints it."""
-    out = _rows(corpus.summary())
-    notes = _rows(corpus.scan.where("row = 'diagnostic'").select("drawing_id", "diagnostic.*").orderBy("drawing_id", "phase", "ordinal", "seq"))
-    extra = {"diagnostics": notes}
-    if records:
-        extra["records"] = _rows(corpus.records.select("drawing_id", F.col("record_index").alias("index"), F.col("section_number").alias("section"), F.col("record_type").alias("type"), "offset", "length", "termination").orderBy("drawing_id", "index"))
-    if lines:
-        extra["lines"] = _rows(corpus.lines.select("drawing_id", "number", "offset", "length", "ending", "kind", F.col("section_number").alias("section")).orderBy("drawing_id", "number"))
-    for drawing in out:
-        for name, rows in extra.items():
-            drawing[name] = [{k: v for k, v in r.items() if k != "drawing_id"} for r in rows if r["drawing_id"] == drawing["drawing_id"]]
-    return out
+def _told(report: dict) -> list[str]:
+    """The lines of one drawing's report."""
+    out = [f"{report['drawing_id']}: {report['source_size']} bytes, {report['line_count']} lines, {report['section_count']} sections, {report['record_count']} records, {report['termination']}"]
+    out += [f"  {name}: {n}" for name, n in sorted((report.get("record_types") or {}).items())]
+    return out + ["  " + ", ".join(f"{k}={v}" for k, v in row.items()) for part in ("records", "lines", "diagnostics") for row in report.get(part, ())]
 
 
 def main(arguments: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="sparkdraw")
     commands = parser.add_subparsers(dest="command", required=True)
-    inspect = commands.add_parser("inspect", help="structural summary of drawings")
+    inspect = commands.add_parser("inspect", help="print what each drawing is made of")
     inspect.add_argument("paths", nargs="+")
     for name in ("json", "records", "lines"):
         inspect.add_argument(f"--{name}", action="store_true")
-    audit = commands.add_parser("audit", help="statistics of a corpus")
+    audit = commands.add_parser("audit", help="print counts over all drawings")
     audit.add_argument("paths", nargs="+")
     audit.add_argument("--json", action="store_true")
     asked = parser.parse_args(arguments)
@@ -55,20 +46,21 @@ def main(arguments: list[str] | None = None) -> int:
                 for r in rows:
                     print(f"| {r['metric']} | {r['item']} | {r['value']} | {r['count']} |")
             return 0
-        failed = _rows(corpus.errors)
-        for error in failed:
-            print(f"{error['drawing_id']}: {error['class']}: {error['message']}", file=sys.stderr)
-        found = [d for d in summary(corpus, asked.records, asked.lines) if "error" not in d]
+        failed, opening = False, "["
+        # Reports are made by executors; the driver holds one at a time.
+        for row in corpus.inspect(asked.records, asked.lines).orderBy("failed", "drawing_id").toLocalIterator():
+            report = json.loads(row["report"])
+            if row["failed"]:
+                failed = True
+                print(f"{report['drawing_id']}: {report['error']['class']}: {report['error']['message']}", file=sys.stderr)
+            elif asked.json:
+                print(opening, json.dumps(report), sep="\n")
+                opening = ","
+            else:
+                print(*_told(report), sep="\n")
         if asked.json:
-            print(json.dumps(found))
-        else:
-            for d in found:
-                print(f"{d['drawing_id']}: {d['source_size']} bytes, {d['line_count']} lines, {d['section_count']} sections, {d['record_count']} records, {d['termination']}")
-                for name, n in sorted((d.get("record_types") or {}).items()):
-                    print(f"  {name}: {n}")
-                for row in (*d.get("records", ()), *d.get("lines", ()), *d["diagnostics"]):
-                    print("  " + ", ".join(f"{k}={v}" for k, v in row.items()))
-        return 1 if failed else 0
+            print("[]" if opening == "[" else "]")
+        return int(failed)
     finally:
         corpus.close()
 

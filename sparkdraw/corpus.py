@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Iterator
 from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .errors import CLASSES, DrawingError
+from .errors import CLASSES
 from .functions import text as codecs
 from .functions.geometry import apply
 from .operators import audit, decode, diagnostics, polylines, query, resolve, structure
@@ -30,6 +34,7 @@ class Corpus:
     def __init__(self, source: DataFrame, limits: Limits, encoding: str | None, mode: str):
         self.source, self.limits, self.encoding, self.mode = source, limits, encoding, mode
         self._shelf = Shelf()
+        self._typed: dict[tuple[str, ...], DataFrame] = {}
 
     def close(self) -> None:
         self._shelf.clear()
@@ -68,22 +73,48 @@ class Corpus:
 
     @cached_property
     def logical(self) -> DataFrame:
-        """(drawing_id, source): the logical bytes, for slices by span."""
+        """(drawing_id, source): the logical bytes; only drawings in an envelope go through Python."""
         limits = self.limits
 
-        @F.udf("binary")
-        def opened(data: bytes | None) -> bytes | None:
-            try:
-                return files.unwrap(bytes(data), limits)[0] if data is not None else None
-            except DrawingError:
-                return None
+        def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for who, data in zip(*[batch.column(c) for c in (KEY, "content")], strict=True):
+                    yield pa.RecordBatch.from_arrays([pa.array([who.as_py()]), pa.array([files.opened(data.as_py(), limits)], pa.binary())], names=[KEY, "source"])
 
-        plain = files.compression(F.col("content")).isNull()
-        return self.source.select(KEY, F.when(plain, F.col("content")).otherwise(opened("content")).alias("source"))
+        wrapped = files.compression(F.col("content")).isNotNull()
+        plain = self.source.where(~F.coalesce(wrapped, F.lit(False))).select(KEY, F.col("content").alias("source"))
+        return plain.unionByName(self.source.where(wrapped).select(KEY, "content").mapInArrow(opened, f"{KEY} string, source binary"))
 
     def slices(self, spans: DataFrame, offset: str = "offset", length: str = "length") -> DataFrame:
-        """spans (drawing_id, offset, length, ...) with ``bytes``, cut from the logical streams."""
-        return spans.join(self.logical, KEY).withColumn("bytes", F.substring(F.col("source"), (F.col(offset) + 1).cast("int"), F.col(length).cast("int"))).drop("source")
+        """spans (drawing_id, offset, length, ...) with ``bytes``, cut from the logical streams; a drawing is opened once for all its spans."""
+        limits, names = self.limits, [c for c in spans.columns if c != KEY]
+        schema = T.StructType([spans.schema[KEY], *[spans.schema[c] for c in names], T.StructField("bytes", T.BinaryType())])
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(len(batch)):
+                    data = files.opened(batch.column("content")[i].as_py(), limits)
+                    rows = batch.column("spans__")[i].values
+                    at, size = (rows.field(c).to_pylist() for c in (offset, length))
+                    got = [data[a : a + n] if None not in (data, a, n) else None for a, n in zip(at, size, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(KEY)[i].as_py()] * len(rows)), *[rows.field(c) for c in names], pa.array(got, pa.binary())], names=[KEY, *names, "bytes"])
+
+        packed = spans.groupBy(KEY).agg(F.collect_list(F.struct(*names)).alias("spans__"))
+        return packed.join(self.source.select(KEY, "content"), KEY).mapInArrow(cut, schema)
+
+    def inspect(self, records: bool = False, lines: bool = False) -> DataFrame:
+        """(drawing_id, report): a JSON text a drawing, as the command line prints it; executors can write it."""
+        notes = self.scan.where("row = 'diagnostic'").select(KEY, "diagnostic.*")
+        sides = {"diagnostics": notes.select(KEY, F.struct("phase", "ordinal", "seq", "severity", "code", "message", "span").alias("v"))}
+        if records:
+            sides["records"] = self.records.select(KEY, F.struct(F.col("record_index").alias("index"), F.col("section_number").alias("section"), F.col("record_type").alias("type"), "offset", "length", "termination").alias("v"))
+        if lines:
+            sides["lines"] = self.lines.select(KEY, F.struct("number", "offset", "length", "ending", "kind", F.col("section_number").alias("section")).alias("v"))
+        out = self.summary()
+        for name, rows in sides.items():
+            none = F.array().cast(T.ArrayType(rows.schema["v"].dataType))
+            out = out.join(rows.groupBy(KEY).agg(F.array_sort(F.collect_list("v")).alias(name)), KEY, "left").withColumn(name, F.coalesce(name, none))
+        return out.select(KEY, F.to_json(F.struct(*out.columns)).alias("report"), F.col("error").isNotNull().alias("failed"))
 
     def summary(self) -> DataFrame:
         """One row a drawing: format, sizes, newlines, and counts of lines, sections, records and record types."""
@@ -100,44 +131,79 @@ class Corpus:
 
     @cached_property
     def entities(self) -> DataFrame:
-        return self._shelf.put(decode.decode(self.records, decode.present_types(self.records)), "entities")
+        return self._shelf.put(decode.decode(self.records, self._present), "entities")
+
+    @cached_property
+    def _present(self) -> set[str]:
+        return decode.present_types(self.records)
+
+    def _of(self, *kinds: str) -> DataFrame:
+        """Entities of some kinds, decoded from their own record types only and written out once, as readings of a record are used many times."""
+        if "entities" in self.__dict__:
+            return self.entities.where(F.col("kind").isin(*kinds))
+        types = {t for k in kinds for t in decode.KINDS[k]}
+        if kinds not in self._typed:
+            rows = decode.decode(self.records.where(F.col("record_type").isin(*types)), types, sparse=True).where(F.col("kind").isin(*kinds))
+            # A point has two plain readings: to make them again costs less than to write them.
+            self._typed[kinds] = rows if kinds == ("point",) else self._shelf.put(rows, "entities")
+        return self._typed[kinds]
+
+    def _has(self, kind: str) -> bool:
+        return bool(self._present & set(decode.KINDS[kind]))
 
     @cached_property
     def located(self) -> DataFrame:
-        return resolve.points(self.entities)
+        return resolve.points(self._of("point"))
 
     @cached_property
     def points(self) -> DataFrame:
-        return self.entities.where("kind = 'point'").select(KEY, "entity_index", "entity_id", "part_index", "is_first", "point.x", "point.y")
+        return self._of("point").select(KEY, "entity_index", "entity_id", "part_index", "is_first", "point.x", "point.y")
 
     @cached_property
     def lines_geo(self) -> DataFrame:
-        return resolve.lines_geo(self.entities, self.located)
+        return resolve.lines_geo(self._of("line"), self.located)
 
     @cached_property
     def arcs(self) -> DataFrame:
-        return resolve.arcs(self.entities, self.located)
+        return resolve.arcs(self._of("arc", "fillet"), self.located)
 
     @cached_property
     def circles(self) -> DataFrame:
-        return resolve.circles(self.entities, self.located)
+        return resolve.circles(self._of("circle"), self.located)
 
     @cached_property
     def bsplines(self) -> DataFrame:
-        return resolve.bsplines(self.entities, self.located)
+        return resolve.bsplines(self._of("bspline"), self.located)
 
     @cached_property
     def hatches(self) -> DataFrame:
-        return resolve.hatches(self.entities)
+        return resolve.hatches(self._of("hatch", "hatch_assoc"))
 
     @cached_property
     def dimensions(self) -> DataFrame:
-        return resolve.dimensions(self.entities)
+        return resolve.dimensions(self._of("dimension", "tolerance"))
+
+    @cached_property
+    def hatch_patterns(self) -> DataFrame:
+        return resolve.hatch_patterns(self._of("hatch", "hatch_assoc", "property"))
+
+    @cached_property
+    def hatch_contours(self) -> DataFrame:
+        """Hatches with their boundary loops as contours, null where there is none, and with their pattern."""
+        contours = self._of("contour").where("is_first").select(KEY, "entity_id", F.struct("entity_id", "contour.closed", "contour.orientation", "contour.component_ids").alias("value"))
+        rows = resolve.attached(self.hatches, "boundary_loop_ids", contours, "boundary_loops")
+        return rows.join(self.hatch_patterns.select(KEY, "entity_index", "pattern"), [KEY, "entity_index"], "left")
+
+    @cached_property
+    def dimension_tolerances(self) -> DataFrame:
+        """Dimensions with their tolerances as structs."""
+        found = self._of("tolerance").where("is_first").select(KEY, "entity_id", F.struct("entity_id", "tolerance.*").alias("value"))
+        return resolve.attached(self.dimensions, "tolerance_ids", found, "tolerances")
 
     def variant(self, kind: str) -> DataFrame:
         """Entities of a kind with its own columns: text, property, tolerance, leader, contour, hatch_assoc, symbol, assembly."""
         extra = [c for c in ("graphic",) if kind in ("text", "leader", "contour")]
-        return self.entities.where(F.col("kind") == kind).select(KEY, "entity_index", "entity_id", "mi_type", "part_index", *extra, f"{kind}.*")
+        return self._of(kind).select(KEY, "entity_index", "entity_id", "mi_type", "part_index", *extra, f"{kind}.*")
 
     texts = cached_property(lambda self: self.variant("text"))
     properties = cached_property(lambda self: self.variant("property"))
@@ -165,11 +231,11 @@ class Corpus:
 
     @cached_property
     def bound(self) -> DataFrame:
-        return self._shelf.put(structure.bind(self.entities, self.part_names), "bound")
+        return self._shelf.put(structure.bind(self._of("assembly"), self.part_names), "bound")
 
     @cached_property
     def instances(self) -> DataFrame:
-        return self._shelf.put(structure.instances(self.entities, self.bound), "instances")
+        return self._shelf.put(structure.instances(self._of("assembly", "property"), self.bound), "instances")
 
     @cached_property
     def parts(self) -> DataFrame:
@@ -196,7 +262,9 @@ class Corpus:
         return out
 
     def modelspace(self, names: str = "*") -> DataFrame:
-        """Graphics of each drawing's top part, not expanded."""
+        """Graphics of each drawing's top part, not expanded. With mode FAILFAST a drawing without a part raises LookupError."""
+        if self.mode == "FAILFAST" and (bare := self._drawings.where("error is null").join(self.part_names.select(KEY), KEY, "left_anti").select(KEY).first()) is not None:
+            raise LookupError(f"{bare[0]} has no part")
         top = self.roots.select(F.col(KEY).alias("k__"), F.col("top_part_index").alias("t__"))
         rows = self.query(names)
         return rows.join(top, (rows[KEY] == top["k__"]) & (rows["part_index"] == top["t__"]), "left_semi")
@@ -207,38 +275,55 @@ class Corpus:
     def query_annotations(self, names: str = "*", part: int | None = None) -> DataFrame:
         return query.select(self.entities, names, query.ANNOTATIONS, "is_annotation", part)
 
-    def occurrences(self, root: DataFrame | None = None, include_root: bool = True, strict: bool = True, max_depth: int = 1000) -> DataFrame:
+    def occurrences(self, root: DataFrame | None = None, include_root: bool = True, strict: bool = True, max_depth: int = 1000, max_rows: int = 100_000_000) -> DataFrame:
         """Placed parts below each drawing's top part, or below ``root`` (drawing_id, part_index)."""
         if root is None:
             root = self.roots.select(KEY, F.col("top_part_index").alias("part_index"))
         else:
             root = root.select(KEY, "part_index").join(self.part_names.select(KEY, "part_index"), [KEY, "part_index"], "left_semi")
-        found = structure.occurrences(self.instances, root, strict, max_depth)
+        found = structure.occurrences(self.instances, root, strict, max_depth, max_rows)
         return found if include_root else found.where("depth > 0")
 
-    def sheet_instances(self, strict: bool = True) -> DataFrame:
-        return self.occurrences(include_root=False, strict=strict).where("is_sheet")
+    def sheet_instances(self, strict: bool = True, **bounds: int) -> DataFrame:
+        return self.occurrences(include_root=False, strict=strict, **bounds).where("is_sheet")
 
-    def placed_graphics(self, root: DataFrame | None = None, strict: bool = True) -> DataFrame:
-        """Each graphic once for every occurrence of its part."""
-        at = self.occurrences(root, strict=strict).select(F.col(KEY).alias("k__"), F.col("part_index").alias("p__"), "depth", "path", "order_key", "world")
+    def placed_graphics(self, root: DataFrame | None = None, strict: bool = True, **bounds: int) -> DataFrame:
+        """Each graphic once for every occurrence of its part; bounds: max_depth and max_rows of the traversal, here and below."""
+        at = self.occurrences(root, strict=strict, **bounds).select(F.col(KEY).alias("k__"), F.col("part_index").alias("p__"), "depth", "path", "order_key", "world")
         g = self.graphics.select(KEY, "entity_index", "entity_id", "mi_type", "kind", "part_index", "graphic")
         return g.join(at, (g[KEY] == at["k__"]) & (g["part_index"] == at["p__"])).drop("k__", "p__")
 
-    def placed_lines(self, strict: bool = True) -> DataFrame:
+    def placed_lines(self, strict: bool = True, **bounds: int) -> DataFrame:
         """Lines with their ends in the top part's coordinates, once for every occurrence."""
-        at = self.occurrences(strict=strict).select(F.col(KEY).alias("k__"), F.col("part_index").alias("p__"), "path", "world")
+        at = self.occurrences(strict=strict, **bounds).select(F.col(KEY).alias("k__"), F.col("part_index").alias("p__"), "path", "world")
         g = self.lines_geo
         rows = g.join(at, (g[KEY] == at["k__"]) & (g["part_index"] == at["p__"])).drop("k__", "p__")
         return rows.withColumns({c: apply(F.col("world"), F.col(c)) for c in ("start", "end")})
 
-    def polylines(self, segments: int = CURVE_SEGMENTS, expand: bool = False, strict: bool = True) -> DataFrame:
-        shapes = polylines.polylines(self.lines_geo, self.arcs, self.circles, self.bsplines, segments)
-        return polylines.placed(shapes, self.occurrences(strict=strict)) if expand else shapes
+    def polylines(self, segments: int = CURVE_SEGMENTS, expand: bool = False, strict: bool = True, **bounds: int) -> DataFrame:
+        """Vertices of lines, arcs, circles and splines; only kinds that occur are planned."""
+        kinds = {"line": "lines_geo", "arc": "arcs", "circle": "circles", "bspline": "bsplines"}
+        have = {k: self._has(k) or (k == "arc" and self._has("fillet")) for k in kinds}
+        shapes = polylines.polylines(*[getattr(self, name) if have[k] else None for k, name in kinds.items()], segments=segments, spark=self.source.sparkSession)
+        return polylines.placed(shapes, self.occurrences(strict=strict, **bounds)) if expand else shapes
+
+    def marks(self, expand: bool = False, strict: bool = True, **bounds: int) -> DataFrame:
+        """Points and decoded texts as a preview shows them."""
+        rows = polylines.marks(self.points, self.texts)
+        return polylines.placed_marks(rows, self.occurrences(strict=strict, **bounds)) if expand else rows
 
     def skipped(self, segments: int = CURVE_SEGMENTS) -> DataFrame:
         return polylines.skipped(self.polylines(segments), self.texts)
 
+    def draw(self, path: str, drawing_id: str, segments: int = CURVE_SEGMENTS, expand: bool = False, strict: bool = True, points: bool = False, texts: bool = True, **look) -> None:
+        """A PNG of one drawing; what it leaves out is summed up in a warning for each reason."""
+        of = lambda df: df.where(F.col(KEY) == drawing_id)
+        shown = of(self.marks(expand, strict)).where(F.when(F.col("mi_type") == "P", points).otherwise(texts)) if points or texts else None
+        polylines.draw(of(self.polylines(segments, expand, strict)), path, shown, **look)
+        for row in of(self.skipped(segments)).collect():
+            more = row["count"] - len(row["entity_ids"])
+            warnings.warn(f"{row['count']} left out, {row['reason']}: {', '.join(map(str, row['entity_ids']))}{f' and {more} more' if more else ''}", stacklevel=2)
+
     # Reports
 
     @cached_property

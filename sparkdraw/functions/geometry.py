@@ -120,9 +120,8 @@ def spline_points(degree: int, knots: np.ndarray, controls: np.ndarray, at: np.n
     return last[:, :2] / last[:, 2:]
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])))
-def spline_samples(degree: pd.Series, knots: pd.Series, xs: pd.Series, ys: pd.Series, segments: pd.Series) -> pd.Series:
-    """segments + 1 points over the domain; null if a control point is missing."""
+@F.pandas_udf(T.StructType([T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("y", T.ArrayType(T.DoubleType()))]))
+def _sampled(degree: pd.Series, knots: pd.Series, xs: pd.Series, ys: pd.Series, segments: pd.Series) -> pd.DataFrame:
     out = []
     for d, k, x, y, n in zip(degree, knots, xs, ys, segments, strict=True):
         points = None
@@ -130,5 +129,11 @@ def spline_samples(degree: pd.Series, knots: pd.Series, xs: pd.Series, ys: pd.Se
             k, c = np.asarray(k, float), np.column_stack([np.asarray(x, float), np.asarray(y, float)])
             at = k[d] + (k[len(c)] - k[d]) * np.arange(n + 1) / n
             points = spline_points(int(d), k, c, np.minimum(at, k[len(c)]))
-        out.append(None if points is None else [{"x": px, "y": py} for px, py in points.tolist()])
-    return pd.Series(out)
+        out.append((None, None) if points is None else (points[:, 0], points[:, 1]))
+    return pd.DataFrame({"x": pd.Series([x for x, _ in out], dtype=object), "y": pd.Series([y for _, y in out], dtype=object)})
+
+
+def spline_samples(degree, knots, xs, ys, segments) -> Column:
+    """segments + 1 points over the domain; null if a control point is missing."""
+    both = _sampled(degree, knots, xs, ys, segments)
+    return F.arrays_zip(both["x"].alias("x"), both["y"].alias("y"))

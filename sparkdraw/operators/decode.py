@@ -83,8 +83,8 @@ def _starts() -> Column:
     return F.array_distinct(F.array_compact(F.array(f.count(5) + 6, f.count(6) + 7)))
 
 
-def content_start() -> Column:
-    """Where the content of a graphic or annotation record starts; null if no single layout fits."""
+def content_starts() -> dict[tuple[str, ...], Column]:
+    """By record types: where the content of a graphic or annotation record starts; null if no single layout fits."""
     n = f.size
 
     def text_fits(start: Column, lines_at: int) -> Column:
@@ -99,15 +99,15 @@ def content_start() -> Column:
     leader = _only(F.filter(_starts(), lambda s: F.coalesce(let(f.count(s + 2), lambda k: (k > 0) & (s + 3 + 3 * k == n)), F.lit(False))))
     contour = _only(F.filter(_starts(), lambda s: F.coalesce(let(f.count(s + 2), lambda k: (k > 0) & (s + 3 + k == n)), F.lit(False))))
     hatch = _only(F.filter(_starts(), lambda s: s + 4 == n))
-    return (
-        F.when(TYPE.isin("LIN", "CIR") & (n >= 9), n - 2)
-        .when(TYPE.isin("ARC", "FIL") & (n >= 11) & ((n == 11) | (n >= 17)), n - 4)
-        .when(TYPE == "BSPL", _only(_spline_starts()))
-        .when(TYPE == "TEX", text)
-        .when(TYPE == "LED", leader)
-        .when(TYPE == "COC", contour)
-        .when(TYPE == "HAT", hatch)
-    )
+    return {
+        ("LIN", "CIR"): F.when(n >= 9, n - 2),
+        ("ARC", "FIL"): F.when((n >= 11) & ((n == 11) | (n >= 17)), n - 4),
+        ("BSPL",): _only(_spline_starts()),
+        ("TEX",): text,
+        ("LED",): leader,
+        ("COC",): contour,
+        ("HAT",): hatch,
+    }
 
 
 def _spline_starts() -> Column:
@@ -203,6 +203,12 @@ def bspline() -> Column:
     )
 
 
+def _alignment(code: Column) -> tuple[Column, Column]:
+    """Names of an alignment from 1 to 9: across, then from the bottom up."""
+    across, up = F.array(*map(F.lit, ("left", "center", "right"))), F.array(*map(F.lit, ("lower", "middle", "upper")))
+    return F.get(across, ((code - 1) % 3).cast("int")), F.get(up, F.floor((code - 1) / 3).cast("int"))
+
+
 def text() -> Column:
     """TEX; ``start`` is doubled, and odd for the modern layout."""
     s, modern = (F.col("start0") / 2).cast("int"), F.col("start0") % 2 == 1
@@ -215,13 +221,13 @@ def text() -> Column:
     )
     lines = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda j: text_value(s + 21 + shift + 2 * j))
     align = f.u(s)
-    h, v = F.array(*map(F.lit, ("left", "center", "right"))), F.array(*map(F.lit, ("lower", "middle", "upper")))
+    h, v = _alignment(align)
     m = lambda i: F.get(matrix, F.lit(i))
     det = m(0) * m(4) - m(1) * m(3)
     return F.when(
         (TYPE == "TEX") & good,
         F.struct(
-            align.alias("alignment"), F.get(h, ((align - 1) % 3).cast("int")).alias("horizontal"), F.get(v, F.floor((align - 1) / 3).cast("int")).alias("vertical"),
+            align.alias("alignment"), h.alias("horizontal"), v.alias("vertical"),
             matrix.alias("transform_values"), _point(m(2), m(5)).alias("origin"), F.pmod(F.atan2(m(3), m(0)), F.lit(2 * math.pi)).alias("rotation"), (F.get(sizes, F.lit(0)) / F.get(sizes, F.lit(1))).alias("width_factor"), (det < 0).alias("mirrored"),
             text_value(s + 12).alias("font_name"), F.when(modern, text_value(s + 13)).alias("alternate_font_name"), sizes.alias("size_values"), F.get(sizes, F.lit(1)).alias("height"),
             f.f(s + 18 + shift).alias("line_spacing"), lines.alias("lines"), F.get(lines, F.lit(0)).alias("content"),
@@ -265,12 +271,13 @@ def property_() -> Column:
 
 def tolerance() -> Column:
     a = f.u(9)
+    h, v = _alignment(a)
     good = _all(f.size == 10, a.between(1, 9), _ok(f.i(2), f.f(3), f.f(4), f.i(5), f.u(8)))
     return F.when(
         (TYPE == "DTV") & good,
         F.struct(
             f.i(2).alias("definition_value"), f.f(3).alias("upper_value"), f.f(4).alias("lower_value"), f.i(5).alias("format_value"), text_value(6).alias("upper_text"), text_value(7).alias("lower_text"),
-            f.u(8).alias("text_style_id"), a.alias("alignment"), _values(),
+            f.u(8).alias("text_style_id"), a.alias("alignment"), h.alias("horizontal"), v.alias("vertical"), _values(),
         ),
     )
 
@@ -384,12 +391,17 @@ def _session_cache() -> dict:
     context = SparkContext._active_spark_context
     if context not in _built:
         _built.clear()
-        _built[context] = {"start0": content_start(), "graphic": graphic_header(), "types": None} | {name: build() for name, build in DECODERS.items()}
+        _built[context] = {"starts": content_starts(), "graphic": graphic_header(), "types": None} | {name: build() for name, build in DECODERS.items()}
     return _built[context]
 
 
-def _variants(records: DataFrame, names: list[str], made: dict) -> DataFrame:
-    base = records.where(F.col("entity_id").isNotNull()).withColumn("start0", made["start0"])
+def _variants(records: DataFrame, names: list[str], made: dict, types: set[str] | frozenset[str]) -> DataFrame:
+    """Records with readings of the named variants; layouts of other record types than ``types`` are not planned."""
+    start0 = F.when(F.lit(False), F.lit(0))
+    for group, start in made["starts"].items():
+        if have := [t for t in group if t in types]:
+            start0 = start0.when(TYPE.isin(*have), start)
+    base = records.where(F.col("entity_id").isNotNull()).withColumn("start0", start0)
     start = F.when(TYPE == "TEX", (F.col("start0") / 2).cast("int")).otherwise(F.col("start0"))
     return base.withColumn("start", start).withColumn("graphic", made["graphic"]).withColumns({name: made[name] for name in names})
 
@@ -399,17 +411,20 @@ def present_types(records: DataFrame) -> set[str]:
     return {r[0] for r in records.where(F.col("record_type").isin(*KNOWN)).select("record_type").distinct().collect()}
 
 
-def decode(records: DataFrame, present: set[str] | None = None) -> DataFrame:
+def decode(records: DataFrame, present: set[str] | None = None, sparse: bool = False) -> DataFrame:
     """Records with a valid id as entities: kind, graphic style, and one nullable struct a variant.
 
-    With ``present``, only the decoders of those record types are planned; other variants are null.
+    With ``present``, only the decoders of those record types are planned; other variants are null, or
+    with ``sparse`` no columns at all.
     """
     made = _session_cache()
-    if made["types"] is None:
-        made["types"] = {f.name: f.dataType for f in _variants(records, list(DECODERS), made).schema}
     kinds = [k for k, types in KINDS.items() if present is None or present & set(types)]
     used = [n for n in DECODERS if n in {VARIANT[k] for k in kinds}]
-    out = _variants(records, used, made).withColumns({n: F.lit(None).cast(made["types"][n]) for n in DECODERS if n not in used})
+    out = _variants(records, used, made, KNOWN if present is None else present)
+    if not sparse:
+        if made["types"] is None:
+            made["types"] = {x.name: x.dataType for x in _variants(records, list(DECODERS), made, KNOWN).schema}
+        out = out.withColumns({n: F.lit(None).cast(made["types"][n]) for n in DECODERS if n not in used})
     kind = F.when(F.lit(False), "")
     for name in kinds:
         kind = kind.when(TYPE.isin(*KINDS[name]) & F.col(VARIANT[name]).isNotNull(), name)
@@ -418,6 +433,5 @@ def decode(records: DataFrame, present: set[str] | None = None) -> DataFrame:
         "drawing_id", "entity_index", "entity_id", F.col("record_type").alias("mi_type"), "kind", "record_index", "section_number", "part_index", (F.col("entity_index") == F.col("first_index")).alias("is_first"), "first_index",
         F.col("kind").isin(*GRAPHIC_KINDS).alias("is_graphic"), F.col("kind").isin(*ANNOTATION_KINDS).alias("is_annotation"), F.col("record_type").isin(*KNOWN).alias("known_type"),
         F.struct("offset", F.col("payload_length").alias("length"), "start_line", F.col("payload_end_line").alias("end_line")).alias("payload_span"),
-        F.when(F.col("kind") != "unsupported", F.col("graphic")).alias("graphic"), *DECODERS, "fields", "bad_fields", "type_line",
+        F.when(F.col("kind") != "unsupported", F.col("graphic")).alias("graphic"), *(used if sparse else DECODERS), "fields", "bad_fields", "type_line",
     )
-

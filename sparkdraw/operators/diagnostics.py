@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.strict import finite, trimmed, unsigned, whole
-from .resolve import KEY
+from .resolve import KEY, LATE
 from .structure import unresolved_instances
 
 COLUMNS = [KEY, "phase", "ordinal", "seq", "severity", "code", "message", "span"]
@@ -21,7 +21,7 @@ GLOBAL_FIELDS, VERIFIED = 45, "2.10"
 def _rows(df: DataFrame, phase: int, ordinal, seq, severity: str, code, message: Column, span) -> DataFrame:
     as_col = lambda v: F.col(v) if isinstance(v, str) else v if isinstance(v, Column) else F.lit(v)
     code = code if isinstance(code, Column) else F.lit(code)
-    return df.select(KEY, F.lit(phase).alias("phase"), as_col(ordinal).cast("bigint").alias("ordinal"), as_col(seq).cast("int").alias("seq"), F.lit(severity).alias("severity"), code.alias("code"), message.alias("message"), as_col(span).alias("span"))
+    return df.select(KEY, F.lit(phase).alias("phase"), as_col(ordinal).cast("bigint").alias("ordinal"), as_col(seq).cast("bigint").alias("seq"), F.lit(severity).alias("severity"), code.alias("code"), message.alias("message"), as_col(span).alias("span"))
 
 
 def global_section(sections: DataFrame) -> DataFrame:
@@ -33,7 +33,11 @@ def global_section(sections: DataFrame) -> DataFrame:
     extents = F.transform(F.slice(f, 14, 4), finite)
     matrix = F.transform(F.slice(f, 30, 16), finite)
     good = lambda a, n: (F.size(a) == n) & whole(a)
-    box = F.when(good(extents, 4), F.struct(F.get(extents, F.lit(0)).alias("xmin"), F.get(extents, F.lit(1)).alias("xmax"), F.get(extents, F.lit(2)).alias("ymin"), F.get(extents, F.lit(3)).alias("ymax")))
+    side = lambda i: F.get(extents, F.lit(i))
+    box = F.when(
+        good(extents, 4),
+        F.struct(side(0).alias("xmin"), side(1).alias("xmax"), side(2).alias("ymin"), side(3).alias("ymax"), (side(1) - side(0)).alias("width"), (side(3) - side(2)).alias("height")),
+    )
     first = sections.where("number = 3").withColumn("n__", F.row_number().over(Window.partitionBy(KEY).orderBy("section_index"))).where("n__ = 1")
     return first.select(
         KEY, "section_index", "body_span", F.size(f).alias("field_count"), text(0).alias("drawing_name"), text(7).alias("creation_date"), text(8).alias("creation_time"), text(10).alias("producer"),
@@ -73,8 +77,8 @@ def diagnostics(scan: DataFrame, drawings: DataFrame, sections: DataFrame, recor
             5, "record_index", 0, "warning", "MI_INVALID_ENTITY_ID", text(F.col("record_type"), " has no valid id"), "span",
         ),
         text_errors(entities),
-        _rows(entities.where("not known_type"), 5, "record_index", 1000000, "info", "MI_UNSUPPORTED_ENTITY", text(F.col("mi_type"), " ", F.col("entity_id"), " is kept undecoded"), "payload_span"),
-        _rows(entities.where("known_type and kind = 'unsupported'"), 5, "record_index", 1000000, "warning", "MI_INVALID_ENTITY_RECORD", text(F.col("mi_type"), " ", F.col("entity_id"), " does not fit a known layout"), "payload_span"),
+        _rows(entities.where("not known_type"), 5, "record_index", LATE, "info", "MI_UNSUPPORTED_ENTITY", text(F.col("mi_type"), " ", F.col("entity_id"), " is kept undecoded"), "payload_span"),
+        _rows(entities.where("known_type and kind = 'unsupported'"), 5, "record_index", LATE, "warning", "MI_INVALID_ENTITY_RECORD", text(F.col("mi_type"), " ", F.col("entity_id"), " does not fit a known layout"), "payload_span"),
         _rows(entities.where("not is_first"), 6, "entity_index", 0, "error", "MI_DUPLICATE_ENTITY_ID", text("id ", F.col("entity_id"), " was taken by entity ", F.col("first_index")), "payload_span"),
     ]
     ties = entities.where("kind = 'assembly'").select(KEY, "entity_index", "entity_id", "payload_span").join(bound, [KEY, "entity_index"])
@@ -123,11 +127,8 @@ def _measure() -> Column:
 
 def text_errors(entities: DataFrame) -> DataFrame:
     """Text fields that are not strict text, with the byte at which each fails."""
-    bad = entities.where(F.size("bad_fields") > 0).select(KEY, "record_index", "mi_type", "entity_id", "fields", "payload_span", "type_line", text_fields().alias("wanted"), F.explode("bad_fields").alias("b"))
+    bad = entities.where(F.size("bad_fields") > 0).select(KEY, "record_index", "mi_type", "type_line", text_fields().alias("wanted"), F.explode("bad_fields").alias("b"))
     hit = bad.where(F.array_contains("wanted", F.col("b.field").cast("int")))
-    skipped = F.col("type_line") - F.col("payload_span.start_line")
-    before = F.aggregate(F.slice("fields", 1, F.col("b.field").cast("int")), F.lit(0), lambda t, x: t + F.length(x) + 1)
     line = F.col("type_line") + F.col("b.field")
-    # Exact where lines end in one byte; the record's own span bounds it otherwise.
-    span = F.struct((F.col("payload_span.offset") + skipped + before + F.col("b.offset")).alias("offset"), F.col("b.length").alias("length"), line.alias("start_line"), line.alias("end_line"))
+    span = F.struct(F.col("b.at").alias("offset"), F.col("b.length").alias("length"), line.alias("start_line"), line.alias("end_line"))
     return _rows(hit.withColumn("span", span), 5, "record_index", F.col("b.field"), "warning", "MI_TEXT_DECODE_ERROR", F.concat(F.col("mi_type"), F.lit(" field "), F.col("b.field").cast("string"), F.lit(" fails at byte "), F.col("b.offset").cast("string")), "span")

@@ -14,6 +14,8 @@ from ..functions.strict import unsigned
 from .decode import GRAPHIC_KINDS
 
 KEY = "drawing_id"
+#: Beyond the number of pointers or fields that a record can have.
+LATE = 1 << 40
 #: Kinds that satisfy each class of pointer.
 CLASSES = {"point": ("point",), "property": ("property",), "graphic": GRAPHIC_KINDS, "contour": ("contour",), "hatch": ("hatch",)}
 
@@ -107,6 +109,26 @@ def layers(entities: DataFrame) -> DataFrame:
     return packed.withColumn("layer", F.when(F.size("layers") == 1, F.get("layers", F.lit(0))))
 
 
+def hatch_patterns(entities: DataFrame) -> DataFrame:
+    """(drawing_id, entity_index, entity_id, mi_type, pattern): lines of the first hatch pattern among the properties of each hatch and association that names one."""
+    owners = entities.where("kind in ('hatch', 'hatch_assoc')").select(KEY, "entity_index", "entity_id", "mi_type", F.posexplode(F.coalesce("hatch_assoc.property_ids", "graphic.property_ids")).alias("pos", "id"))
+    known = entities.where("is_first and kind = 'property' and mi_type = 'HAPP'").select(F.col(KEY).alias("k__"), F.col("entity_id").alias("p__"), F.coalesce("property.hatch_pattern", F.slice(F.col("property.hatch_pattern"), 1, 0)).alias("lines"))
+    found = owners.join(known, (owners[KEY] == known["k__"]) & (owners["id"] == known["p__"]))
+    return found.groupBy(KEY, "entity_index").agg(F.first("entity_id").alias("entity_id"), F.first("mi_type").alias("mi_type"), F.min_by("lines", "pos").alias("pattern"))
+
+
+def attached(rows: DataFrame, column: str, targets: DataFrame, name: str, keep_missing: bool = True) -> DataFrame:
+    """rows (unique by entity_index) with an array ``name`` of the targets' structs for an array of ids, in order; a missing one is null, or left out.
+
+    targets: drawing_id, entity_id and ``value``, each id once.
+    """
+    flat = rows.select(KEY, "entity_index", F.posexplode(column).alias("pos", "id"))
+    side = targets.select(F.col(KEY).alias("k__"), F.col("entity_id").alias("t__"), F.col("value"))
+    found = flat.join(side, (flat[KEY] == side["k__"]) & (flat["id"] == side["t__"]), "left" if keep_missing else "inner")
+    packed = found.groupBy(KEY, "entity_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda v: v["value"]).alias(name))
+    return rows.join(packed, [KEY, "entity_index"], "left")
+
+
 def _pointer(role: str, kind: str, target: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), F.lit(kind).alias("expected"), target.cast("bigint").alias("target"))
 
@@ -147,7 +169,7 @@ def references(entities: DataFrame) -> DataFrame:
     owners = base.where("kind = 'hatch'").select(KEY, "entity_index", "entity_id", "payload_span")
     loops = hatch_loops(entities)
     more = owners.join(loops, (owners[KEY] == loops["k__"]) & (owners["entity_id"] == loops["hatch__"])).select(KEY, "entity_index", "entity_id", "payload_span", F.posexplode("boundary_loop_ids").alias("pos", "target"))
-    flat = flat.unionByName(more.select(KEY, "entity_index", "entity_id", "payload_span", (F.col("pos") + 1000000).alias("pos"), F.lit("hatch boundary loop").alias("role"), F.lit("contour").alias("expected"), "target"))
+    flat = flat.unionByName(more.select(KEY, "entity_index", "entity_id", "payload_span", (F.col("pos") + LATE).alias("pos"), F.lit("hatch boundary loop").alias("role"), F.lit("contour").alias("expected"), "target"))
     known = index(entities).select(F.col(KEY).alias("k__"), F.col("id").alias("i__"), F.col("kind").alias("found"))
     fits = F.lit(False)
     for name, kinds in CLASSES.items():

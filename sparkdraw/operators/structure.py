@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,14 +35,17 @@ def bind(entities: DataFrame, parts: DataFrame) -> DataFrame:
 
     def match(rows: pd.DataFrame) -> pd.DataFrame:
         own = rows[rows["entity_index"].notna()].sort_values("entity_index")
-        free: dict[str, list[int]] = {}
+        free: dict[str, deque[int]] = {}
         left = rows[rows["part_index"].notna()].sort_values("part_index")
         for name, at in zip(left["name"], left["part_index"].astype(int), strict=True):
-            free.setdefault(name, []).append(at)
+            free.setdefault(name, deque()).append(at)
         taken: set[int] = set()
         total, out = len(left), []
         for ordinal, (at, name) in enumerate(zip(own["entity_index"].astype(int), own["name"], strict=True)):
-            found = next((i for i in free.get(name, ()) if i not in taken), None)
+            same = free.get(name, ())
+            while same and same[0] in taken:
+                same.popleft()
+            found = same[0] if same else None
             chosen = found if found is not None else ordinal if ordinal < total and ordinal not in taken else None
             if chosen is not None:
                 taken.add(chosen)
@@ -92,7 +97,8 @@ def occurrences(placed: DataFrame, start: DataFrame, strict: bool = True, max_de
     """Placed parts below ``start`` (drawing_id, part_index), the start included, by recursive SQL.
 
     path lists (assembly_id, instance_index); sorting by drawing and ``order_key`` gives pre-order. World
-    maps are parent after local. Unbound, cyclic and non-affine placements raise, or are left out if not strict.
+    maps are parent after local. max_depth and max_rows are bounds of the session's recursion, set for it
+    here; a tree beyond them raises. Unbound, cyclic and non-affine placements raise, or are left out if not strict.
     """
     spark = placed.sparkSession
     spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max_depth))

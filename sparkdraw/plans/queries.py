@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,37 +9,18 @@ from .. import corpus
 from ..functions import geometry as G
 from ..operators.resolve import KEY
 from ..sources.files import detect_format
+from . import features  # noqa: F401  (registers its queries)
 from . import synth as S
+from .common import ORACLE_SQL, QUERIES  # noqa: F401
+from .common import many_drawings as _many_drawings
+from .common import query as _query
+from .common import read as _read
+from .common import table as _table
+from .common import zipped as _zipped
 
-QUERIES = {}
-ORACLE_SQL = {}
 c = F.col
 
 
-def _query(sql: str | None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _read(spark: SparkSession, *parts: DataFrame, **options) -> corpus.Corpus:
-    """A drawing that cannot be read fails the query, as its rows would be missing."""
-    return corpus.read(spark, S.drawings(*parts, **options), mode="FAILFAST")
-
-
-def _many_drawings(key: Column) -> Column:
-    """A drawing for each thousand keys, so that drawings keep their size as tables grow."""
-    return F.floor(key / 1000)
-
-
 def _sixteen(key: Column) -> Column:
     """For queries whose SQL names sixteen drawings."""
     return key % 16
@@ -355,22 +333,15 @@ def q25_affine_inverse(spark, sf_dir):
     return back.select("c_custkey", *[(F.round(f"e.{n}", 6) + 0.0).alias(n) for n in G.AFFINE])
 
 
-def _zipped(df: DataFrame) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            packed = [gzip.compress(x, 1, mtime=0) for x in batch.column("content").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(KEY), pa.array(packed, pa.binary())], names=[KEY, "content"])
-
-    return df.mapInArrow(run, "drawing_id string, content binary")
-
-
 @_query("SELECT CAST(0 AS BIGINT) AS differing, count(*) AS n, 'gzip' AS compression FROM orders")
 def q26_gzip_equivalence(spark, sf_dir):
     plain = S.drawings(*_order_lines(spark, sf_dir))
     a, b = corpus.read(spark, plain, mode="FAILFAST"), corpus.read(spark, _zipped(plain), mode="FAILFAST")
     x, y = (r.lines_geo.select(KEY, "entity_id", "start", "end") for r in (a, b))
-    odd = x.exceptAll(y).unionAll(y.exceptAll(x))
-    facts = odd.select(F.lit(1).alias("o"), F.lit(0).alias("y"), F.lit(None).cast("string").alias("k")).unionAll(y.select(F.lit(0), F.lit(1), F.lit(None).cast("string"))).unionAll(b._drawings.select(F.lit(0), F.lit(0), "format.compression"))
+    # One exchange tells both sides' rows apart: a row that both have as often counts to zero.
+    both = x.withColumn("w", F.lit(1)).unionByName(y.withColumn("w", F.lit(-1)))
+    odd = both.groupBy(*x.columns).agg(F.abs(F.sum("w")).alias("o"), F.sum(F.when(c("w") < 0, 1).otherwise(0)).alias("y"))
+    facts = odd.select("o", "y", F.lit(None).cast("string").alias("k")).unionAll(b._drawings.select(F.lit(0), F.lit(0), "format.compression"))
     return facts.agg(F.sum("o").alias("differing"), F.sum("y").alias("n"), F.max("k").alias("compression"))
 
 

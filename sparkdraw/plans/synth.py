@@ -77,8 +77,8 @@ def rows(df: DataFrame, drawing: Column, place, number, order: Column, *bodies:
     return df.select(drawing.cast("string").alias("drawing_id"), as_col(place).cast("bigint").alias("place"), as_col(number).cast("int").alias("number"), order.cast("bigint").alias("ord"), F.concat(*bodies).alias("body"))
 
 
-def drawings(*parts: DataFrame, newline: str = "\n", end: str = "##~~\n", mark: bytes = b"") -> DataFrame:
-    """(drawing_id, content) of section parts; every drawing ends in ``end``."""
+def drawings(*parts: DataFrame, newline: str = "\n", end: str = "##~~\n", mark: bytes = b"", charset: str = "UTF-8") -> DataFrame:
+    """(drawing_id, content) of section parts; every drawing ends in ``end``. In ISO-8859-1 a character is a byte, whatever that byte means."""
     total = parts[0]
     for more in parts[1:]:
         total = total.unionByName(more)
@@ -87,7 +87,7 @@ def drawings(*parts: DataFrame, newline: str = "\n", end: str = "##~~\n", mark:
     text = F.concat("text", F.lit(end))
     if newline != "\n":
         text = F.replace(text, F.lit("\n"), F.lit(newline))
-    return whole.select("drawing_id", F.concat(F.lit(mark), F.encode(text, "UTF-8")).alias("content"))
+    return whole.select("drawing_id", F.concat(F.lit(mark), F.encode(text, charset)).alias("content"))
 
 
 def head(df: DataFrame, drawing: Column, version="2.10", last: Column | None = None) -> DataFrame:

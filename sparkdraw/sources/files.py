@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import InvalidDrawing, LimitExceeded, UnsupportedDrawing
+from ..errors import DrawingError, InvalidDrawing, LimitExceeded, UnsupportedDrawing
 from .limits import Limits
 
 #: Bytes that format detection looks at.
@@ -65,6 +65,14 @@ def detect_format(df: DataFrame, content: str = "content") -> DataFrame:
     )
 
 
+def opened(data: bytes | None, limits: Limits) -> bytes | None:
+    """The logical bytes, null for a drawing that cannot be read."""
+    try:
+        return unwrap(bytes(data), limits)[0] if data is not None else None
+    except DrawingError:
+        return None
+
+
 def envelope_of(data: bytes) -> str | None:
     """compression() for bytes at hand."""
     start = data[:4].hex().upper()

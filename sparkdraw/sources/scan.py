@@ -44,7 +44,7 @@ _ID = re.compile(r"\+?[0-9]+")
 SPAN = T.StructType([T.StructField(n, T.LongType()) for n in ("offset", "length", "start_line", "end_line")])
 _s, _l, _i, _b = T.StringType(), T.LongType(), T.IntegerType(), T.BooleanType()
 _strings = T.ArrayType(_s)
-DIAGNOSTIC = T.StructType([T.StructField("phase", _i), T.StructField("ordinal", _l), T.StructField("seq", _i), *[T.StructField(n, _s) for n in ("severity", "code", "message")], T.StructField("span", SPAN)])
+DIAGNOSTIC = T.StructType([T.StructField("phase", _i), T.StructField("ordinal", _l), T.StructField("seq", _l), *[T.StructField(n, _s) for n in ("severity", "code", "message")], T.StructField("span", SPAN)])
 DRAWING = T.StructType([
     T.StructField("format", T.StructType([T.StructField("kind", _s), T.StructField("compression", _s), T.StructField("first_section", _l), T.StructField("utf8_bom", _b)])),
     *[T.StructField(n, _l) for n in ("container_size", "source_size")], T.StructField("termination", _s), T.StructField("end_offset", _l), T.StructField("trailing_bytes", _l),
@@ -61,7 +61,7 @@ RECORD = [
     T.StructField("record_index", _l), T.StructField("section_index", _l), T.StructField("section_number", _l), T.StructField("part_index", _l),
     *[T.StructField(n, _l) for n in ("offset", "length", "start_line", "end_line", "payload_length", "payload_end_line", "terminator_offset", "terminator_length", "type_line")],
     T.StructField("termination", _s), T.StructField("record_type", _s), T.StructField("fields", _strings), T.StructField("texts", _strings),
-    T.StructField("bad_fields", T.ArrayType(T.StructType([T.StructField(n, _l) for n in ("field", "offset", "length")]))),
+    T.StructField("bad_fields", T.ArrayType(T.StructType([T.StructField(n, _l) for n in ("field", "offset", "length", "at")]))),
     T.StructField("entity_id", _l), T.StructField("entity_index", _l), T.StructField("first_index", _l),
 ]
 SCAN_SCHEMA = T.StructType([
@@ -316,7 +316,8 @@ class Drawing:
             if kind in TEXT_TYPES:
                 t, b = self._texts(fields)
                 texts.append(t)
-                bads.append([dict(zip(("field", "offset", "length"), x, strict=True)) for x in b])
+                # ``at`` is the place in the stream, whatever the line ends are.
+                bads.append([{"field": i, "offset": at, "length": n, "at": int(self.starts[r[12] + i - 1]) + at} for i, at, n in b])
             else:
                 texts.append(None)
                 bads.append(None)
