@@ -64,6 +64,8 @@ class Bpe:
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.size = max(ranks.values()) + 1
+        if not 0 <= min(ranks.values()) < self.size <= 1 << 20:
+            raise ValueError("ranks must lie between 0 and 2**20")
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         keys, made = [], []

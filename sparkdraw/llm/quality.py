@@ -201,11 +201,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     return boost(x, np.array([r["label"] for r in rows], float))
 
 
-def score(df: DataFrame, model: AdditiveModel, text_col: str = "text") -> DataFrame:
-    """df with quality (0 to 1)."""
+def score(df: DataFrame, model: AdditiveModel, text_col: str = "text", out_col: str = "quality") -> DataFrame:
+    """df with quality (0 to 1) in ``out_col``; a column of that name is replaced."""
 
     def run(texts: list[str]):
         x = np.array([features(t) for t in texts], float).reshape(len(texts), len(FEATURES))
         yield pa.array(model.predict(x), pa.float64())
 
-    return with_arrow(df, text_col, [T.StructField("quality", T.DoubleType())], run)
+    return with_arrow(df, text_col, [T.StructField(out_col, T.DoubleType())], run)

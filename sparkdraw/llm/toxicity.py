@@ -312,8 +312,8 @@ def _extremes(model: ToxicModel, found: list[tuple], clean: list[tuple]) -> None
 PASSAGE = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("log_p", T.DoubleType())]))
 
 
-def score(df: DataFrame, model: ToxicModel, text_col: str = "text") -> DataFrame:
-    """df with toxicity (0 to 1) and passages (code points, end exclusive, score, log p-value)."""
+def score(df: DataFrame, model: ToxicModel, text_col: str = "text", out_col: str = "toxicity", passages_col: str = "passages") -> DataFrame:
+    """df with toxicity (0 to 1) and passages (code points, end exclusive, score, log p-value); columns of those names are replaced."""
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("log_p", pa.float64())]))
 
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -336,4 +336,4 @@ def score(df: DataFrame, model: ToxicModel, text_col: str = "text") -> DataFrame
         yield pa.array(scores, pa.float64())
         yield pa.array(passages, kind)
 
-    return with_arrow(df, text_col, [T.StructField("toxicity", T.DoubleType()), T.StructField("passages", PASSAGE)], run)
+    return with_arrow(df, text_col, [T.StructField(out_col, T.DoubleType()), T.StructField(passages_col, PASSAGE)], run)

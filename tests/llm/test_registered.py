@@ -51,8 +51,9 @@ def test_op1_and_op10(spark, texts, db):
         rows = result(spark, name)
         assert set(rows) == set(texts)
         assert all(r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= least) for d, r in rows.items())
-        known = dict(db.sql(f"SELECT doc_id, {label} FROM labels").fetchall())
-        assert np.mean([rows[d].predicted == y for d, y in known.items()]) > 0.8
+        known = {d: y for d, y in db.sql(f"SELECT doc_id, {label} FROM labels").fetchall() if rows[d].held_out}
+        # Only rows that no model has learned from count.
+        assert len(known) >= 10 and np.mean([rows[d].predicted == y for d, y in known.items()]) > 0.8
 
 
 def test_op2(spark, texts):
@@ -126,6 +127,22 @@ def test_op8(spark, texts):
     assert all(r.n_tokens == want[d][0] and r.log_score == pytest.approx(want[d][1], abs=1e-4) for d, r in rows.items())
 
 
+def covered(text):
+    """The text with every found stretch as one mark, by a flag for each character."""
+    base = base_by_hand(text)
+    hidden = bytearray(len(text))
+    for a, _, b in base + secrets.random_spans(text, base):
+        hidden[a:b] = b"\1" * (b - a)
+    starts = {a for a, _, _ in base} | {a for a, _, _ in secrets.random_spans(text, base)}
+    out = []
+    for i, x in enumerate(text):
+        if not hidden[i]:
+            out.append(x)
+        elif i in starts and (i == 0 or not hidden[i - 1] or not any(a < i < b for a, _, b in base)):
+            out.append("<secret>")
+    return "".join(out)
+
+
 def test_pipeline(spark, texts):
     import corpus_pipeline
 
@@ -137,14 +154,15 @@ def test_pipeline(spark, texts):
         got = {r.doc_id: r.text for r in rows.collect()}
         items = sorted(kept.items())
         if name == "toxicity":
-            assert 0.8 * len(items) <= len(got) <= len(items) and all(kept[d] == t for d, t in got.items())
-            want = got
+            said = result(spark, "op10_toxicity")
+            want = {d: t for d, t in items if not said[d].predicted}
+            assert 0.8 * len(items) <= len(want)
         elif name == "exact_dedup":
             want = {d: kept[d] for d in {v[0] for v in by_brute_force(items).values()}}
         elif name == "minhash_near_dedup":
             want = {d: kept[d] for d, _, c in component_of(items) if d == c}
         else:
-            want = {d: secrets.redacted(t) for d, t in items}
+            want = {d: covered(t) for d, t in items}
         assert got == want
         docs, kept = rows, got
     check_packing(corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect(), kept)
