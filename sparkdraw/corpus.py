@@ -143,10 +143,11 @@ class Corpus:
             return self.entities.where(F.col("kind").isin(*kinds))
         types = {t for k in kinds for t in decode.KINDS[k]}
         if kinds not in self._typed:
-            rows = decode.decode(self.records.where(F.col("record_type").isin(*types)), types, sparse=True).where(F.col("kind").isin(*kinds))
-            # A point has two plain readings: to make them again costs less than to write them.
+            rows = decode.decode(self.records.where(F.col("record_type").isin(*types)), types, sparse=True)
+            # A point has two plain readings: to make them again costs less than to write them. Others are chosen by
+            # kind only once they are written, as a filter moved below the readings would make them all twice.
             self._typed[kinds] = rows if kinds == ("point",) else self._shelf.put(rows, "entities")
-        return self._typed[kinds]
+        return self._typed[kinds].where(F.col("kind").isin(*kinds))
 
     def _has(self, kind: str) -> bool:
         return bool(self._present & set(decode.KINDS[kind]))
