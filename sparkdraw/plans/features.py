@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -139,9 +140,9 @@ def q38_files(spark, sf_dir):
     """Drawings as files in folders of folders, found by a pattern; files of other names stay unread."""
     t, k = table(spark, sf_dir, "supplier"), c("s_suppkey")
     made = S.drawings(S.rows(t, many_drawings(k), 61, 61, k, S.p(k + 1, c("s_acctbal"), 0)), end="##~~")
-    path = f"{shared_dir(spark)}/files"
+    path = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
     texts = made.select(c(KEY).alias("folder"), c("content").cast("string").alias("value"))
-    texts.repartition("folder").write.mode("overwrite").partitionBy("folder").text(path)
+    texts.repartition("folder").write.partitionBy("folder").text(path)
     rows = corpus.read(spark, path, mode="FAILFAST", glob="part-*")
     return rows.points.select((c("entity_id") - 1).alias("s_suppkey"), "x")
 
