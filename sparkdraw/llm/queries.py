@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, lm, media, neardup, packing, quality, secrets, toxicity
+from ..functions.strict import let
+from . import bpe, chat, exact, lm, media, neardup, packing, quality, runs, secrets, toxicity
 from .common import fold, table
 
 
@@ -91,7 +92,34 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predictions(toxicity.score(docs, model), "toxicity", 0.5)
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_bpe": op2_bpe, "op3_media": op3_media, "op4_packing": op4_packing, "op5_minhash": op5_minhash, "op6_chat": op6_chat, "op7_secrets": op7_secrets, "op8_lm_scoring": op8_lm_scoring, "op9_exact_dedup": op9_exact_dedup, "op10_toxicity": op10_toxicity}
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """Documents of which some repeat a stretch of words to the end, by a rule of their id."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10).cast("long")
+
+    def planted(words):
+        n = F.size(words).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
+        source = lambda v, i: F.when(i < v.a, i).otherwise(v.a + (i - v.a) % v.p).cast("int")
+        return F.when(n > 0, let(F.struct(a.alias("a"), p.alias("p")), lambda v: F.array_join(F.transform(words, lambda _, i: F.get(words, source(v, i))), " ")))
+
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return docs.select("doc_id", F.when(h % 10 == 0, F.coalesce(let(words, planted), "text")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(_with_periods(_documents(spark, sf_dir))).drop("text")
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    told = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.floor(F.col("best.length") * 1000 / -F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(told.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_bpe": op2_bpe, "op3_media": op3_media, "op4_packing": op4_packing, "op5_minhash": op5_minhash, "op6_chat": op6_chat, "op7_secrets": op7_secrets, "op8_lm_scoring": op8_lm_scoring, "op9_exact_dedup": op9_exact_dedup, "op10_toxicity": op10_toxicity, "op13_runs": op13_runs}
 
 _ESCAPED = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '\"', '&quot;')"
 
