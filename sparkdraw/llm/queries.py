@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.strict import let
-from . import bpe, chat, exact, lm, media, neardup, packing, quality, runs, secrets, toxicity
-from .common import fold, table
+from . import bpe, chat, exact, lm, media, neardup, packing, quality, runs, secrets, toxicity, trie
+from .common import discard, fold, staged, table
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +92,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predictions(toxicity.score(docs, model), "toxicity", 0.5)
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = staged(trie.conversations(table(spark, sf_dir, "conversations")), "conversations")
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4).cast("int")
+    heads = own.where(F.col("conv_id") % 20 == 0).select(F.col("conv_id").alias("base"), F.slice("turns", 1, 3).alias("head"))
+    rebuilt = own.withColumn("base", F.col("conv_id") - F.col("conv_id") % 20).join(heads, "base", "left")
+    rebuilt = rebuilt.select("conv_id", F.concat(F.slice(F.coalesce("head", F.slice("turns", 1, 0)), F.lit(1), h), F.slice("turns", h + 1, F.size("turns"))).alias("turns"))
+    out = trie.prefix_trie(rebuilt)
+    discard(own)
+    return out
+
+
 def _with_periods(docs: DataFrame) -> DataFrame:
     """Documents of which some repeat a stretch of words to the end, by a rule of their id."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -119,7 +130,7 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_bpe": op2_bpe, "op3_media": op3_media, "op4_packing": op4_packing, "op5_minhash": op5_minhash, "op6_chat": op6_chat, "op7_secrets": op7_secrets, "op8_lm_scoring": op8_lm_scoring, "op9_exact_dedup": op9_exact_dedup, "op10_toxicity": op10_toxicity, "op13_runs": op13_runs}
+QUERIES = {"op1_quality": op1_quality, "op2_bpe": op2_bpe, "op3_media": op3_media, "op4_packing": op4_packing, "op5_minhash": op5_minhash, "op6_chat": op6_chat, "op7_secrets": op7_secrets, "op8_lm_scoring": op8_lm_scoring, "op9_exact_dedup": op9_exact_dedup, "op10_toxicity": op10_toxicity, "op12_trie": op12_trie, "op13_runs": op13_runs}
 
 _ESCAPED = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '\"', '&quot;')"
 
@@ -139,4 +150,26 @@ ORACLE_SQL = {
                doc_id = first_value(doc_id) OVER (PARTITION BY bare ORDER BY length(full_text) DESC, doc_id) AS kept,
                sha256(bare) AS text_sha256
         FROM t""",
+    "op12_trie": r"""
+        WITH RECURSIVE
+        t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n
+              FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (SELECT conv_id, (list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS crc FROM (SELECT DISTINCT conv_id FROM t)),
+        k AS (SELECT conv_id, xor(crc, 4294967295) % 4 AS h FROM c),
+        r AS (SELECT k.conv_id, role, text, n FROM k JOIN t ON t.conv_id = k.conv_id - k.conv_id % 20 AND n <= h UNION ALL SELECT k.conv_id, role, text, n FROM k JOIN t ON t.conv_id = k.conv_id AND n > h),
+        d AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY n) AS depth, sha256(length(role) || ':' || role || text) AS label,
+                     len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words FROM r),
+        p AS (SELECT conv_id, CAST(0 AS BIGINT) AS depth, '' AS name, '' AS above, CAST(0 AS BIGINT) AS words FROM k
+              UNION ALL SELECT d.conv_id, d.depth, sha256(p.name || d.label), p.name, d.words FROM p JOIN d ON d.conv_id = p.conv_id AND d.depth = p.depth + 1),
+        s AS (SELECT conv_id, max(depth) AS size FROM p GROUP BY conv_id),
+        q AS (SELECT name, depth, any_value(above) AS above, min(p.conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words, coalesce(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) FILTER (depth = size), '') AS ends
+              FROM p JOIN s ON p.conv_id = s.conv_id GROUP BY name, depth),
+        b AS (SELECT above, count(*) AS n_children FROM q WHERE depth > 0 GROUP BY above),
+        f AS (SELECT q.*, coalesce(n_children, 0) AS n_children FROM q LEFT JOIN b ON b.above = q.name),
+        u AS (SELECT name AS top, above AS up, n_children = 0 AS leaf, (n_convs - 1) * words AS saved, depth FROM f
+              UNION ALL SELECT q.name, q.above, leaf, saved, q.depth FROM u JOIN q ON q.name = u.up WHERE u.depth > 0),
+        w AS (SELECT top, count(*) FILTER (leaf) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM u GROUP BY top)
+        SELECT f.conv_id, f.depth, o.conv_id AS parent_conv_id, f.n_convs, f.n_children, w.n_leaves, w.saved_tokens, sha256(f.ends) AS ends_sha256
+        FROM f JOIN w ON w.top = f.name LEFT JOIN q o ON f.depth > 0 AND o.name = f.above""",
 }
