@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.strict import let
-from . import bpe, chat, exact, lm, media, neardup, packing, quality, runs, secrets, toxicity, trie
+from . import bpe, chat, exact, lm, media, neardup, ngramjoin, packing, quality, runs, secrets, toxicity, trie
 from .common import discard, fold, staged, table
 
 
@@ -92,6 +92,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predictions(toxicity.score(docs, model), "toxicity", 0.5)
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.near_copies(_documents(spark, sf_dir))
+
+
 def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = staged(trie.conversations(table(spark, sf_dir, "conversations")), "conversations")
     h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4).cast("int")
@@ -130,7 +134,7 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_bpe": op2_bpe, "op3_media": op3_media, "op4_packing": op4_packing, "op5_minhash": op5_minhash, "op6_chat": op6_chat, "op7_secrets": op7_secrets, "op8_lm_scoring": op8_lm_scoring, "op9_exact_dedup": op9_exact_dedup, "op10_toxicity": op10_toxicity, "op12_trie": op12_trie, "op13_runs": op13_runs}
+QUERIES = {"op1_quality": op1_quality, "op2_bpe": op2_bpe, "op3_media": op3_media, "op4_packing": op4_packing, "op5_minhash": op5_minhash, "op6_chat": op6_chat, "op7_secrets": op7_secrets, "op8_lm_scoring": op8_lm_scoring, "op9_exact_dedup": op9_exact_dedup, "op10_toxicity": op10_toxicity, "op11_ngram_join": op11_ngram_join, "op12_trie": op12_trie, "op13_runs": op13_runs}
 
 _ESCAPED = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '\"', '&quot;')"
 
