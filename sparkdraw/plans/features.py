@@ -277,17 +277,27 @@ def q47_encoding_override(spark, sf_dir):
     return found.select((c("entity_id") - 1).alias("p_partkey"), "text", "source", F.coalesce("conflict", F.lit(False)).alias("conflict"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, regexp_matches(substr(regexp_replace(coalesce(text, ''), '[\r\n]', ' ', 'g'), 1, 60), '[^\x00-\x7F]') AS odd FROM documents)
-          SELECT CASE WHEN doc_id % 4 = 3 THEN 'undetermined' WHEN doc_id % 4 = 2 OR odd THEN 'heuristic' ELSE 'ascii_only' END AS source,
+@query(r"""WITH t AS (SELECT doc_id, regexp_matches(coalesce(text, ''), '[^\x00-\x7F]') AS odd FROM documents)
+          SELECT doc_id // 4 % 8 AS place, CASE WHEN doc_id % 4 = 3 THEN 'undetermined' WHEN doc_id % 4 = 2 OR odd THEN 'heuristic' ELSE 'ascii_only' END AS source,
                  CASE WHEN doc_id % 4 = 3 THEN '-' WHEN doc_id % 4 = 2 THEN 'shift_jis' WHEN odd THEN 'utf-8' ELSE '-' END AS name, count(*) AS n FROM t GROUP BY ALL""")
 def q48_encoding_heuristics(spark, sf_dir):
-    """Undeclared names of drawings: beginnings of texts in UTF-8, a character of Shift_JIS, and a byte that is neither."""
+    """Undeclared texts at each of the eight places that are looked at: whole documents in UTF-8, their ASCII after a character of Shift_JIS, and after bytes that are neither."""
     t, k = table(spark, sf_dir, "documents"), c("doc_id")
-    head = lambda df, name: S.rows(df, k, -1, 3, F.lit(0), S.global_section("2.10", name))
-    name = F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]", " "), 1, 60)
-    made = [S.drawings(head(t.where(k % 4 <= 1), name)), S.drawings(head(t.where(k % 4 == 2), F.lit("\x82\xa0")), charset="ISO-8859-1"), S.drawings(head(t.where(k % 4 == 3), F.lit("a\xff\xff")), charset="ISO-8859-1")]
-    rows = corpus.read(spark, _union(made), mode="FAILFAST")._drawings
-    return rows.groupBy("encoding.source", F.coalesce("encoding.name", F.lit("-")).alias("name")).agg(F.count("*").alias("n"))
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]", " ")
+    ascii_ = F.regexp_replace(text, r"[^\x20-\x7E]", " ")
+    said = F.when(k % 4 <= 1, text).when(k % 4 == 2, F.concat(F.lit("\x82\xa0"), ascii_)).otherwise(F.concat(F.lit("a\xff\xff"), ascii_))
+    place = F.floor(k / 4) % 8
+    heads = [S.global_section("2.10", said), *[F.replace(S.global_section("2.10", "name"), F.lit(old), F.concat(F.lit("\n"), said, F.lit("\n"))) for old in ("\n1-Jan-26\n", "\n0:00:00\n", "\nsynthetic writer\n")]]
+    body: list = ["TEX", k, *[0] * 27, "last"]
+    fields = lambda i: S.record(*[said if j == i else x for j, x in enumerate(body)])
+    made = F.when(place == 4, F.concat(F.lit(" \n"), said, F.lit("\n"))).when(place == 5, fields(19)).when(place == 6, fields(28)).when(place == 7, S.record("ASSE", k, 0, said, 0, 0, 0, 0, 0, 0))
+    for i, head in enumerate(heads):
+        made = F.when(place == i, head).otherwise(made)
+    number = F.when(place < 4, 3).when(place == 4, 6).when(place == 7, 5).otherwise(62)
+    rows = lambda df: S.rows(df, k, 0, number, F.lit(0), made)
+    drawings = _union([S.drawings(rows(t.where(k % 4 <= 1))), S.drawings(rows(t.where(k % 4 > 1)), charset="ISO-8859-1")])
+    found = corpus.read(spark, drawings, mode="FAILFAST")._drawings.select((F.floor(c(KEY).cast("bigint") / 4) % 8).alias("place"), "encoding.source", F.coalesce("encoding.name", F.lit("-")).alias("name"))
+    return found.groupBy("place", "source", "name").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT ['MI_UNSUPPORTED_DECLARED_ENCODING', 'MI_CONFLICTING_ENCODING_DECLARATION', 'MI_ENCODING_CONFLICT', 'MI_ENCODING_GUESSED', 'MI_ENCODING_UNDETERMINED'][s_suppkey % 5 + 1] AS code, count(*) AS n

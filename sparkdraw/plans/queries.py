@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import corpus
@@ -21,15 +21,10 @@ from .common import zipped as _zipped
 c = F.col
 
 
-def _sixteen(key: Column) -> Column:
-    """For queries whose SQL names sixteen drawings."""
-    return key % 16
-
-
-def _order_lines(spark: SparkSession, sf_dir: str, end: Column | None = None, style: tuple = S.STYLE, drawing=_many_drawings) -> list[DataFrame]:
+def _order_lines(spark: SparkSession, sf_dir: str, end: Column | None = None, style: tuple = S.STYLE) -> list[DataFrame]:
     """Orders as two points and a line each."""
     o, k = _table(spark, sf_dir, "orders"), c("o_orderkey") * 3
-    d = drawing(c("o_orderkey"))
+    d = _many_drawings(c("o_orderkey"))
     points = S.rows(o, d, 61, 61, k, S.p(k + 1, c("o_totalprice"), 0), S.p(k + 2, c("o_custkey"), 1.5))
     lines = S.rows(o, d, 62, 62, k, S.lin(k + 3, k + 1, k + 2 if end is None else end, style))
     return [S.rows(o.select(d.alias("d")).distinct(), c("d"), 6, 6, F.lit(0), F.lit("Top\n")), points, lines]
@@ -141,11 +136,11 @@ def q09_encoding_detect(spark, sf_dir):
 @_query("SELECT event_type AS layer, count(*) AS n FROM events GROUP BY event_type")
 def q10_layers(spark, sf_dir):
     t = _table(spark, sf_dir, "events")
-    kinds = t.groupBy("event_type").agg(F.count("*").alias("n"))
-    named = kinds.select("event_type", (F.abs(F.xxhash64("event_type")) % 1000000 + 1).alias("prop"))
     d, k = _many_drawings(c("event_id")), c("event_id") * 3 + 2000000
-    rows = t.join(F.broadcast(named), "event_type")
-    each = rows.select(d.alias("d"), "event_type", "prop").distinct()
+    # Each drawing numbers its own types.
+    each = t.select(d.alias("d"), "event_type").distinct().withColumn("prop", F.row_number().over(Window.partitionBy("d").orderBy("event_type")).cast("bigint"))
+    rows = t.withColumn("d", d).join(each, ["d", "event_type"])
+    d = c("d")
     parts = [
         S.rows(each, c("d"), 42, 42, c("prop"), S.assp(c("prop"), F.concat(F.lit("LAYER: "), c("event_type")))),
         S.rows(rows, d, 61, 61, k, S.p(k + 1, 0, 0), S.p(k + 2, 1, c("value"))),
@@ -169,8 +164,9 @@ def q11_query_alias(spark, sf_dir):
 def q12_part_ownership(spark, sf_dir):
     n, s = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "supplier")
     d = _many_drawings(c("s_suppkey"))
-    # Every drawing has all nations, and there is one at least.
-    each = s.select(d.alias("d")).union(spark.range(1).select("id")).distinct().join(F.broadcast(n.select(F.collect_list(F.struct("n_nationkey", "n_name")).alias("all")))).select("d", F.inline("all"))
+    # A nation has a part in the drawing of each thousand suppliers that it has some of, and one in a drawing of nations alone.
+    seen = s.select(d.alias("d"), c("s_nationkey").alias("n_nationkey")).distinct().join(n, "n_nationkey").select("d", "n_nationkey", "n_name")
+    each = seen.unionByName(n.select((-1 - _many_drawings(c("n_nationkey"))).alias("d"), "n_nationkey", "n_name"))
     parts = [
         S.rows(each, c("d"), c("n_nationkey") * 2, 6, F.lit(0), c("n_name"), F.lit("\n")),
         S.rows(s, d, c("s_nationkey") * 2 + 1, 61, c("s_suppkey"), S.p(c("s_suppkey") + 1, c("s_acctbal"), 0)),
@@ -251,9 +247,9 @@ def q17_dangling_refs(spark, sf_dir):
     return _codes(rows.diagnostics, "MI_DANGLING_POINT_REFERENCE", "MI_REFERENCE_TYPE_MISMATCH")
 
 
-def _property(spark: SparkSession, sf_dir: str, drawing=_many_drawings) -> DataFrame:
+def _property(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A property in each drawing of orders."""
-    each = _table(spark, sf_dir, "orders").select(drawing(c("o_orderkey")).alias("id")).distinct()
+    each = _table(spark, sf_dir, "orders").select(_many_drawings(c("o_orderkey")).alias("id")).distinct()
     return S.rows(each, c("id"), 41, 41, F.lit(0), S.record("PSTAT", 999999999, 0, 1))
 
 
@@ -279,11 +275,11 @@ def q20_invalid_records(spark, sf_dir):
     return rows.entities.groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@_query("SELECT o_orderkey % 16 AS drawing, (o_orderkey % 16) % 2 = 1 AS mismatch FROM orders GROUP BY ALL")
+@_query("SELECT o_orderkey // 1000 AS drawing, (o_orderkey // 1000) % 2 = 1 AS mismatch FROM orders GROUP BY ALL")
 def q21_toc_check(spark, sf_dir):
     o = _table(spark, sf_dir, "orders")
-    d = _sixteen(c("o_orderkey"))
-    rows = _read(spark, S.head(o, d, last=c("o_orderkey") * 3 + 3 + d % 2), *_order_lines(spark, sf_dir, drawing=_sixteen))
+    d = _many_drawings(c("o_orderkey"))
+    rows = _read(spark, S.head(o, d, last=c("o_orderkey") * 3 + 3 + d % 2), *_order_lines(spark, sf_dir))
     wrong = rows.diagnostics.where("code = 'MI_TOC_LAST_MISMATCH'").select(KEY, F.lit(True).alias("wrong"))
     return rows._drawings.join(wrong, KEY, "left").select(c(KEY).cast("bigint").alias("drawing"), F.coalesce("wrong", F.lit(False)).alias("mismatch"))
 
@@ -355,15 +351,15 @@ def q27_roots_and_top(spark, sf_dir):
 
 @_query("""SELECT 'MI_DANGLING_POINT_REFERENCE' AS code, count(*) AS n FROM orders WHERE o_orderkey % 7 = 0
            UNION ALL SELECT 'MI_REFERENCE_TYPE_MISMATCH', count(*) FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 = 0
-           UNION ALL SELECT 'MI_MISSING_GLOBAL_SECTION', count(DISTINCT o_orderkey % 16) FROM orders
+           UNION ALL SELECT 'MI_MISSING_GLOBAL_SECTION', count(*) FROM (SELECT o_orderkey // 1000 FROM orders UNION SELECT c_custkey // 1000 FROM customer)
            UNION ALL SELECT 'MI_UNSUPPORTED_ENTITY', count(*) FROM customer UNION ALL SELECT 'MI_INVALID_ENTITY_RECORD', count(*) FROM customer WHERE c_acctbal < 0
            UNION ALL SELECT 'MI_DUPLICATE_ENTITY_ID', 2 * count(*) FROM customer""")
 def q28_diagnostic_histogram(spark, sf_dir):
     k = c("o_orderkey") * 3
     t, key = _table(spark, sf_dir, "customer"), c("c_custkey") + 500000000
-    d = _sixteen(c("c_custkey"))
+    d = _many_drawings(c("c_custkey"))
     odd = S.rows(t, d, 71, 71, key, S.record("MYSTERY", key, "x"), S.record("P", key, F.when(c("c_acctbal") < 0, "1.0d").otherwise("1"), 0), S.record("P", key, "+2", "1e0"))
-    rows = _read(spark, _property(spark, sf_dir, _sixteen), odd, *_order_lines(spark, sf_dir, F.when(c("o_orderkey") % 7 == 0, k + 900000000).when(c("o_orderkey") % 5 == 0, 999999999).otherwise(k + 2), drawing=_sixteen))
+    rows = _read(spark, _property(spark, sf_dir), odd, *_order_lines(spark, sf_dir, F.when(c("o_orderkey") % 7 == 0, k + 900000000).when(c("o_orderkey") % 5 == 0, 999999999).otherwise(k + 2)))
     return rows.diagnostics.groupBy("code").agg(F.count("*").alias("n"))
 
 
