@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from functools import cached_property
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,9 +15,10 @@ from .errors import CLASSES
 from .functions import text as codecs
 from .functions.geometry import apply
 from .operators import audit, decode, diagnostics, polylines, query, resolve, structure
+from .operators import encoding as encodings
 from .operators.polylines import CURVE_SEGMENTS
 from .operators.resolve import KEY
-from .sources import files, scan
+from .sources import files, ranges, scan
 from .sources.limits import Limits
 from .storage import Shelf
 
@@ -31,8 +32,9 @@ class Corpus:
     most tables derive from them; ``close`` deletes what was written.
     """
 
-    def __init__(self, source: DataFrame, limits: Limits, encoding: str | None, mode: str):
-        self.source, self.limits, self.encoding, self.mode = source, limits, encoding, mode
+    def __init__(self, source: DataFrame, limits: Limits, encoding: str | None, mode: str, range_size: int = scan.RANGE):
+        self.source, self.limits, self.encoding, self.mode, self.range_size = source, limits, encoding, mode, range_size
+        self.pieces = None
         self._shelf = Shelf()
         self._typed: dict[tuple[str, ...], DataFrame] = {}
 
@@ -41,29 +43,88 @@ class Corpus:
 
     # Raw structure
 
+    @cached_property
+    def _framed(self) -> tuple[DataFrame, DataFrame | None, bool]:
+        """Rows of all drawings, the ranges of large ones, and whether a text is not ASCII."""
+        failfast, keep = self.mode == "FAILFAST", self._shelf.put
+        rows, ready, large, odd = None, None, None, True
+        if self.pieces is None:
+            seen = Observation()
+            some = lambda name, what: F.coalesce(F.bool_or(what), F.lit(False)).alias(name)
+            made = scan.scan(self.source, self.limits, failfast, self.range_size).observe(seen, some("large", F.col("row") == "range"), some("odd", F.coalesce("odd", "section.odd", F.lit(False))))
+            rows = keep(made, "scan")
+            odd = seen.get["odd"] or seen.get["large"]
+            if seen.get["large"]:
+                large = rows.where("row = 'range'").select(KEY, "range.*")
+                rows = rows.where("row <> 'range'")
+        else:
+            large = keep(ranges.aligned(self.pieces, keep).withColumns({"container_size": F.lit(None).cast("bigint"), "compression": F.lit(None).cast("string")}), "ranges")
+        if large is not None:
+            more, ready = ranges.scan(large, self.limits, failfast, keep)
+            more = keep(more, "scan")
+            rows = more if rows is None else rows.unionByName(more)
+        return rows, ready, odd
+
     @cached_property
     def scan(self) -> DataFrame:
-        return self._shelf.put(scan.scan(self.source, self.limits, self.encoding, self.mode == "FAILFAST"), "scan")
+        """Framing: rows of drawings, sections, records and diagnostics."""
+        return self._framed[0]
 
     @cached_property
-    def _drawings(self) -> DataFrame:
+    def _framed_drawings(self) -> DataFrame:
         return self.scan.where("row = 'drawing'").select(KEY, "drawing.*")
 
+    @cached_property
+    def _framed_sections(self) -> DataFrame:
+        return self.scan.where("row = 'section'").select(KEY, "section.*")
+
+    @cached_property
+    def _framed_records(self) -> DataFrame:
+        return self.scan.where("row = 'record'").select(KEY, *[f.name for f in scan.RECORD])
+
+    @cached_property
+    def encodings(self) -> DataFrame:
+        """(drawing_id, name, source, declared_name, code, span, conflicts): how each drawing's texts are to be read, and why."""
+        found = encodings.settle(self._framed_drawings, self._framed_sections, self._framed_records, self.encoding, self._framed[2])
+        return self._shelf.put(found, "encodings")
+
+    @cached_property
+    def _drawings(self) -> DataFrame:
+        return self._framed_drawings.join(self.encodings.select(KEY, F.struct("name", "source", "declared_name").alias("encoding")), KEY, "left")
+
     @cached_property
     def errors(self) -> DataFrame:
-        return self._drawings.where("error is not null").select(KEY, "error.class", "error.message")
+        return self._framed_drawings.where("error is not null").select(KEY, "error.class", "error.message")
 
     @cached_property
     def lines(self) -> DataFrame:
-        return scan.lines(self.source, self.limits, self.encoding)
+        ready = self._framed[1]
+        rows = scan.lines(self.source, self.limits, self.range_size) if self.pieces is None else None
+        large = ranges.lines(ready, self.limits) if ready is not None else None
+        return rows if large is None else large if rows is None else rows.unionByName(large)
+
+    def _texts(self, rows: DataFrame, wanted, name: str) -> DataFrame:
+        """rows with ``texts`` and ``bad_fields``: ASCII as it is, where ``wanted``; other rows are decoded once the encoding is known."""
+        none = F.lit(None).cast(encodings.BAD)
+        plain = rows.withColumns({"texts": F.when(wanted, F.col("fields")), "bad_fields": F.when(wanted, F.slice(F.array(F.lit(None).cast(encodings.BAD.elementType)), 1, 0)).otherwise(none)})
+        if not self._framed[2]:
+            return plain
+        return plain.where("not odd").unionByName(self._shelf.put(encodings.decoded(rows.where("odd"), self.encodings), name))
 
     @cached_property
     def sections(self) -> DataFrame:
-        return self.scan.where("row = 'section'").select(KEY, "section.*")
+        return self._texts(self._framed_sections, F.col("fields").isNotNull(), "sections")
 
     @cached_property
     def records(self) -> DataFrame:
-        return self.scan.where("row = 'record'").select(KEY, *[f.name for f in scan.RECORD])
+        return self._texts(self._framed_records, F.col("record_type").isin(*scan.TEXT_TYPES), "texts")
+
+    @cached_property
+    def notes(self) -> DataFrame:
+        """Diagnostics of framing, encodings and texts of sections."""
+        framing = self.scan.where("row = 'diagnostic'").select(KEY, "diagnostic.*")
+        found = framing.unionByName(encodings.notes(self.encodings))
+        return found.unionByName(encodings.section_errors(self.sections)) if self._framed[2] else found
 
     def find_sections(self, number: int) -> DataFrame:
         return self.sections.where(F.col("number") == number)
@@ -104,8 +165,7 @@ class Corpus:
 
     def inspect(self, records: bool = False, lines: bool = False) -> DataFrame:
         """(drawing_id, report): a JSON text a drawing, as the command line prints it; executors can write it."""
-        notes = self.scan.where("row = 'diagnostic'").select(KEY, "diagnostic.*")
-        sides = {"diagnostics": notes.select(KEY, F.struct("phase", "ordinal", "seq", "severity", "code", "message", "span").alias("v"))}
+        sides = {"diagnostics": self.notes.select(KEY, F.struct("phase", "ordinal", "seq", "severity", "code", "message", "span").alias("v"))}
         if records:
             sides["records"] = self.records.select(KEY, F.struct(F.col("record_index").alias("index"), F.col("section_number").alias("section"), F.col("record_type").alias("type"), "offset", "length", "termination").alias("v"))
         if lines:
@@ -135,7 +195,7 @@ class Corpus:
 
     @cached_property
     def _present(self) -> set[str]:
-        return decode.present_types(self.records)
+        return decode.present_types(self._framed_records)
 
     def _of(self, *kinds: str) -> DataFrame:
         """Entities of some kinds, decoded from their own record types only and written out once, as readings of a record are used many times."""
@@ -143,7 +203,9 @@ class Corpus:
             return self.entities.where(F.col("kind").isin(*kinds))
         types = {t for k in kinds for t in decode.KINDS[k]}
         if kinds not in self._typed:
-            rows = decode.decode(self.records.where(F.col("record_type").isin(*types)), types, sparse=True)
+            plain = not types & scan.TEXT_TYPES
+            rows = self._framed_records.withColumns({"texts": F.lit(None).cast("array<string>"), "bad_fields": F.lit(None).cast(encodings.BAD)}) if plain else self.records
+            rows = decode.decode(rows.where(F.col("record_type").isin(*types)), types, sparse=True)
             # A point has two plain readings: to make them again costs less than to write them. Others are chosen by
             # kind only once they are written, as a filter moved below the readings would make them all twice.
             self._typed[kinds] = rows if kinds == ("point",) else self._shelf.put(rows, "entities")
@@ -330,11 +392,11 @@ class Corpus:
     @cached_property
     def diagnostics(self) -> DataFrame:
         return diagnostics.diagnostics(
-            self.scan, self._drawings, self.sections, self.records, self.entities, self.part_names, self.bound, self.instances, self.references, resolve.last_ids(self.entities)
+            self.notes, self._framed_drawings, self.sections, self.records, self.entities, self.part_names, self.bound, self.instances, self.references, resolve.last_ids(self.entities)
         )
 
     def audit(self) -> DataFrame:
-        return audit.audit(self.records, self.entities, self.hatches, self.dimensions, self.diagnostics)
+        return audit.audit(self._framed_records, self.entities, self.hatches, self.dimensions, self.diagnostics)
 
     TABLES = (
         "drawings", "lines", "sections", "records", "entities", "points", "lines_geo", "arcs", "circles", "bsplines", "texts", "properties", "tolerances", "dimensions", "leaders", "contours", "hatches", "hatch_assocs", "symbols",
@@ -347,10 +409,12 @@ class Corpus:
             getattr(self, name).createOrReplaceTempView(prefix + name)
 
 
-def read(spark: SparkSession, source, limits: Limits | None = None, encoding: str | None = None, mode: str = "PERMISSIVE", glob: str | None = None) -> Corpus:
+def read(spark: SparkSession, source, limits: Limits | None = None, encoding: str | None = None, mode: str = "PERMISSIVE", glob: str | None = None, range_size: int = scan.RANGE) -> Corpus:
     """A corpus from paths, or from a DataFrame with drawing_id and content.
 
-    Drawings that cannot be read have a row in ``errors``; with mode FAILFAST the first one raises.
+    With a column ``part`` the rows of a DataFrame are pieces of drawings, cut anywhere and ordered by it.
+    Drawings of more than ``range_size`` bytes, and pieces, are framed in ranges by many tasks. Drawings that
+    cannot be read have a row in ``errors``; with mode FAILFAST the first one raises.
     """
     limits = limits or Limits()
     name = None
@@ -358,11 +422,18 @@ def read(spark: SparkSession, source, limits: Limits | None = None, encoding: st
         raise ValueError(f"unsupported text encoding: {encoding}")
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
+    pieces = None
     if isinstance(source, DataFrame):
-        rows = source.select(F.col("drawing_id").cast("string").alias("drawing_id"), F.col("content").cast("binary").alias("content"), F.octet_length("content").cast("bigint").alias("size"))
+        rows = source.select(F.col("drawing_id").cast("string").alias("drawing_id"), F.col("content").cast("binary").alias("content"), F.octet_length("content").cast("bigint").alias("size"), *(["part"] if "part" in source.columns else []))
+        if "part" in source.columns:
+            pieces = rows.withColumn("part", F.col("part").cast("bigint"))
+            order = F.struct(F.col("part").alias("at"), "content")
+            rows = pieces.groupBy("drawing_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["content"].cast("string")), "").cast("binary").alias("content")).withColumn("size", F.octet_length("content").cast("bigint"))
     else:
         rows = files.load(spark, source, limits, glob)
-    return Corpus(rows, limits, name, mode)
+    out = Corpus(rows, limits, name, mode, range_size)
+    out.pieces = pieces
+    return out
 
 
 __all__ = ["CLASSES", "Corpus", "Limits", "read"]

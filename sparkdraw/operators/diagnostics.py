@@ -53,7 +53,7 @@ def declared_last(sections: DataFrame) -> DataFrame:
     return first.select(KEY, entry.alias("entry"), unsigned(F.substring(entry, 6, 1 << 30)).alias("toc_last_entity"), "body_span").where("entry is not null")
 
 
-def diagnostics(scan: DataFrame, drawings: DataFrame, sections: DataFrame, records: DataFrame, entities: DataFrame, names: DataFrame, bound: DataFrame, placed: DataFrame, references: DataFrame, last: DataFrame) -> DataFrame:
+def diagnostics(notes: DataFrame, drawings: DataFrame, sections: DataFrame, records: DataFrame, entities: DataFrame, names: DataFrame, bound: DataFrame, placed: DataFrame, references: DataFrame, last: DataFrame) -> DataFrame:
     """One frame of all observations."""
     none = F.struct(*[F.lit(v).cast("bigint").alias(n) for n, v in (("offset", 0), ("length", 0), ("start_line", 1), ("end_line", 1))])
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
@@ -61,7 +61,7 @@ def diagnostics(scan: DataFrame, drawings: DataFrame, sections: DataFrame, recor
     toc = declared_last(sections)
     ids = toc.where("toc_last_entity is not null").join(last, KEY, "left")
     out = [
-        scan.where("row = 'diagnostic'").select(KEY, "diagnostic.*").select(*COLUMNS),
+        notes.select(*COLUMNS),
         _rows(drawings.where("error is null").join(head.select(KEY), KEY, "left_anti"), 2, 0, 0, "warning", "MI_MISSING_GLOBAL_SECTION", F.lit("there is no section 3"), none),
         _rows(head.where(F.col("field_count") < GLOBAL_FIELDS), 2, 0, 1, "warning", "MI_GLOBAL_RECORD_TOO_SHORT", text(F.col("field_count"), f" fields of {GLOBAL_FIELDS}"), "body_span"),
         _rows(head.where(F.col("version").isNotNull() & (F.col("version") != VERIFIED)), 2, 0, 2, "info", "MI_GLOBAL_LAYOUT_UNVERIFIED", text("layout is known for 2.10, not for ", F.col("version")), "body_span"),

@@ -272,7 +272,7 @@ def q47_encoding_override(spark, sf_dir):
     t, k = table(spark, sf_dir, "part"), c("p_partkey")
     made = S.drawings(_declared(t.where(k % 2 == 1), k, "roman8"), _name_bytes(t, k, _hiragana(c("p_size"))), charset="ISO-8859-1")
     rows = corpus.read(spark, made, encoding="cp932", mode="FAILFAST")
-    notes = rows.scan.where("diagnostic.code = 'MI_ENCODING_CONFLICT'").select(KEY, F.lit(True).alias("conflict"))
+    notes = rows.notes.where("code = 'MI_ENCODING_CONFLICT'").select(KEY, F.lit(True).alias("conflict"))
     found = rows.texts.join(rows._drawings.select(KEY, "encoding.source"), KEY).join(notes, KEY, "left")
     return found.select((c("entity_id") - 1).alias("p_partkey"), "text", "source", F.coalesce("conflict", F.lit(False)).alias("conflict"))
 
@@ -312,7 +312,7 @@ def q49_encoding_codes(spark, sf_dir):
         S.drawings(head(of(3), "\xc3\xa9"), **latin), S.drawings(head(of(4), "\xff"), **latin),
     ]
     rows = corpus.read(spark, _union(made), mode="FAILFAST")
-    return _tally(rows.scan.where("row = 'diagnostic' and diagnostic.phase = 1").select("diagnostic.code"), "code")
+    return _tally(rows.notes.where("phase = 1").select("code"), "code")
 
 
 @query("SELECT p_partkey, 'FF' AS bad, 'TEX field 29 fails at byte ' || (3 + p_size % 5) AS message FROM part")

@@ -1,11 +1,14 @@
-"""Framing of drawings: an Arrow kernel that turns each drawing's bytes into rows.
+"""Framing of drawings: an Arrow kernel that turns bytes into rows of sections and records.
 
-A drawing is one row of input and stays in one task, so framing needs no shuffle. Line ends come from
-array operations over the bytes and marks from one pattern search; Python's loop runs over records, not
-over lines. Spans are byte offsets and lengths in the logical stream, with 1-based lines.
+The kernel frames a stretch of whole records, given what came before it (``Carry``). A drawing of usual size
+is one stretch, framed in the task that reads it, without a shuffle. A larger one is cut after record marks
+into ranges (``ranges`` composes what comes before each), so all cores frame it. Line ends come from array
+operations over the bytes and marks from one pattern search; Python's loop runs over records, not over
+lines. Spans are byte offsets and lengths in the logical stream, with 1-based lines.
 
-Output rows have a ``row`` kind: "drawing", "section", "record" or "diagnostic"; columns of other kinds
-are null. ``LINE_SCHEMA`` rows come from a pass of their own.
+Output rows have a ``row`` kind: "drawing", "section", "record", "diagnostic" or "range"; columns of other
+kinds are null. ``LINE_SCHEMA`` rows come from a pass of their own. Encodings and texts are no matter of
+framing: fields are strings of one character a byte.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +25,6 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..errors import DrawingError, InvalidDrawing, LimitExceeded
-from ..functions import text as codecs
 from .files import unwrap
 from .limits import Limits
 
@@ -35,9 +38,11 @@ FRAMED_SECTIONS = frozenset((41, 42, 5, 61, 62, 63, 71, 72, 81, 82))
 FIELD_SECTIONS = frozenset((1, 2, 3, 6))
 TEXT_TYPES = frozenset(("TEX", "ASSP", "DTA", "DTV", "ASSE", "DANG", "DCHMF", "DDIA", "DRAD", "DSGL"))
 RECORDS_A_BATCH = 20_000
+#: Drawings with more bytes are cut into ranges of about as many.
+RANGE = 16 << 20
 
 _MARK = re.compile(rb"(?:(?<=\n)|(?<=\r)|\A(?:\xef\xbb\xbf)?)[ \t\f]*(\|~|##~~|#~([0-9]+))[ \t\f]*(?=[\r\n]|\Z)")
-_END = re.compile(rb"\r\n|\r|\n")
+_END = re.compile(rb"\r\n|\r|\n|\Z")
 _TYPE = re.compile(r"[A-Za-z][A-Za-z0-9_]*")
 _ID = re.compile(r"\+?[0-9]+")
 
@@ -50,22 +55,21 @@ DRAWING = T.StructType([
     *[T.StructField(n, _l) for n in ("container_size", "source_size")], T.StructField("termination", _s), T.StructField("end_offset", _l), T.StructField("trailing_bytes", _l),
     T.StructField("preamble_span", SPAN), T.StructField("file_terminator_span", SPAN),
     T.StructField("newlines", T.StructType([T.StructField(n, _l) for n in ("lf", "crlf", "cr", "unterminated")])), T.StructField("line_count", _l),
-    T.StructField("encoding", T.StructType([T.StructField(n, _s) for n in ("name", "source", "declared_name")])),
     T.StructField("error", T.StructType([T.StructField("class", _s), T.StructField("message", _s)])),
 ])
 SECTION = T.StructType([
     T.StructField("section_index", _l), T.StructField("number", _l), T.StructField("span", SPAN), T.StructField("marker_span", SPAN), T.StructField("body_span", SPAN),
-    T.StructField("first_record", _l), T.StructField("record_count", _l), T.StructField("part_index", _l), T.StructField("fields", _strings), T.StructField("texts", _strings),
+    T.StructField("first_record", _l), T.StructField("record_count", _l), T.StructField("part_index", _l), T.StructField("fields", _strings), T.StructField("field_at", T.ArrayType(_l)), T.StructField("odd", _b),
 ])
 RECORD = [
     T.StructField("record_index", _l), T.StructField("section_index", _l), T.StructField("section_number", _l), T.StructField("part_index", _l),
     *[T.StructField(n, _l) for n in ("offset", "length", "start_line", "end_line", "payload_length", "payload_end_line", "terminator_offset", "terminator_length", "type_line")],
-    T.StructField("termination", _s), T.StructField("record_type", _s), T.StructField("fields", _strings), T.StructField("texts", _strings),
-    T.StructField("bad_fields", T.ArrayType(T.StructType([T.StructField(n, _l) for n in ("field", "offset", "length", "at")]))),
+    T.StructField("termination", _s), T.StructField("record_type", _s), T.StructField("fields", _strings), T.StructField("field_at", T.ArrayType(_l)), T.StructField("odd", _b),
     T.StructField("entity_id", _l), T.StructField("entity_index", _l), T.StructField("first_index", _l),
 ]
+RANGE_ROW = T.StructType([T.StructField("part", _l), T.StructField("content", T.BinaryType()), T.StructField("container_size", _l), T.StructField("compression", _s)])
 SCAN_SCHEMA = T.StructType([
-    T.StructField("drawing_id", _s), T.StructField("row", _s), T.StructField("drawing", DRAWING), T.StructField("section", SECTION), T.StructField("diagnostic", DIAGNOSTIC), *RECORD,
+    T.StructField("drawing_id", _s), T.StructField("row", _s), T.StructField("drawing", DRAWING), T.StructField("section", SECTION), T.StructField("diagnostic", DIAGNOSTIC), T.StructField("range", RANGE_ROW), *RECORD,
 ])
 LINE_SCHEMA = T.StructType([
     T.StructField("drawing_id", _s), *[T.StructField(n, _l) for n in ("number", "offset", "length", "content_length")], T.StructField("ending", _s), T.StructField("kind", _s),
@@ -112,66 +116,88 @@ def _unsigned(text: str | None) -> int | None:
     return value if value < 1 << 63 else None
 
 
-def _marks(data: bytes, starts: list[int]) -> Iterator[tuple[int, str, int]]:
-    """(line index, mark, section number) in order, up to and with the first end of file."""
+class Carry(NamedTuple):
+    """What stands before a stretch: bytes, lines, sections, records, entities and parts; the number and part of the section that is open; whether the drawing has ended."""
+
+    offset: int = 0
+    line: int = 0
+    sections: int = 0
+    records: int = 0
+    entities: int = 0
+    parts: int = 0
+    open: int | None = None
+    part: int | None = None
+    ended: bool = False
+
+
+def part_of(parts: int, number: int) -> int | None:
+    """The part that a section belongs to, after so many definitions."""
+    return parts - 1 if parts and number in PART_SECTIONS else None
+
+
+def marks(data: bytes, first: bool = True) -> Iterator[tuple[int, int, str, int]]:
+    """(start of the mark, end of its line, mark, section number) in order, up to and with the first end of file; first: data begins the drawing."""
     for m in _MARK.finditer(data):
-        word = m[1]
-        number = -1
-        if m[2] is not None:
-            number = int(m[2])
-            if number >= 1 << 32:
-                continue
-        yield bisect_right(starts, m.start(1)) - 1, word.decode() if m[2] is None else "#~", number
-        if word == b"##~~":
+        if m[2] is not None and int(m[2]) >= 1 << 32 or not first and m[0].startswith(BOM):
+            continue
+        yield m.start(1), _END.search(data, m.end()).end(), m[1].decode() if m[2] is None else "#~", -1 if m[2] is None else int(m[2])
+        if m[1] == b"##~~":
             return
 
 
-class Drawing:
-    """The structure of one drawing's logical bytes."""
-
-    def __init__(self, data: bytes, limits: Limits, override: str | None):
-        self.data, self.limits, self.override = data, limits, override
+def cuts(data: bytes, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of data of about ``size`` bytes that end after the line of a mark; what follows the end mark is cut after lines."""
+    begin = last = 0
+    ended = False
+    for _, after, mark, _ in marks(data):
+        if after - begin > size and last > begin:
+            yield begin, last
+            begin = last
+        last, ended = after, mark == "##~~"
+    if ended and last < len(data):
+        yield begin, last
+        begin = last
+        while len(data) - begin > size and 0 < (at := data.find(b"\n", begin + size) + 1) < len(data):
+            yield begin, at
+            begin = at
+    yield begin, len(data)
+
+
+class Frame:
+    """The structure of a stretch of one drawing's logical bytes; ``last``: the drawing ends with it."""
+
+    def __init__(self, data: bytes, limits: Limits, carry: Carry = Carry(), last: bool = True):
+        self.data, self.limits, self.carry, self.last = data, limits, carry, last
         self.diagnostics: list[dict] = []
         self.sections: list[dict] = []
         self.records: list[tuple] = []
-        self._limit("decompressed bytes", len(data), limits.max_decompressed_size)
-        starts, ends, kinds = _lines_of(data)
-        self.starts, self.ends, self.kinds = starts, ends, kinds
-        self._limit("lines", len(starts), limits.max_lines)
-        if len(starts):
-            widths = ends - starts - np.array([1, 2, 1, 0])[kinds]
-            self._limit("line length bytes", int(widths.max()), limits.max_line_length)
-        self._frame()
-        self._encode()
-
-    def _limit(self, what: str, actual: int, limit: int) -> None:
-        if actual > limit:
-            raise LimitExceeded(f"{what}: {actual} over {limit}")
-
-    def note(self, phase: int, code: str, severity: str, message: str, span: dict, ordinal: int = 0) -> None:
-        self.diagnostics.append({"phase": phase, "ordinal": ordinal, "seq": len(self.diagnostics), "severity": severity, "code": code, "message": message, "span": span})
+        self.entities = carry.entities
+        self.starts, self.ends, self.kinds = _lines_of(data)
+        self.counts = np.bincount(self.kinds, minlength=4).tolist()
+        self.widest = int((self.ends - self.starts - np.array([1, 2, 1, 0])[self.kinds]).max(initial=0))
+        self.ascii = data.isascii()
+        self.terminator: dict | None = None
+        self.preamble: dict | None = None
+        if not carry.ended:
+            self._frame()
+
+    def note(self, code: str, message: str, span: dict) -> None:
+        """A remark; what is said of the whole drawing comes first, the others by place."""
+        self.diagnostics.append({"phase": 0, "ordinal": 0, "seq": 2 * span["offset"] + 1, "severity": "warning", "code": code, "message": message, "span": span})
 
     def _frame(self) -> None:
-        data, starts, ends = self.data, self.starts.tolist(), self.ends.tolist()
-        n_lines = len(starts)
-        counts = np.bincount(self.kinds, minlength=4)
-        if (counts[:3] > 0).sum() > 1:
-            self.note(0, "MI_MIXED_LINE_ENDINGS", "warning", "lines end in more than one way", _span(0, len(data), 1, max(1, n_lines)))
-        head = BOM if data.startswith(BOM) else b""
-        first = next((x for x in re.finditer(rb"[^\r\n]+", data[len(head) : 65536]) if x[0].strip(b" \t\f")), None)
-        found = re.fullmatch(rb"#~([0-9]+)", first[0].strip(b" \t\f")) if first else None
-        if not found or int(found[1]) >= 1 << 32:
-            raise InvalidDrawing("no section mark on the first line with content")
-        self.format = {"kind": "mi_text", "compression": None, "first_section": int(found[1]), "utf8_bom": bool(head)}
-        open_ = None  # the section under construction
-        self.terminator = None
-        self.preamble = _span(0, 0, 1, 1)
-        part = -1
-        for line, mark, number in _marks(data, starts):
-            at, after, row = starts[line], ends[line], line + 1
+        data, starts, carry = self.data, self.starts.tolist(), self.carry
+        base, before = carry.offset, carry.line
+        section, parts = carry.sections - 1, carry.parts
+        open_ = None  # the section under construction; what it has in this stretch
+        if carry.open is not None:
+            open_ = {"section_index": section, "number": carry.open, "part": carry.part, "body": 0, "next": 0, "next_line": before + 1}
+        for at_mark, after, mark, number in marks(data, carry.offset == 0):
+            line = bisect_right(starts, at_mark) - 1
+            at, row = starts[line], before + line + 1
             if mark == "|~":
                 if open_ is None:
-                    self.note(0, "MI_ENTITY_TERMINATOR_OUTSIDE_SECTION", "warning", "a record ends before any section", _span(at, after - at, row, row))
+                    self.note("MI_ENTITY_TERMINATOR_OUTSIDE_SECTION", "a record ends before any section", _span(base + at, after - at, row, row))
                 else:
                     self._record(open_, at, row, after)
                     open_["next"], open_["next_line"] = after, row + 1
@@ -180,241 +206,254 @@ class Drawing:
                 self._close(open_, at, row, "section_boundary" if mark == "#~" else "file_boundary")
                 open_ = None
             if mark == "#~":
-                if not self.sections:
-                    self.preamble = _span(0, at, 1, max(1, row - 1) if at else 1)
-                self._limit("sections", len(self.sections) + 1, self.limits.max_sections)
-                part += number == 6
-                open_ = {"number": number, "at": at, "line": row, "body": after, "next": after, "next_line": row + 1, "first": len(self.records), "part": part if part >= 0 and number in PART_SECTIONS else None}
+                section += 1
+                if section == 0:
+                    self.preamble = _span(0, base + at, 1, max(1, row - 1) if base + at else 1)
+                parts += number == 6
+                open_ = {
+                    "section_index": section, "number": number, "part": part_of(parts, number), "at": at, "line": row, "marker_end": after, "first_record": carry.records + len(self.records),
+                    "body": after, "next": after, "next_line": row + 1,
+                }
             else:
-                self.terminator = _span(at, after - at, row, row)
-                if after < len(data):
-                    self.note(0, "MI_TRAILING_DATA", "warning", f"{len(data) - after} bytes follow the end mark", _span(after, len(data) - after, row + 1, max(row + 1, n_lines)))
-        if self.terminator is None:
-            if open_ is not None:
-                self._close(open_, len(data), max(1, n_lines) + 1, "physical_eof")
-            self.note(0, "MI_MISSING_FILE_TERMINATOR", "warning", "the stream ends without its end mark", _span(len(data), 0, max(1, n_lines), max(1, n_lines)))
+                self.terminator = _span(base + at, after - at, row, row)
+        if open_ is not None and self.terminator is None:
+            if self.last:
+                self._close(open_, len(data), before + max(1 - before, len(starts)) + 1, "physical_eof")
+            else:
+                self._piece(open_, len(data), None)
+
+    def _limit(self, what: str, actual: int, limit: int) -> None:
+        if actual > limit:
+            raise LimitExceeded(f"{what}: {actual} over {limit}")
 
     def _record(self, s: dict, end: int, row: int, after: int | None, termination: str = "entity_marker") -> None:
         """A record from the last boundary to ``end``; ``after`` is where its terminator line ends."""
-        begin, first = s["next"], s["next_line"]
+        begin, first, base = s["next"], s["next_line"], self.carry.offset
         length = (after if after is not None else end) - begin
+        index = self.carry.records + len(self.records)
         self._limit("record size bytes", length, self.limits.max_record_size)
-        self._limit("records", len(self.records) + 1, self.limits.max_records)
+        self._limit("records", index + 1, self.limits.max_records)
         last = max(row - 1, first)
-        kind = fields = skip = None
+        kind = fields = skip = places = entity = number = None
+        odd = False
         if after is not None:
             lines = _split(self.data[begin:end])
             skip = next((i for i, x in enumerate(lines) if x.strip(BLANK)), None)
             if skip is not None and _TYPE.fullmatch(word := lines[skip].strip(BLANK)):
                 kind, fields = word, lines[skip:]
+                if not self.ascii and kind in TEXT_TYPES and not self.data[begin:end].isascii():
+                    odd, places = True, self._places(first + skip, len(fields))
+                if len(fields) > 1 and (entity := _unsigned(fields[1])) is not None:
+                    number = self.entities
+                    self.entities += 1
         self.records.append((
-            len(self.records), len(self.sections), s["number"], s["part"], begin, length, first, row if after is not None else last, end - begin, last,
-            end if after is not None else None, after - end if after is not None else None, first + skip if kind else None, termination, kind, fields,
+            index, s["section_index"], s["number"], s["part"], base + begin, length, first, row if after is not None else last, end - begin, last,
+            base + end if after is not None else None, after - end if after is not None else None, first + skip if kind else None, termination, kind, fields, places, odd, entity, number,
         ))
 
+    def _places(self, line: int, n: int) -> list[int]:
+        """Offsets of n lines from the 1-based ``line`` on."""
+        at = line - self.carry.line - 1
+        return (self.starts[at : at + n] + self.carry.offset).tolist()
+
     def _close(self, s: dict, end: int, row: int, boundary: str) -> None:
         begin = s["next"]
         if begin < end and self.data[begin:end].strip(b" \t\n\f\r"):
             self._record(s, end, row, None, boundary)
             if s["number"] in FRAMED_SECTIONS:
-                self.note(0, "MI_UNTERMINATED_RECORD", "warning", f"section {s['number']} has data without a terminator", _span(begin, end - begin, s["next_line"], max(row - 1, s["next_line"])))
-        last = max(row - 1, s["line"])
-        size = end - s["body"]
-        body = _span(s["body"], size, s["line"] + 1, last) if size else _span(s["body"], 0, s["line"], s["line"])
+                self.note("MI_UNTERMINATED_RECORD", f"section {s['number']} has data without a terminator", _span(self.carry.offset + begin, end - begin, s["next_line"], max(row - 1, s["next_line"])))
+        self._piece(s, end, row)
+
+    def _piece(self, s: dict, end: int, row: int | None) -> None:
+        """What this stretch has of a section, up to ``end``; row: the line after it, if it ends here."""
+        base, fields, places = self.carry.offset, None, None
+        if s["number"] in FIELD_SECTIONS:
+            fields = _split(self.data[s["body"] : end])
+            places = self._places(int(np.searchsorted(self.starts, s["body"], "right")) + self.carry.line, len(fields))
+        own = "at" in s
         self.sections.append({
-            "section_index": len(self.sections), "number": s["number"], "span": _span(s["at"], end - s["at"], s["line"], last), "marker_span": _span(s["at"], s["body"] - s["at"], s["line"], s["line"]),
-            "body_span": body, "first_record": s["first"], "record_count": len(self.records) - s["first"], "part_index": s["part"],
-            "fields": _split(self.data[s["body"] : end]) if s["number"] in FIELD_SECTIONS else None, "texts": None,
+            "section_index": s["section_index"], "number": s["number"], "part_index": s["part"], "at": base + s["at"] if own else None, "line": s["line"] if own else None,
+            "marker_end": base + s["marker_end"] if own else None, "first_record": s["first_record"] if own else None, "end": base + end if row is not None else None, "row": row,
+            "records_then": self.carry.records + len(self.records), "fields": fields, "field_at": places, "odd": fields is not None and not self.ascii and not all(map(str.isascii, fields)),
         })
 
-    def _encode(self) -> None:
-        """Settle the encoding, then decode the fields that can hold text."""
-        raw = lambda x: x.encode("latin-1")
-        declared, where = None, None
-        for s in self.sections:
-            for i, x in enumerate(s["fields"] or ()) if s["number"] == 1 else ():
-                name, colon, label = x.strip(BLANK).partition(":")
-                if not colon or name.upper() != "ENCODING":
-                    continue
-                label = raw(label.strip(BLANK)).decode("utf-8", "replace")
-                line = s["body_span"]["start_line"] + i
-                span = _span(int(self.starts[line - 1]) + x.index(":") + 1, len(x) - x.index(":") - 1, line, line)
-                if declared is None:
-                    declared, where = label, span
-                elif label.upper() != declared.upper():
-                    self.note(1, "MI_CONFLICTING_ENCODING_DECLARATION", "warning", f"{label} after {declared}", span)
-        head = next((s for s in self.sections if s["number"] == 3), None)
-        version = head["fields"][11].strip(BLANK) if head and len(head["fields"]) > 11 else None
-        candidates: list[tuple[bytes, dict]] = []
-
-        def offer(fields: list[str], i: int, first_line: int) -> None:
-            if i < len(fields):
-                candidates.append((raw(fields[i]), _span(int(self.starts[first_line + i - 1]), len(fields[i]), first_line + i, first_line + i)))
-
-        for s in self.sections:
-            line = s["body_span"]["start_line"]
-            if s["number"] == 3:
-                for i in (0, 7, 8, 10):
-                    offer(s["fields"], i, line)
-            elif s["number"] == 6:
-                i = next((i for i, x in enumerate(s["fields"]) if x.strip(BLANK)), None)
-                if i is not None:
-                    offer(s["fields"], i, line)
-        for r in self.records:
-            if r[14] == "TEX":
-                offer(r[15], 19, r[12])
-                offer(r[15], 28, r[12])
-            elif r[14] == "ASSE" and len(r[15]) > 2 and (n := _unsigned(r[15][2])) is not None:
-                offer(r[15], 3 + n, r[12])
-        name, source, code = codecs.detect(self.override, self.format["utf8_bom"], version, declared, [c for c, _ in candidates])
-        self.encoding = {"name": name, "source": source, "declared_name": declared}
-        if code is not None:
-            odd = next((s for c, s in candidates if not c.isascii()), None)
-            severity = "warning" if code in ("MI_UNSUPPORTED_DECLARED_ENCODING", "MI_ENCODING_UNDETERMINED") else "info"
-            self.note(1, code, severity, f"encoding {name} from {source}, declared {declared}", where if declared is not None else odd)
-        for s in self.sections:
-            if s["fields"] is not None and s["number"] in (3, 6):
-                wanted = (0, 7, 8, 10) if s["number"] == 3 else [i for i, x in enumerate(s["fields"]) if x.strip(BLANK)][:1]
-                if s["number"] == 3 and s is not head:
-                    wanted = ()
-                s["texts"], bad = self._texts(s["fields"], wanted)
-                for i, at, n in bad:
-                    line = s["body_span"]["start_line"] + i
-                    self.note(2 if s["number"] == 3 else 4, "MI_TEXT_DECODE_ERROR", "warning", f"field {i} of section {s['number']} is not {name} at byte {at}", _span(int(self.starts[line - 1]) + at, n, line, line), s["section_index"])
-
-    def _texts(self, fields: list[str], wanted=None) -> tuple[list[str | None], list[tuple[int, int, int]]]:
-        """Strict texts of fields, and (field, offset, length) of what is not text. Places are only told for known encodings."""
-        out, bad = [], []
-        for i, x in enumerate(fields):
-            if x.isascii():
-                out.append(x)
-                continue
-            try:
-                out.append(codecs.decode(x.encode("latin-1"), self.encoding["name"]))
-            except codecs.BadBytes as e:
-                out.append(None)
-                if self.encoding["name"] is not None and (wanted is None or i in wanted):
-                    bad.append((i, e.offset, e.length))
-        return out, bad
-
-    def drawing_row(self, container: int, envelope: str | None) -> dict:
-        lf, crlf, cr, none = np.bincount(self.kinds, minlength=4).tolist()
-        end = self.terminator["offset"] + self.terminator["length"] if self.terminator else len(self.data)
-        return {
-            "format": self.format | {"compression": envelope}, "container_size": container, "source_size": len(self.data),
-            "termination": "file_marker" if self.terminator else "physical_eof", "end_offset": end, "trailing_bytes": len(self.data) - end,
-            "preamble_span": self.preamble, "file_terminator_span": self.terminator, "newlines": {"lf": lf, "crlf": crlf, "cr": cr, "unterminated": none},
-            "line_count": len(self.starts), "encoding": self.encoding, "error": None,
-        }
-
-    def record_columns(self, part: list[tuple], seen: dict[int, int], count: int) -> tuple[list[list], int]:
-        """Columns of RECORD for some records; seen: first entity index of each id so far."""
+    def record_columns(self, begin: int, end: int, seen: dict[int, int] | None) -> list[list]:
+        """Columns of RECORD for some records; seen: the first entity index of each id so far, or None if it is told later."""
+        part = self.records[begin:end]
         cols: list[list] = [list(c) for c in zip(*part, strict=True)]
-        texts, bads, ids, indices, firsts = [], [], [], [], []
-        for r in part:
-            kind, fields = r[14], r[15]
-            if kind in TEXT_TYPES:
-                t, b = self._texts(fields)
-                texts.append(t)
-                # ``at`` is the place in the stream, whatever the line ends are.
-                bads.append([{"field": i, "offset": at, "length": n, "at": int(self.starts[r[12] + i - 1]) + at} for i, at, n in b])
-            else:
-                texts.append(None)
-                bads.append(None)
-            eid = _unsigned(fields[1]) if kind and len(fields) > 1 else None
-            ids.append(eid)
-            if eid is None:
-                indices.append(None)
-                firsts.append(None)
-            else:
-                firsts.append(seen.setdefault(eid, count))
-                indices.append(count)
-                count += 1
-        return [*cols, texts, bads, ids, indices, firsts], count
+        first = [None if r[18] is None or seen is None else seen.setdefault(r[18], r[19]) for r in part]
+        return [*cols, first]
+
+
+def head_of(data: bytes) -> dict:
+    """The format that the first line with content tells; the first 64 KiB count."""
+    mark = BOM if data.startswith(BOM) else b""
+    first = next((x for x in re.finditer(rb"[^\r\n]+", data[len(mark) : 65536]) if x[0].strip(b" \t\f")), None)
+    found = re.fullmatch(rb"#~([0-9]+)", first[0].strip(b" \t\f")) if first else None
+    if not found or int(found[1]) >= 1 << 32:
+        raise InvalidDrawing("no section mark on the first line with content")
+    return {"kind": "mi_text", "compression": None, "first_section": int(found[1]), "utf8_bom": bool(mark)}
+
+
+def section_row(piece: dict) -> dict:
+    """A section that lies in one stretch."""
+    at, line, body, end, row = (piece[k] for k in ("at", "line", "marker_end", "end", "row"))
+    last, size = max(row - 1, line), end - body
+    return {
+        "section_index": piece["section_index"], "number": piece["number"], "span": _span(at, end - at, line, last), "marker_span": _span(at, body - at, line, line),
+        "body_span": _span(body, size, line + 1, last) if size else _span(body, 0, line, line), "first_record": piece["first_record"], "record_count": piece["records_then"] - piece["first_record"],
+        "part_index": piece["part_index"], "fields": piece["fields"], "field_at": piece["field_at"], "odd": piece["odd"],
+    }
+
+
+def drawing_row(head: dict, envelope: str | None, container: int, size: int, counts: list[int], preamble: dict | None, terminator: dict | None) -> dict:
+    end = terminator["offset"] + terminator["length"] if terminator else size
+    return {
+        "format": head | {"compression": envelope}, "container_size": container, "source_size": size, "termination": "file_marker" if terminator else "physical_eof", "end_offset": end, "trailing_bytes": size - end,
+        "preamble_span": preamble or _span(0, 0, 1, 1), "file_terminator_span": terminator, "newlines": dict(zip(("lf", "crlf", "cr", "unterminated"), counts, strict=True)), "line_count": sum(counts), "error": None,
+    }
+
+
+def whole_notes(row: dict) -> list[dict]:
+    """Remarks on a drawing as a whole."""
+    out, size, lines = [], row["source_size"], row["line_count"]
+
+    def note(seq: int, code: str, message: str, span: dict) -> None:
+        out.append({"phase": 0, "ordinal": 0, "seq": seq, "severity": "warning", "code": code, "message": message, "span": span})
+
+    if sum(row["newlines"][k] > 0 for k in ("lf", "crlf", "cr")) > 1:
+        note(0, "MI_MIXED_LINE_ENDINGS", "lines end in more than one way", _span(0, size, 1, max(1, lines)))
+    if row["termination"] == "physical_eof":
+        note(2 * size + 2, "MI_MISSING_FILE_TERMINATOR", "the stream ends without its end mark", _span(size, 0, max(1, lines), max(1, lines)))
+    elif row["trailing_bytes"]:
+        line = row["file_terminator_span"]["end_line"] + 1
+        note(2 * size + 2, "MI_TRAILING_DATA", f"{row['trailing_bytes']} bytes follow the end mark", _span(row["end_offset"], row["trailing_bytes"], line, max(line, lines)))
+    return out
+
+
+def check_totals(limits: Limits, **totals: int) -> None:
+    """Raise for the first total over its limit."""
+    for name, what, most in (("size", "decompressed bytes", limits.max_decompressed_size), ("lines", "lines", limits.max_lines), ("widest", "line length bytes", limits.max_line_length), ("largest", "record size bytes", limits.max_record_size), ("sections", "sections", limits.max_sections), ("records", "records", limits.max_records)):
+        if totals.get(name, 0) > most:
+            raise LimitExceeded(f"{what}: {totals[name]} over {most}")
 
 
 def _sparse(schema: pa.Schema, n: int, have: dict[str, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(have[f.name], f.type) if f.name in have else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
-def _opened(data: bytes | None, size: int, limits: Limits, override: str | None) -> tuple[Drawing, str | None]:
+def _opened(data: bytes | None, size: int, limits: Limits) -> tuple[bytes, str | None, dict]:
+    """The logical bytes, the envelope and the format."""
     if data is None:
         if size is not None and size > limits.max_file_size:
             raise LimitExceeded(f"input bytes: {size} over {limits.max_file_size}")
         raise InvalidDrawing("no content")
     logical, envelope = unwrap(data, limits)
+    check_totals(limits, size=len(logical))
     try:
-        return Drawing(logical, limits, override), envelope
+        return logical, envelope, head_of(logical)
     except InvalidDrawing as bad:
         raise InvalidDrawing(f"the {envelope} payload is no drawing") from bad if envelope else bad
 
 
-def scan(df: DataFrame, limits: Limits, override: str | None, failfast: bool) -> DataFrame:
-    """Rows of SCAN_SCHEMA for drawings (drawing_id, content, size). A drawing that fails has its error, or raises."""
+def rows_of(who: str, frame: Frame, sections: list[dict], seen: dict[int, int] | None, head: tuple[dict, list[dict]] | None) -> Iterator[pa.RecordBatch]:
+    """SCAN_SCHEMA batches of a stretch; head: the drawing's row and remarks, with its first stretch."""
+    schema = to_arrow_schema(SCAN_SCHEMA)
+    notes = frame.diagnostics
+    if head is not None:
+        yield _sparse(schema, 1, {"drawing_id": [who], "row": ["drawing"], "drawing": [head[0]]})
+        notes = notes + head[1]
+    for kind, rows in (("section", sections), ("diagnostic", notes)):
+        if rows:
+            yield _sparse(schema, len(rows), {"drawing_id": [who] * len(rows), "row": [kind] * len(rows), kind: rows})
+    for i in range(0, len(frame.records), RECORDS_A_BATCH):
+        cols = frame.record_columns(i, i + RECORDS_A_BATCH, seen)
+        n = len(cols[0])
+        yield _sparse(schema, n, {"drawing_id": [who] * n, "row": ["record"] * n} | dict(zip([f.name for f in RECORD], cols, strict=True)))
+
+
+def error_row(who: str, size: int, bad: DrawingError) -> pa.RecordBatch:
+    error = {f.name: None for f in DRAWING} | {"container_size": size, "error": {"class": type(bad).__name__, "message": str(bad)}}
+    return _sparse(to_arrow_schema(SCAN_SCHEMA), 1, {"drawing_id": [who], "row": ["drawing"], "drawing": [error]})
+
+
+def scan(df: DataFrame, limits: Limits, failfast: bool, range_size: int = RANGE) -> DataFrame:
+    """Rows of SCAN_SCHEMA for drawings (drawing_id, content, size). A drawing that fails has its error, or raises; one of more than ``range_size`` bytes has its ranges."""
     schema = to_arrow_schema(SCAN_SCHEMA)
-    names = [f.name for f in RECORD]
+
+    def one(who: str, data: bytes | None, size: int) -> Iterator[pa.RecordBatch]:
+        try:
+            logical, envelope, head = _opened(data, size, limits)
+            if len(logical) > range_size:
+                for part, (a, b) in enumerate(cuts(logical, range_size)):
+                    piece = {"part": part, "content": logical[a:b], "container_size": len(data), "compression": envelope}
+                    yield _sparse(schema, 1, {"drawing_id": [who], "row": ["range"], "range": [piece]})
+                return
+            frame = Frame(logical, limits)
+            check_totals(limits, lines=len(frame.starts), widest=frame.widest, sections=len(frame.sections))
+        except DrawingError as bad:
+            if failfast:
+                raise
+            yield error_row(who, size, bad)
+            return
+        row = drawing_row(head, envelope, len(data), len(logical), frame.counts, frame.preamble, frame.terminator)
+        yield from rows_of(who, frame, [section_row(p) for p in frame.sections], {}, (row, whole_notes(row)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for who, data, size in zip(*[batch.column(c) for c in ("drawing_id", "content", "size")], strict=True):
-                who, data, size = who.as_py(), data.as_py(), size.as_py()
-                try:
-                    one, envelope = _opened(data, size, limits, override)
-                except DrawingError as bad:
-                    if failfast:
-                        raise
-                    error = {f.name: None for f in DRAWING} | {"container_size": size, "error": {"class": type(bad).__name__, "message": str(bad)}}
-                    yield _sparse(schema, 1, {"drawing_id": [who], "row": ["drawing"], "drawing": [error]})
-                    continue
-                container = len(data)
-                del data
-                yield _sparse(schema, 1, {"drawing_id": [who], "row": ["drawing"], "drawing": [one.drawing_row(container, envelope)]})
-                for kind, rows in (("section", one.sections), ("diagnostic", one.diagnostics)):
-                    if rows:
-                        yield _sparse(schema, len(rows), {"drawing_id": [who] * len(rows), "row": [kind] * len(rows), kind: rows})
-                seen: dict[int, int] = {}
-                count = 0
-                for i in range(0, len(one.records), RECORDS_A_BATCH):
-                    part = one.records[i : i + RECORDS_A_BATCH]
-                    cols, count = one.record_columns(part, seen, count)
-                    yield _sparse(schema, len(part), {"drawing_id": [who] * len(part), "row": ["record"] * len(part)} | dict(zip(names, cols, strict=True)))
+                yield from one(who.as_py(), data.as_py(), size.as_py())
 
     return df.select("drawing_id", "content", "size").mapInArrow(run, SCAN_SCHEMA)
 
 
-def lines(df: DataFrame, limits: Limits, override: str | None) -> DataFrame:
-    """Every physical line of the drawings that can be read."""
-    schema = to_arrow_schema(LINE_SCHEMA)
+def line_rows(who: str, frame: Frame) -> Iterator[pa.RecordBatch]:
+    """LINE_SCHEMA batches of a stretch."""
+    schema, carry = to_arrow_schema(LINE_SCHEMA), frame.carry
+    starts, ends = frame.starts, frame.ends
+    content = ends - np.array([1, 2, 1, 0])[frame.kinds]
+    n = len(starts)
+    kinds = ["data"] * n
+    # Marks after the end of the drawing are told as such too.
+    for m in _MARK.finditer(frame.data):
+        if carry.offset and m[0].startswith(BOM):
+            continue
+        i = int(np.searchsorted(starts, m.start(1), "right")) - 1
+        if m[2] is None:
+            kinds[i] = "entity_terminator" if m[1] == b"|~" else "file_terminator"
+        elif int(m[2]) < 1 << 32:
+            kinds[i] = "section_marker"
+    numbers = np.full(n, -1, np.int64)
+    for s in frame.sections:
+        a = 0 if s["line"] is None else s["line"] - 1 - carry.line
+        b = n if s["row"] is None else max(s["row"] - 1 - carry.line, a + 1)
+        numbers[a:b] = s["number"]
+    raw = [frame.data[a:b] for a, b in zip(starts.tolist(), content.tolist(), strict=True)]
+    for i, x in enumerate(raw):
+        if kinds[i] == "data" and not (x[3:] if i == 0 and carry.offset == 0 and x.startswith(BOM) else x).strip(b" \t\f"):
+            kinds[i] = "blank"
+    for a in range(0, n, 5 * RECORDS_A_BATCH):
+        b = min(n, a + 5 * RECORDS_A_BATCH)
+        yield _sparse(schema, b - a, {
+            "drawing_id": [who] * (b - a), "number": list(range(carry.line + a + 1, carry.line + b + 1)), "offset": starts[a:b] + carry.offset, "length": (ends - starts)[a:b], "content_length": (content - starts)[a:b],
+            "ending": _ENDINGS[frame.kinds[a:b]].tolist(), "kind": kinds[a:b], "section_number": [k if k >= 0 else None for k in numbers[a:b].tolist()], "content": raw[a:b],
+        })
+
+
+def lines(df: DataFrame, limits: Limits, range_size: int = RANGE) -> DataFrame:
+    """Every physical line of the drawings that can be read and are no larger than a range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for who, data, size in zip(*[batch.column(c) for c in ("drawing_id", "content", "size")], strict=True):
                 try:
-                    one, _ = _opened(data.as_py(), size.as_py(), limits, override)
+                    logical, _, _ = _opened(data.as_py(), size.as_py(), limits)
+                    if len(logical) > range_size:
+                        continue
+                    frame = Frame(logical, limits)
+                    check_totals(limits, lines=len(frame.starts), widest=frame.widest, sections=len(frame.sections))
                 except DrawingError:
                     continue
-                starts, ends = one.starts, one.ends
-                content = ends - np.array([1, 2, 1, 0])[one.kinds]
-                kinds, section = ["data"] * len(starts), np.zeros(len(starts), np.int64)
-                for m in _MARK.finditer(one.data):
-                    i = int(np.searchsorted(starts, m.start(1), "right")) - 1
-                    if m[2] is None:
-                        kinds[i] = "entity_terminator" if m[1] == b"|~" else "file_terminator"
-                    elif int(m[2]) < 1 << 32:
-                        kinds[i] = "section_marker"
-                for s in one.sections:
-                    a = s["marker_span"]["start_line"] - 1
-                    section[a : s["span"]["end_line"]] = s["section_index"] + 1
-                numbers = [s["number"] for s in one.sections]
-                raw = [one.data[a:b] for a, b in zip(starts.tolist(), content.tolist(), strict=True)]
-                for i, x in enumerate(raw):
-                    if kinds[i] == "data" and not (x[3:] if i == 0 and x.startswith(BOM) else x).strip(b" \t\f"):
-                        kinds[i] = "blank"
-                for a in range(0, len(raw), 5 * RECORDS_A_BATCH):
-                    b = min(len(raw), a + 5 * RECORDS_A_BATCH)
-                    yield _sparse(schema, b - a, {
-                        "drawing_id": [who.as_py()] * (b - a), "number": list(range(a + 1, b + 1)), "offset": starts[a:b], "length": (ends - starts)[a:b], "content_length": (content - starts)[a:b],
-                        "ending": _ENDINGS[one.kinds[a:b]].tolist(), "kind": kinds[a:b], "section_number": [numbers[k - 1] if k else None for k in section[a:b].tolist()], "content": raw[a:b],
-                    })
+                yield from line_rows(who.as_py(), frame)
 
     return df.select("drawing_id", "content", "size").mapInArrow(run, LINE_SCHEMA)
