@@ -353,7 +353,9 @@ def _opened(data: bytes | None, size: int, limits: Limits) -> tuple[bytes, str |
     try:
         return logical, envelope, head_of(logical)
     except InvalidDrawing as bad:
-        raise InvalidDrawing(f"the {envelope} payload is no drawing") from bad if envelope else bad
+        if envelope:
+            raise InvalidDrawing(f"the {envelope} payload is no drawing") from bad
+        raise
 
 
 def rows_of(who: str, frame: Frame, sections: list[dict], seen: dict[int, int] | None, head: tuple[dict, list[dict]] | None) -> Iterator[pa.RecordBatch]:
