@@ -325,12 +325,14 @@ class Corpus:
         return out
 
     def modelspace(self, names: str = "*") -> DataFrame:
-        """Graphics of each drawing's top part, not expanded. With mode FAILFAST a drawing without a part raises LookupError."""
-        if self.mode == "FAILFAST" and (bare := self._drawings.where("error is null").join(self.part_names.select(KEY), KEY, "left_anti").select(KEY).first()) is not None:
-            raise LookupError(f"{bare[0]} has no part")
+        """Graphics of each drawing's top part, not expanded. With mode FAILFAST a drawing without a part raises once the plan runs."""
         top = self.roots.select(F.col(KEY).alias("k__"), F.col("top_part_index").alias("t__"))
         rows = self.query(names)
-        return rows.join(top, (rows[KEY] == top["k__"]) & (rows["part_index"] == top["t__"]), "left_semi")
+        found = rows.join(top, (rows[KEY] == top["k__"]) & (rows["part_index"] == top["t__"]), "left_semi")
+        if self.mode != "FAILFAST":
+            return found
+        bare = self._framed_drawings.where("error is null").join(self.part_names.select(KEY), KEY, "left_anti")
+        return found.unionByName(structure.refused(bare, F.concat(F.col(KEY), F.lit(" has no part")), found))
 
     def query(self, names: str = "*", part: int | None = None) -> DataFrame:
         return query.select(self.entities, names, query.GRAPHICS, "is_graphic", part)
@@ -338,42 +340,50 @@ class Corpus:
     def query_annotations(self, names: str = "*", part: int | None = None) -> DataFrame:
         return query.select(self.entities, names, query.ANNOTATIONS, "is_annotation", part)
 
-    def occurrences(self, root: DataFrame | None = None, include_root: bool = True, strict: bool = True, max_depth: int = 1000, max_rows: int = 100_000_000) -> DataFrame:
-        """Placed parts below each drawing's top part, or below ``root`` (drawing_id, part_index)."""
+    def occurrences(self, root: DataFrame | None = None, include_root: bool = True, strict: bool = True) -> DataFrame:
+        """Placed parts below each drawing's top part, or below ``root`` (drawing_id, part_index).
+
+        Roots that are no part of their drawing raise once the plan runs, or are left out if not strict.
+        """
+        strangers = None
         if root is None:
             root = self.roots.select(KEY, F.col("top_part_index").alias("part_index"))
         else:
-            root = root.select(KEY, "part_index").join(self.part_names.select(KEY, "part_index"), [KEY, "part_index"], "left_semi")
-        found = structure.occurrences(self.instances, root, strict, max_depth, max_rows)
+            asked, own = root.select(KEY, F.col("part_index").cast("long").alias("part_index")), self.part_names.select(KEY, "part_index")
+            root = asked.join(own, [KEY, "part_index"], "left_semi")
+            strangers = asked.join(own, [KEY, "part_index"], "left_anti") if strict else None
+        found = structure.occurrences(self.instances, root, self._shelf.put, strict)
+        if strangers is not None:
+            found = found.unionByName(structure.refused(strangers, F.concat(F.lit("part "), F.col("part_index").cast("string"), F.lit(" is no part of "), F.col(KEY)), found))
         return found if include_root else found.where("depth > 0")
 
-    def sheet_instances(self, strict: bool = True, **bounds: int) -> DataFrame:
-        return self.occurrences(include_root=False, strict=strict, **bounds).where("is_sheet")
+    def sheet_instances(self, strict: bool = True) -> DataFrame:
+        return self.occurrences(include_root=False, strict=strict).where("is_sheet")
 
-    def placed_graphics(self, root: DataFrame | None = None, strict: bool = True, **bounds: int) -> DataFrame:
-        """Each graphic once for every occurrence of its part; bounds: max_depth and max_rows of the traversal, here and below."""
-        at = self.occurrences(root, strict=strict, **bounds).select(F.col(KEY).alias("k__"), F.col("part_index").alias("p__"), "depth", "path", "order_key", "world")
+    def placed_graphics(self, root: DataFrame | None = None, strict: bool = True) -> DataFrame:
+        """Each graphic once for every occurrence of its part."""
+        at = self.occurrences(root, strict=strict).select(F.col(KEY).alias("k__"), F.col("part_index").alias("p__"), "depth", "path", "order_key", "world")
         g = self.graphics.select(KEY, "entity_index", "entity_id", "mi_type", "kind", "part_index", "graphic")
         return g.join(at, (g[KEY] == at["k__"]) & (g["part_index"] == at["p__"])).drop("k__", "p__")
 
-    def placed_lines(self, strict: bool = True, **bounds: int) -> DataFrame:
+    def placed_lines(self, strict: bool = True) -> DataFrame:
         """Lines with their ends in the top part's coordinates, once for every occurrence."""
-        at = self.occurrences(strict=strict, **bounds).select(F.col(KEY).alias("k__"), F.col("part_index").alias("p__"), "path", "world")
+        at = self.occurrences(strict=strict).select(F.col(KEY).alias("k__"), F.col("part_index").alias("p__"), "path", "world")
         g = self.lines_geo
         rows = g.join(at, (g[KEY] == at["k__"]) & (g["part_index"] == at["p__"])).drop("k__", "p__")
         return rows.withColumns({c: apply(F.col("world"), F.col(c)) for c in ("start", "end")})
 
-    def polylines(self, segments: int = CURVE_SEGMENTS, expand: bool = False, strict: bool = True, **bounds: int) -> DataFrame:
+    def polylines(self, segments: int = CURVE_SEGMENTS, expand: bool = False, strict: bool = True) -> DataFrame:
         """Vertices of lines, arcs, circles and splines; only kinds that occur are planned."""
         kinds = {"line": "lines_geo", "arc": "arcs", "circle": "circles", "bspline": "bsplines"}
         have = {k: self._has(k) or (k == "arc" and self._has("fillet")) for k in kinds}
         shapes = polylines.polylines(*[getattr(self, name) if have[k] else None for k, name in kinds.items()], segments=segments, spark=self.source.sparkSession)
-        return polylines.placed(shapes, self.occurrences(strict=strict, **bounds)) if expand else shapes
+        return polylines.placed(shapes, self.occurrences(strict=strict)) if expand else shapes
 
-    def marks(self, expand: bool = False, strict: bool = True, **bounds: int) -> DataFrame:
+    def marks(self, expand: bool = False, strict: bool = True) -> DataFrame:
         """Points and decoded texts as a preview shows them."""
         rows = polylines.marks(self.points, self.texts)
-        return polylines.placed_marks(rows, self.occurrences(strict=strict, **bounds)) if expand else rows
+        return polylines.placed_marks(rows, self.occurrences(strict=strict)) if expand else rows
 
     def skipped(self, segments: int = CURVE_SEGMENTS) -> DataFrame:
         return polylines.skipped(self.polylines(segments), self.texts)

@@ -6,6 +6,8 @@ does (type suffixes, hexadecimal, control characters), so a pattern guards each
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -47,6 +49,18 @@ def flag(x: Column) -> Column:
     return F.when(n.isin(0, 1), n == 1)
 
 
+def number(x: str) -> int | None:
+    """``unsigned`` for a string at hand."""
+    x = x.strip(BLANK)
+    return value if re.fullmatch(_UNSIGNED, x, re.ASCII) and (value := int(x)) < 1 << 63 else None
+
+
+def real(x: str) -> float | None:
+    """``finite`` for a string at hand."""
+    x = x.strip(BLANK)
+    return value if re.fullmatch(_FLOAT, x, re.ASCII) and abs(value := float(x)) < math.inf else None
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -2,18 +2,23 @@
 
 Records are positional and their layout depends on counts inside them. Each type states where its
 content starts and which readings must succeed; a record that fails stays as kind "unsupported" with
-its fields. Decoding is one narrow pass over the records: no shuffle, no Python.
+its fields. Decoding is one narrow pass over the records without a shuffle; only the children of assemblies,
+whose places depend on all before them, are read by a walk in Python.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.strict import Fields, let, signed, trimmed, whole
+from ..functions.strict import Fields, let, number, real, signed, trimmed, whole
 
 #: Record types by kind.
 KINDS = {
@@ -341,32 +346,52 @@ def dimension() -> Column:
     return out
 
 
-_INSTANCE = "struct<relation_value:string,definition_values:array<string>,member_ids:array<bigint>,assembly_id:bigint,transform_values:array<double>>"
+_INSTANCE = T.StructType([
+    T.StructField("relation_value", T.StringType()), T.StructField("definition_values", T.ArrayType(T.StringType())), T.StructField("member_ids", T.ArrayType(T.LongType())), T.StructField("assembly_id", T.LongType()),
+    T.StructField("transform_values", T.ArrayType(T.DoubleType())),
+])
+
+
+def children(fields: list[str], start: int, count: int) -> list[dict] | None:
+    """``count`` placements from ``start`` on, read from left to right in one walk; null if they do not fill the record but for its ordinal."""
+    at, size, out = start, len(fields), []
+    for j in range(count):
+        relation = None
+        if j:
+            if at >= size:
+                return None
+            relation, at = fields[at], at + 1
+        members = number(fields[at + 3]) if at + 3 < size else None
+        if members is None or at + members + 14 > size:
+            return None
+        target = at + 4 + members
+        ids, own, matrix = [number(x) for x in fields[at + 4 : target]], number(fields[target]), [real(x) for x in fields[target + 1 : target + 10]]
+        if own is None or None in ids or None in matrix:
+            return None
+        out.append({"relation_value": relation, "definition_values": fields[at : at + 3], "member_ids": ids, "assembly_id": own, "transform_values": matrix})
+        at = target + 10
+    return out if at + 1 == size and number(fields[at]) is not None else None
+
+
+def _children_of() -> Callable[..., Column]:
+    kind = T.ArrayType(_INSTANCE)
+
+    @F.arrow_udf(kind)
+    def read(fields: pa.Array, start: pa.Array, count: pa.Array) -> pa.Array:
+        rows = zip(fields.to_pylist(), start.to_pylist(), count.to_pylist(), strict=True)
+        return pa.array([None if f is None or a is None or n is None else children(f, a, n) for f, a, n in rows], to_arrow_type(kind))
+
+    return read
 
 
 def assembly() -> Column:
-    """ASSE: a list of children of varying width, read from left to right."""
+    """ASSE: a list of children of varying width. Records of other types do not reach the reader."""
     k = f.count(2)
     name_at = k + 3
-    children = f.count(name_at + 6)
-
-    def step(state: Column, j: Column) -> Column:
-        c = state.cursor + F.when(j > 1, 1).otherwise(0)
-        members = f.count(c + 3)
-        ids, target = f.us(c + 4, members), c + 4 + members
-        matrix = f.fs(target + 1, 9)
-        good = state.good & _all(f.size >= target + 10, F.size(ids) == members, whole(ids), f.u(target).isNotNull(), F.size(matrix) == 9, whole(matrix))
-        child = F.struct(F.when(j > 1, f.raw(state.cursor)).alias("relation_value"), f.slice(c, 3).alias("definition_values"), ids.alias("member_ids"), f.u(target).alias("assembly_id"), matrix.alias("transform_values"))
-        grown = F.concat(state.made, F.when(good, F.array(child.cast(_INSTANCE))).otherwise(F.array().cast(f"array<{_INSTANCE}>")))
-        return F.struct(F.when(good, target + 10).otherwise(state.cursor).cast("int").alias("cursor"), good.alias("good"), grown.alias("made"))
-
-    none = F.array().cast(f"array<{_INSTANCE}>")
-    state = F.aggregate(F.sequence(F.lit(1), F.greatest(children, F.lit(1))), F.struct((name_at + 7).cast("int").alias("cursor"), F.lit(True).alias("good"), none.alias("made")), step)
-    read = (
-        F.when(f.size <= name_at + 6, none)
-        .when(children == 0, F.when(f.size == name_at + 7, none))
-        .when(f.size >= name_at + 7 + 15 * children, let(state, lambda s: F.when(s.good & (f.size == s.cursor + 1) & f.u(s.cursor).isNotNull(), s.made)))
-    )
+    n = f.count(name_at + 6)
+    none = F.slice(F.array(F.lit(None).cast(_INSTANCE)), 1, 0)
+    long = (TYPE == "ASSE") & (n > 0) & (f.size >= name_at + 7 + 15 * n)
+    read = F.when(f.size <= name_at + 6, none).when(n == 0, F.when(f.size == name_at + 7, none)).when(long, _children_of()(F.when(long, f.array), F.when(long, name_at + 7), F.when(long, n)))
     props = f.us(3, k)
     return F.when(
         TYPE == "ASSE",

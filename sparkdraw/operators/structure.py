@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.geometry import from_values
+from ..functions.geometry import compose, from_values, identity
 from ..functions.strict import trimmed
 from .resolve import KEY, index, part_lists
 
+Keep = Callable[[DataFrame, str], DataFrame]
 BOUND = "drawing_id string, entity_index long, part_index long, by_name boolean"
 
 
@@ -93,43 +95,74 @@ def roots(part_rows: DataFrame) -> DataFrame:
     return found.select(KEY, "root_part_indices", top.alias("top_part_index"))
 
 
-def occurrences(placed: DataFrame, start: DataFrame, strict: bool = True, max_depth: int = 1000, max_rows: int = 100_000_000) -> DataFrame:
-    """Placed parts below ``start`` (drawing_id, part_index), the start included, by recursive SQL.
+#: Columns of an occurrence; segments of paths have the same, from their first part on.
+_STEP = ("path", "parts", "local", "world", "parent_part_index", "is_sheet")
 
-    path lists (assembly_id, instance_index); sorting by drawing and ``order_key`` gives pre-order. World
-    maps are parent after local. max_depth and max_rows are bounds of the session's recursion, set for it
-    here; a tree beyond them raises. Unbound, cyclic and non-affine placements raise, or are left out if not strict.
+
+def _joined(before: DataFrame, after: DataFrame, own: list[str]) -> DataFrame:
+    """Paths before, each with every segment after it that begins where it ends and has none of its parts."""
+    a, b = F.col("a"), F.col("b")
+    left = before.select(F.col(KEY).alias("k__"), F.col("part_index").alias("p__"), F.struct(*own, "part_index", *_STEP).alias("a"))
+    right = after.select(F.col(KEY).alias("l__"), F.col("tail").alias("t__"), F.struct("part_index", *_STEP).alias("b"))
+    rows = left.join(right, (F.col("k__") == F.col("l__")) & (F.col("p__") == F.col("t__"))).where(~F.arrays_overlap(a["parts"], b["parts"]))
+    return rows.select(
+        F.col("k__").alias(KEY), *[a[n].alias(n) for n in own], b["part_index"].alias("part_index"), F.concat(a["path"], b["path"]).alias("path"), F.concat(a["parts"], b["parts"]).alias("parts"), b["local"].alias("local"),
+        compose(a["world"], b["world"]).alias("world"), b["parent_part_index"].alias("parent_part_index"), b["is_sheet"].alias("is_sheet"),
+    )
+
+
+def _counted(df: DataFrame, name: str, keep: Keep) -> tuple[DataFrame, bool]:
+    """The table as written, and whether it has rows."""
+    seen = Observation()
+    out = keep(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out, seen.get["n"] > 0
+
+
+def refused(rows: DataFrame, message: Column, like: DataFrame) -> DataFrame:
+    """No rows of like's columns; each row of ``rows`` raises its message once the plan runs."""
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema]
+    # A condition that is not deterministic as a whole stays above the joins that pick the rows.
+    told = F.concat("m__", F.substring(F.rand().cast("string"), 1, 0))
+    return rows.select(message.alias("m__")).where(F.raise_error(told).cast("boolean")).select(*none)
+
+
+def occurrences(placed: DataFrame, start: DataFrame, keep: Keep, strict: bool = True) -> DataFrame:
+    """Placed parts below ``start`` (drawing_id, part_index), the start included, at any depth.
+
+    Path doubling: segments of 1, 2, 4, ... placements are written out, each joined from two halves, and what
+    is known up to a depth is joined once with the segments of that length. A tree of depth n takes about
+    2 log2(n) joins, and no more segments of a length than the tree has occurrences below parts that it
+    reaches. path lists (assembly_id, instance_index); sorting by drawing and ``order_key`` gives pre-order.
+    World maps are parent after local. Unbound, cyclic and non-affine placements below the start raise when
+    the plan runs, or are left out if not strict. keep: writes a table and reads it back.
     """
-    spark = placed.sparkSession
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max_depth))
-    spark.conf.set("spark.sql.cteRecursionRowLimit", str(max_rows))
+    id_ = F.struct(F.col("owner_id").alias("assembly_id"), "instance_index")
     edges = placed.where("parent_part_index is not null").select(
-        F.col(KEY).alias("e_drawing"), "parent_part_index", "target_part_index", F.col("owner_id").alias("assembly_id"), "instance_index", F.col("is_sheet").alias("e_sheet"), F.col("transform").alias("local")
-    )
-    checks = {"the placement has no bound part": "e.target_part_index IS NULL", "the assembly contains itself": "array_contains(o.ancestry, e.target_part_index)", "the placement is not affine": "e.local IS NULL"}
-    if strict:
-        guard = "CASE " + " ".join(f"WHEN {bad} THEN CAST(raise_error('{why}') AS BOOLEAN)" for why, bad in checks.items()) + " ELSE true END"
-    else:
-        guard = " AND ".join(f"NOT coalesce({bad}, false)" for bad in checks.values())
-    number = {n: f"o.world.{x}*e.local.{y} + o.world.{z}*e.local.{w}" for n, (x, y, z, w) in {"a": "aacb", "b": "badb", "c": "accd", "d": "bcdd"}.items()}
-    number |= {"tx": "o.world.a*e.local.tx + o.world.c*e.local.ty + o.world.tx", "ty": "o.world.b*e.local.tx + o.world.d*e.local.ty + o.world.ty"}
-    world = "named_struct(" + ", ".join(f"'{n}', {v}" for n, v in number.items()) + ")"
-    unit = "named_struct('a', 1D, 'b', 0D, 'c', 0D, 'd', 1D, 'tx', 0D, 'ty', 0D)"
-    return spark.sql(
-        f"""
-        WITH RECURSIVE o AS (
-            SELECT drawing_id, part_index, 0 AS depth, CAST(array() AS ARRAY<STRUCT<assembly_id: BIGINT, instance_index: BIGINT>>) AS path, array(part_index) AS ancestry,
-                   {unit} AS local, {unit} AS world, CAST(NULL AS BIGINT) AS parent_part_index, false AS is_sheet
-            FROM {{start}}
-            UNION ALL
-            SELECT o.drawing_id, e.target_part_index, o.depth + 1, concat(o.path, array(named_struct('assembly_id', e.assembly_id, 'instance_index', e.instance_index))),
-                   concat(o.ancestry, array(e.target_part_index)), e.local, {world}, o.part_index, e.e_sheet
-            FROM o JOIN {{edges}} e ON o.drawing_id = e.e_drawing AND o.part_index = e.parent_part_index AND {guard}
-        )
-        SELECT drawing_id, part_index, depth, path, transform(path, p -> p.instance_index) AS order_key, local, world, parent_part_index, is_sheet FROM o""",
-        start=start.select(KEY, F.col("part_index").cast("long").alias("part_index")),
-        edges=edges,
-    )
+        KEY, F.col("parent_part_index").alias("tail"), F.col("target_part_index").alias("part_index"), F.array(id_).alias("path"), F.array("target_part_index").alias("parts"), F.col("transform").alias("local"),
+        F.col("transform").alias("world"), "parent_part_index", "is_sheet",
+    )
+    segments, more = _counted(edges.where("part_index is not null and local is not null and part_index <> tail"), "segments", keep)
+    part = F.col("part_index").cast("long")
+    roots = start.select(KEY, part.alias("part_index")).select(
+        KEY, "part_index", F.slice(F.array(F.lit(None).cast(segments.schema["path"].dataType.elementType)), 1, 0).alias("path"), F.array("part_index").alias("parts"), identity().alias("local"), identity().alias("world"),
+        F.lit(None).cast("long").alias("parent_part_index"), F.lit(False).alias("is_sheet"),
+    )
+    known = roots
+    while more:
+        found, more = _counted(_joined(known, segments, []), "occurrences", keep)
+        known = known.unionByName(found)
+        if more:
+            segments, more = _counted(_joined(segments, segments, ["tail"]), "segments", keep)
+    out = known.select(KEY, "part_index", F.size("path").alias("depth"), "path", F.transform("path", lambda p: p["instance_index"]).alias("order_key"), "local", "world", "parent_part_index", "is_sheet")
+    if not strict:
+        return out
+    wrong = {"the placement has no bound part": edges["part_index"].isNull(), "the assembly contains itself": F.array_contains("o__", edges["part_index"]), "the placement is not affine": edges["local"].isNull()}
+    message = F.when(F.lit(False), "")
+    for why, hit in wrong.items():
+        message = message.when(hit, F.lit(why))
+    reached = known.select(F.col(KEY).alias("k__"), F.col("part_index").alias("p__"), F.col("parts").alias("o__"))
+    bad = edges.join(reached, (edges[KEY] == F.col("k__")) & (edges["tail"] == F.col("p__"))).select(message.alias("why")).where("why is not null")
+    return out.unionByName(refused(bad, F.col("why"), out))
 
 
 def unresolved_instances(placed: DataFrame, entities: DataFrame) -> DataFrame:

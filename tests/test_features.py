@@ -95,11 +95,9 @@ def test_reports_are_made_by_executors(spark):
     assert rows["1"][1] and rows["1"][0]["error"]["class"] == "InvalidDrawing" and rows["1"][0]["lines"] == []
 
 
-def test_deep_trees_need_higher_bounds(spark):
-    """A chain of parts: bounds reach the recursion from every caller."""
+def test_deep_trees(spark):
+    """A chain of parts, from every caller."""
     chain = [asse(10 + i, f"P{i}", *([child(11 + i, 1, 0)] if i < 6 else [])) for i in range(7)]
     data = drawing(head(), section(5, *chain), *[section(6, f"P{i}\n") for i in range(7)], POINTS, LINE)
-    assert read(spark, data).placed_lines(max_depth=50, max_rows=100).count() == 1
-    with pytest.raises(Exception, match="(?i)recursion"):
-        read(spark, data).placed_lines(max_depth=3).count()
-    assert read(spark, data).polylines(4, expand=True, max_depth=50).count() == 1
+    assert read(spark, data).placed_lines().count() == 1
+    assert read(spark, data).polylines(4, expand=True).count() == 1
