@@ -281,6 +281,7 @@ class Corpus:
     annotations = cached_property(lambda self: self.entities.where("is_annotation"))
     layers = cached_property(lambda self: resolve.layers(self.entities))
     references = cached_property(lambda self: resolve.references(self.entities))
+    attachments = cached_property(lambda self: resolve.attachments(self.entities))
 
     def get(self, entity_id: int) -> DataFrame:
         """What an id means in each drawing."""
@@ -410,7 +411,7 @@ class Corpus:
 
     TABLES = (
         "drawings", "lines", "sections", "records", "entities", "points", "lines_geo", "arcs", "circles", "bsplines", "texts", "properties", "tolerances", "dimensions", "leaders", "contours", "hatches", "hatch_assocs", "symbols",
-        "assemblies", "instances", "parts", "references", "layers", "diagnostics", "errors",
+        "assemblies", "instances", "parts", "references", "attachments", "layers", "diagnostics", "errors",
     )
 
     def register_views(self, prefix: str = "") -> None:

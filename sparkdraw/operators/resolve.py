@@ -30,11 +30,18 @@ def points(entities: DataFrame) -> DataFrame:
 
 
 def with_points(df: DataFrame, located: DataFrame, **pointers: str) -> DataFrame:
-    """df with a point column for each ``name=id column``; null where the id has no point."""
-    for name, column in pointers.items():
-        side = located.select(F.col(KEY).alias("k__"), F.col("id").alias("i__"), F.col("at").alias(name))
-        df = df.join(side, (F.col(KEY) == F.col("k__")) & (F.col(column) == F.col("i__")), "left").drop("k__", "i__")
-    return df
+    """df (unique by drawing_id and entity_index) with a point column for each ``name=id column``; null where the id has no point.
+
+    All pointers of a row go through one join: only they are dealt out by id, and come back as one narrow row.
+    """
+    roles = F.array(*[F.struct(F.lit(i).alias("role"), F.col(column).alias("id")) for i, column in enumerate(pointers.values())])
+    flat = df.select(KEY, "entity_index", F.explode(roles).alias("p")).select(KEY, "entity_index", "p.role", "p.id")
+    side = located.select(F.col(KEY).alias("k__"), F.col("id").alias("i__"), F.col("at.x").alias("x"), F.col("at.y").alias("y"))
+    found = flat.join(side, (F.col(KEY) == F.col("k__")) & (F.col("id") == F.col("i__")))
+    packed = found.groupBy(KEY, "entity_index").agg(*[F.max(F.when(F.col("role") == i, F.col(c))).alias(f"{c}{i}__") for i in range(len(pointers)) for c in "xy"])
+    out = df.join(packed, [KEY, "entity_index"], "left")
+    made = {name: F.when(F.col(f"x{i}__").isNotNull(), F.struct(F.col(f"x{i}__").alias("x"), F.col(f"y{i}__").alias("y"))) for i, name in enumerate(pointers)}
+    return out.withColumns(made).drop(*[f"{c}{i}__" for i in range(len(pointers)) for c in "xy"])
 
 
 def point_arrays(df: DataFrame, located: DataFrame, key: str, **pointers: str) -> DataFrame:
@@ -133,8 +140,8 @@ def _pointer(role: str, kind: str, target: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), F.lit(kind).alias("expected"), target.cast("bigint").alias("target"))
 
 
-def references(entities: DataFrame) -> DataFrame:
-    """Every pointer with its class and status: ok, dangling or mismatch."""
+def pointers(entities: DataFrame) -> DataFrame:
+    """(drawing_id, entity_index, entity_id, payload_span, pos, role, expected, target): every pointer of every record, in order."""
     one = lambda role, kind, column: F.array(_pointer(role, kind, F.col(column)))
     many = lambda role, kind, column: F.transform(column, lambda v: _pointer(role, kind, v))
     style = many("property", "property", "graphic.property_ids")
@@ -166,16 +173,58 @@ def references(entities: DataFrame) -> DataFrame:
     every = F.concat(*[F.coalesce(g, empty) for g in groups], F.coalesce(F.when(F.col("graphic").isNotNull(), style), empty))
     base = entities.where("kind <> 'unsupported'")
     flat = base.select(KEY, "entity_index", "entity_id", "payload_span", F.posexplode(every).alias("pos", "p")).select(KEY, "entity_index", "entity_id", "payload_span", "pos", "p.*")
-    owners = base.where("kind = 'hatch'").select(KEY, "entity_index", "entity_id", "payload_span")
+    return flat
+
+
+def _fits() -> Column:
+    """Whether what was found is of the class that the pointer expects."""
+    fits = F.lit(False)
+    for name, kinds in CLASSES.items():
+        fits = fits | ((F.col("expected") == name) & F.col("found").isin(*kinds))
+    return fits
+
+
+def references(entities: DataFrame) -> DataFrame:
+    """Every pointer with its class and status: ok, dangling or mismatch."""
+    flat = pointers(entities)
+    owners = entities.where("kind = 'hatch'").select(KEY, "entity_index", "entity_id", "payload_span")
     loops = hatch_loops(entities)
     more = owners.join(loops, (owners[KEY] == loops["k__"]) & (owners["entity_id"] == loops["hatch__"])).select(KEY, "entity_index", "entity_id", "payload_span", F.posexplode("boundary_loop_ids").alias("pos", "target"))
     flat = flat.unionByName(more.select(KEY, "entity_index", "entity_id", "payload_span", (F.col("pos") + LATE).alias("pos"), F.lit("hatch boundary loop").alias("role"), F.lit("contour").alias("expected"), "target"))
     known = index(entities).select(F.col(KEY).alias("k__"), F.col("id").alias("i__"), F.col("kind").alias("found"))
-    fits = F.lit(False)
-    for name, kinds in CLASSES.items():
-        fits = fits | ((F.col("expected") == name) & F.col("found").isin(*kinds))
     joined = flat.join(known, (flat[KEY] == known["k__"]) & (flat["target"] == known["i__"]), "left").drop("k__", "i__")
-    return joined.withColumn("status", F.when(F.col("found").isNull(), "dangling").when(fits, "ok").otherwise("mismatch"))
+    return joined.withColumn("status", F.when(F.col("found").isNull(), "dangling").when(_fits(), "ok").otherwise("mismatch"))
+
+
+def attachments(entities: DataFrame) -> DataFrame:
+    """What each entity's pointers mean, side by side: one table of pointers, one join, one aggregation.
+
+    (drawing_id, entity_index, entity_id, kind, mi_type), then ``properties`` (those that resolve, in order),
+    ``geometries`` of dimensions, ``components`` of contours and symbols and ``points`` (each as long as its
+    list of ids, null for what is missing or of another class), ``dimension_style`` and ``text_style``.
+    Entities without pointers have empty lists.
+    """
+    target = F.struct("entity_id", "entity_index", "mi_type", F.col("kind").alias("kind"))
+    known = entities.where("is_first").select(
+        F.col(KEY).alias("k__"), F.col("entity_id").alias("i__"), F.col("kind").alias("found"), target.alias("entity"), F.when(F.col("kind") == "point", F.col("point")).alias("at"),
+        F.when(F.col("kind") == "property", F.struct("entity_id", "mi_type", "property.*")).alias("property"),
+    )
+    flat = pointers(entities).select(KEY, "entity_index", "pos", "role", "expected", "target")
+    found = flat.join(known, (flat[KEY] == known["k__"]) & (flat["target"] == known["i__"]), "left")
+    found = found.select(KEY, "entity_index", "pos", "role", *[F.when(_fits(), F.col(c)).alias(c) for c in ("entity", "at", "property")])
+
+    def listed(value: str, *roles: str) -> Column:
+        rows = F.collect_list(F.when(F.col("role").isin(*roles), F.struct("pos", F.col(value).alias("v"))))
+        return F.transform(F.array_sort(rows), lambda x: x["v"])
+
+    packed = found.groupBy(KEY, "entity_index").agg(
+        F.filter(listed("property", "property"), lambda v: v.isNotNull()).alias("properties"), listed("entity", "dimension geometry").alias("geometries"), listed("entity", "contour component", "symbol component").alias("components"),
+        listed("at", "start", "end", "center", "circumference", "control", "sample", "dimension reference").alias("points"),
+        F.get(listed("property", "style"), F.lit(0)).alias("dimension_style"), F.get(listed("property", "text style"), F.lit(0)).alias("text_style"),
+    )
+    owners = entities.where("kind <> 'unsupported'").select(KEY, "entity_index", "entity_id", "kind", "mi_type")
+    out = owners.join(packed, [KEY, "entity_index"], "left")
+    return out.withColumns({n: F.coalesce(n, F.array().cast(packed.schema[n].dataType)) for n in ("properties", "geometries", "components", "points")})
 
 
 def part_lists(entities: DataFrame) -> DataFrame:

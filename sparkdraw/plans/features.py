@@ -542,3 +542,30 @@ def q70_audit_metrics(spark, sf_dir):
     rows = read(spark, S.rows(o, many_drawings(k), 71, 71, k, S.record("LED", k + 1, *S.STYLE, 2, 3.5, n + 1, S.many(vertices)))).audit()
     left = ("colors", "color_names", "linetypes")
     return rows.where(~c("metric").isin(*left)).select("metric", "item", "value", c("count").alias("n"))
+
+
+# Attachments
+
+
+@query("""SELECT s_suppkey, kind, CASE kind WHEN 'line' THEN 'PSTAT' WHEN 'dimension' THEN 'PSTAT' ELSE '' END AS properties,
+          CASE kind WHEN 'dimension' THEN 'LIN ' || (s_suppkey * 20 + 2) || ',-' WHEN 'contour' THEN 'LIN ' || (s_suppkey * 20 + 2) || ',-' WHEN 'symbol' THEN 'LIN ' || (s_suppkey * 20 + 2) || ',-,-' ELSE '' END AS links,
+          CASE kind WHEN 'line' THEN s_suppkey || ',-' WHEN 'dimension' THEN '-,' || s_suppkey ELSE '' END AS points, CASE kind WHEN 'dimension' THEN 'here' ELSE '-' END AS style, '-' AS text_style
+          FROM supplier, (VALUES ('line'), ('dimension'), ('contour'), ('symbol')) AS v(kind)""")
+def q71_attachments(spark, sf_dir):
+    """Properties that resolve, and geometry, points, components and styles, null where an id is missing or means another class."""
+    t, n = table(spark, sf_dir, "supplier"), c("s_suppkey")
+    k, d = n * 20, many_drawings(n)
+    dim: list = [0] * 75
+    dim[0], dim[1], dim[2], dim[3], dim[7], dim[8], dim[16], dim[18], dim[20], dim[21] = k + 2, k + 18, k + 19, k + 1, 1.5, 2.5, k + 7, k + 17, 5, "five"
+    parts = [
+        S.rows(t, d, 41, 41, k, S.record("PSTAT", k + 5, 0, 1), S.assp(k + 7, "here")), S.rows(t, d, 61, 61, k, S.p(k + 1, n, 1)), S.rows(t, d, 62, 62, k, S.lin(k + 2, k + 1, k + 16, (1, 0, 0.5, 9, 2, k + 15, k + 5))),
+        S.rows(t, d, 71, 71, k, S.record("DSGL", k + 3, 2, k + 15, k + 5, *dim), S.record("COC", k + 4, *S.STYLE, 1, 0, 2, k + 2, k + 14), S.record("SYML", k + 8, k + 2, k + 1, k + 4)),
+    ]
+    rows = read(spark, *parts).attachments.where("kind in ('line', 'dimension', 'contour', 'symbol')")
+    told = lambda values, one: F.array_join(F.transform(values, lambda v: F.coalesce(one(v), F.lit("-"))), ",")
+    link = lambda v: F.concat(v["mi_type"], F.lit(" "), v["entity_id"].cast("string"))
+    style = lambda name: F.coalesce(F.get(c(name)["associated_strings"], F.lit(0))["text"], F.lit("-")).alias(name.removeprefix("dimension_"))
+    return rows.select(
+        F.floor(c("entity_id") / 20).alias("s_suppkey"), "kind", told("properties", lambda v: v["mi_type"]).alias("properties"), told(F.concat("geometries", "components"), link).alias("links"),
+        told("points", lambda v: v["x"].cast("bigint").cast("string")).alias("points"), style("dimension_style"), style("text_style"),
+    )
