@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +36,8 @@ from .neardup import Words, _mix, _name
 SHINGLE = 4
 #: Links have 100 * intersection >= SHARE * union.
 SHARE = 85
+#: Bits of a filter of keys, a power of two: more keys make it less sharp, not larger.
+BITS = 1 << 24
 #: Orders, and the slots of each order's counters: a power of two.
 ORDERS, LOADS = 3, 1 << 17
 _GOLD = 0x9E3779B97F4A7C15
@@ -93,8 +95,8 @@ def loads(docs: DataFrame) -> np.ndarray:
 
 
 def _read(docs: DataFrame, shared) -> DataFrame:
-    """(doc_id, n_shingles, node, first): node names the set, first is its prefix under the first order."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("first", T.ArrayType(T.LongType()))])
+    """(doc_id, n_shingles, name, first): name is the set's, first its prefix under the first order."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("name", T.BinaryType()), T.StructField("first", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -111,23 +113,56 @@ def _read(docs: DataFrame, shared) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _sets(named: DataFrame, shared) -> DataFrame:
-    """(node, filters, hashes) of named's node and text: shortened tokens of the prefixes under the other orders, and the set."""
+def _sets(docs: DataFrame, shared, bitmap) -> DataFrame:
+    """(doc_id, name, filters, hashes) of docs (key, doc_id, text) whose key the filter does not rule out: shortened tokens of the prefixes under the other orders, and the set."""
+    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, t) for n, t in (("name", T.BinaryType()), ("filters", T.ArrayType(T.ArrayType(T.IntegerType()))), ("hashes", T.BinaryType()))]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
+            batch = batch.filter(pa.array(_has(bitmap.value, batch.column("key").to_numpy().view(np.uint64)), pa.bool_()))
             for part in pieces(batch, "text"):
                 memo = Words()
                 found = [shingles(t or "", memo) for t in part.column("text").to_pylist()]
-                # Documents that share an id can differ in text; the node tells which one is meant.
-                own = pa.array([_name(h.tobytes()) == n for h, n in zip(found, part.column("node").to_pylist(), strict=True)], pa.bool_())
                 filters = [[prefix(h, known, k).astype(np.uint32).view(np.int32) for k in range(1, ORDERS)] if len(h) else None for h in found]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("node").filter(own), pa.array(filters, pa.list_(pa.list_(pa.int32()))).filter(own), pa.array([h.tobytes() for h in found], pa.binary()).filter(own)], names=["node", "filters", "hashes"]
+                    [part.column("doc_id"), pa.array([_name(h.tobytes()) for h in found], pa.binary()), pa.array(filters, pa.list_(pa.list_(pa.int32()))), pa.array([h.tobytes() for h in found], pa.binary())], names=schema.names
                 )
 
-    return named.mapInArrow(run, "node binary, filters array<array<int>>, hashes binary")
+    return docs.mapInArrow(run, schema)
+
+
+def _filter(keys: DataFrame, key: Column):
+    """A broadcast bitmap with a bit for each of the 64-bit hashes ``key``: BITS bits reach the driver, however many keys there are."""
+    slot = key.bitwiseAND(F.lit(BITS - 1))
+    word = F.shiftright(slot, 6).cast("int").alias("word")
+    bits = keys.select(word, F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    found = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(BITS // 64, np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return keys.sparkSession.sparkContext.broadcast(out.view(np.uint64))
+
+
+def _has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = hashes & np.uint64(BITS - 1)
+    return (bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _kept(classes: DataFrame, bitmap) -> DataFrame:
+    """(node, n, at, token) of prefix tokens that the filter does not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = batch.column("first")
+            flat = first.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            sizes = np.diff(first.offsets.to_numpy())
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            keep = np.flatnonzero(_has(bitmap.value, flat))
+            row = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(row), batch.column("n").take(row), pa.array(at[keep], pa.int32()), pa.array(flat[keep].view(np.int64))], names=["node", "n", "at", "token"])
+
+    return classes.select("node", "n", "first").mapInArrow(run, "node long, n int, at int, token long")
 
 
 def _plausible(x: str, y: str) -> F.Column:
@@ -155,7 +190,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep = pa.array(100 * np.array(shared, np.int64) >= SHARE * np.array(total, np.int64), pa.bool_())
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(total, pa.int64()))], names=["a", "b", "shared", "total"])
 
-    return left.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b").mapInArrow(run, "a binary, b binary, shared long, total long")
+    return left.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b").mapInArrow(run, "a long, b long, shared long, total long")
 
 
 class _Join:
@@ -168,26 +203,39 @@ class _Join:
         self.shared = spark.sparkContext.broadcast(loads(self.docs))
         self.rows = staged(_read(self.docs, self.shared), "rows")
         # Aggregated before it is dealt out: a class can hold a third of all rows.
-        found = self.rows.where("n_shingles > 0").groupBy("node")
-        self.classes = staged(found.agg(F.min("doc_id").alias("lead"), F.first("n_shingles").alias("n"), F.first("first").alias("first")), "classes")
-        spread = self.classes.select("node", "n", F.posexplode("first").alias("at", "token"))
-        busy = spread.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
-        met = staged(spread.join(busy, "token"), "members")
-        often = met.groupBy("node").agg(F.count("*").alias("met"))
-        self.members = staged(met.join(often, "node").select("token", F.struct("met", "node", "n", "at").alias("m")), "members")
-        discard(met)
+        found = self.rows.where("n_shingles > 0").groupBy("name")
+        found = found.agg(F.min("doc_id").alias("lead"), F.first("n_shingles").cast("int").alias("n"), F.first("first").alias("first"))
+        # Numbers stay as they are once the table is written.
+        self.classes = staged(found.withColumn("node", F.monotonically_increasing_id()), "classes")
+        busy = staged(self.classes.select(F.explode("first").alias("token")).groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token"), "busy")
+        bitmap = _filter(busy, F.col("token"))
+        met = _kept(self.classes, bitmap).join(busy, "token")
+        # ``before`` is the last token before this one that others have too.
+        own = Window.partitionBy("node")
+        met = met.withColumns({"met": F.count("*").over(own), "before": F.lag("token").over(own.orderBy("at"))})
+        self.members = staged(met.select("token", F.struct("met", "node", "n", "at", "before").alias("m")), "members")
+        bitmap.unpersist()
+        discard(busy)
 
     def sets_of(self, nodes: DataFrame) -> DataFrame:
         """Sets of the classes in nodes, from the text of one document of each class."""
-        named = staged(self.classes.select("node", "lead").join(nodes, "node", "left_semi"), "leads")
-        text = self.docs.join(named, self.docs.doc_id.eqNullSafe(named.lead)).select("node", "text")
-        out = staged(_sets(text, self.shared), "sets")
+        named = staged(self.classes.select("node", "name", "lead").join(nodes, "node", "left_semi"), "leads")
+        bitmap = _filter(named, F.xxhash64("lead"))
+        found = _sets(self.docs.select(F.xxhash64("doc_id").alias("key"), "doc_id", "text"), self.shared, bitmap)
+        # Documents that share an id can differ in text, and a row can repeat.
+        out = found.join(named, "name").where(F.col("doc_id").eqNullSafe(F.col("lead"))).select("node", "filters", "hashes")
+        out = staged(out, "sets")
+        bitmap.unpersist()
         discard(named)
         return out
 
     def between(self, left: DataFrame, right: DataFrame, apart) -> DataFrame:
-        """Plausible pairs (a, b) of left (token, x) and right (token, y), each once."""
-        pairs = left.join(right, "token").where(apart & _plausible("x", "y"))
+        """Plausible pairs (a, b) of left (token, x) and right (token, y), each once.
+
+        If the tokens before are the same too, the pair has met there: it is told where a common stretch begins.
+        """
+        begins = ~F.coalesce(F.col("x.before") == F.col("y.before"), F.lit(False))
+        pairs = left.join(right, "token").where(apart & begins & _plausible("x", "y"))
         return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
     def close(self) -> None:
@@ -225,10 +273,8 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     discard(open_)
     spent = [edges, more, sets, links, labels]
     if not more.isEmpty():
-        missing = staged(_ends(more).join(sets, "node", "left_anti"), "missing")
-        rest = join.sets_of(missing)
-        found = staged(_verified(more, sets.unionByName(rest)).select("a", "b"), "links")
-        discard(missing)
+        rest = join.sets_of(_ends(more))
+        found = staged(_verified(more, rest).select("a", "b"), "links")
         spent += [rest, found]
         if not found.isEmpty():
             # Between components, so few: components of these join whole ones.
@@ -239,12 +285,12 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             labels = staged(both.join(joined.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
             spent += [labels, joined]
     # By class, not by row, so that a text with many copies is one row here.
-    marked = classes.select("node", "lead").join(labels, "node", "left").select("node", "lead", F.coalesce("label", "node").alias("label"))
+    marked = classes.select("node", "name", "lead").join(labels, "node", "left").select("name", "lead", F.coalesce("label", "node").alias("label"))
     least = marked.groupBy("label").agg(F.min("lead").alias("least"))
-    named = staged(marked.join(least, "label").select("node", "least"), "components")
+    named = staged(marked.join(least, "label").select("name", "least"), "components")
     discard(*spent)
     join.close()
-    out = join.rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    out = join.rows.select("doc_id", "n_shingles", "name").join(named, "name", "left")
     out = staged(out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")), "components")
     discard(join.rows, named)
     return out
@@ -261,8 +307,8 @@ def similar_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sets = join.sets_of(_ends(edges))
     lead = lambda end: join.classes.select(F.col("node").alias(end), F.col("lead").alias(f"{end}_lead"))
     links = _verified(edges, sets).join(lead("a"), "a").join(lead("b"), "b")
-    links = staged(links.select(F.least("a_lead", "b_lead").alias("a"), F.greatest("a_lead", "b_lead").alias("b"), "shared", "total"), "pairs")
-    own = join.rows.join(join.classes.select("node", F.col("lead").alias("class_id")), "node", "left").select("doc_id", "n_shingles", "class_id")
+    links = staged(links.select(F.least("a_lead", "b_lead").alias("a"), F.greatest("a_lead", "b_lead").alias("b"), "shared", "total").distinct(), "pairs")
+    own = join.rows.join(join.classes.select("name", F.col("lead").alias("class_id")), "name", "left").select("doc_id", "n_shingles", "class_id")
     own = staged(own, "classes")
     discard(edges, sets, join.rows)
     join.close()
