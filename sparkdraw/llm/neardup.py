@@ -107,9 +107,10 @@ def _name(hashes: bytes) -> bytes:
 
 
 def sketches(df: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node, bands, cells) of df's doc_id and text; node names the set."""
+    """(doc_id, n_shingles, node, bands, cells) of df's doc_id and text, with df's other columns; node names the set."""
+    others = [c for c in df.columns if c not in ("doc_id", "text")]
     schema = T.StructType([
-        df.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType()),
+        *[df.schema[c] for c in others], df.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType()),
         T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("cells", T.ArrayType(T.LongType())),
     ])
 
@@ -125,7 +126,7 @@ def sketches(df: DataFrame) -> DataFrame:
                     bands.append(keys)
                     cells.append(packed)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int64()))], names=schema.names
+                    [*[part.column(c) for c in others], part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int64()))], names=schema.names
                 )
 
     return df.mapInArrow(run, schema)
@@ -187,8 +188,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
-    docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows = staged(sketches(docs), "sketches")
+    return _near_duplicates(df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")))
+
+
+def _near_duplicates(given: DataFrame) -> DataFrame:
+    """The same for doc_id and text, with the other columns of given."""
+    docs, extra = given.select("doc_id", "text"), [c for c in given.columns if c not in ("doc_id", "text")]
+    rows = staged(sketches(given), "sketches")
     # Aggregated before it is dealt out: a class can hold a third of all rows.
     found = rows.where("n_shingles > 0").groupBy("node")
     classes = staged(found.agg(F.min("doc_id").alias("lead"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "cells")]), "classes")
@@ -264,14 +270,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = marked.groupBy("label").agg(F.min("lead").alias("least"))
     named = staged(marked.join(least, "label").select("node", "least"), "components")
     discard(*spent, labels, classes)
-    out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
-    out = staged(out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), "components")
+    out = rows.select(*extra, "doc_id", "n_shingles", "node").join(named, "node", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
+    out = staged(out.select(*extra, "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), "components")
     discard(rows, named)
     return out
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df whose id is the smallest of their component, with df's columns."""
-    found = near_duplicates(df, id_col, text_col)
-    kept = found.where("kept").select(F.col("doc_id").alias("kept_id__")).distinct()
-    return owning(df.join(kept.hint("merge"), df[id_col].eqNullSafe(kept.kept_id__), "left_semi"), found)
+    """The rows of df whose id is the smallest of their component, with df's columns.
+
+    Rows that share an id are told apart by their texts, as they can be of several components; rows that
+    repeat both stay together.
+    """
+    text = F.col(f"`{text_col}`").cast("string")
+    digest = F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    found = _near_duplicates(df.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), digest.alias("digest")))
+    kept = found.where("kept").select(F.struct(F.col("doc_id").alias("id"), "digest").alias("kept_row__")).distinct()
+    own = F.struct(F.col(f"`{id_col}`").alias("id"), digest.alias("digest"))
+    return owning(df.join(kept.hint("merge"), own.eqNullSafe(kept.kept_row__), "left_semi"), found)
