@@ -38,13 +38,18 @@ def main(arguments: list[str] | None = None) -> int:
     try:
         if asked.command == "audit":
             rows = _rows(corpus.audit().orderBy("metric", "item", "value"))
+            # A row a file, one at a time.
+            files = (json.loads(x) for x in corpus.audit_files().orderBy("drawing_id").toJSON().toLocalIterator())
             skipped = _rows(corpus.errors)
             if asked.json:
-                print(json.dumps({"statistics": rows, "skipped": skipped}))
+                print(json.dumps({"statistics": rows, "skipped": skipped, "files": list(files)}))
             else:
                 print("| metric | item | value | count |\n|---|---|---|---:|")
                 for r in rows:
                     print(f"| {r['metric']} | {r['item']} | {r['value']} | {r['count']} |")
+                print("\n| file | sha256 | bytes | logical | version | encoding | typed | unsupported |\n|---|---|---:|---:|---|---|---:|---:|")
+                for r in files:
+                    print(f"| {r['drawing_id']} | {r['sha256']} | {r['container_size']} | {r['logical_size']} | {r.get('version')} | {r.get('encoding')} | {r['typed_entities']} | {r['unsupported_entities']} |")
             return 0
         failed, opening = False, "["
         # Reports are made by executors; the driver holds one at a time.

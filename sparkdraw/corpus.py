@@ -407,7 +407,11 @@ class Corpus:
         )
 
     def audit(self) -> DataFrame:
-        return audit.audit(self._framed_records, self.entities, self.hatches, self.dimensions, self.diagnostics)
+        return audit.audit(self._framed_records, self.entities, self.hatches, self.dimensions, self.diagnostics, self.references, self.layers, self.hatch_patterns)
+
+    def audit_files(self) -> DataFrame:
+        """The audit's row for each drawing that could be read."""
+        return audit.by_file(self.source, self.drawings, self._framed_records, self.entities, self.diagnostics)
 
     TABLES = (
         "drawings", "lines", "sections", "records", "entities", "points", "lines_geo", "arcs", "circles", "bsplines", "texts", "properties", "tolerances", "dimensions", "leaders", "contours", "hatches", "hatch_assocs", "symbols",

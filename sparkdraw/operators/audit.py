@@ -6,10 +6,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import color_name
+from .resolve import KEY
 
 
-def audit(records: DataFrame, entities: DataFrame, hatch_rows: DataFrame, dimension_rows: DataFrame, diagnostics: DataFrame) -> DataFrame:
-    """Counts of records, kinds, styles, splines, annotations, properties, placements and diagnostics.
+#: Roles of pointers whose targets may be missing, by the metric that counts them.
+UNRESOLVED = {"unresolved_geometry": "dimension geometry", "unresolved_points": "dimension reference", "contour_unresolved_components": "contour component", "symbol_unresolved_components": "symbol component"}
+
+
+def unresolved(entities: DataFrame, references: DataFrame) -> DataFrame:
+    """(mi_type, kind, and a count for each of UNRESOLVED) of dimensions, contours and symbols, from the table of pointers; owners without any count zero."""
+    bad = references.where((F.col("status") != "ok") & F.col("role").isin(*UNRESOLVED.values()))
+    counts = bad.groupBy(KEY, "entity_index").agg(*[F.count(F.when(F.col("role") == role, 1)).alias(name) for name, role in UNRESOLVED.items()])
+    owners = entities.where("kind in ('dimension', 'contour', 'symbol')").select(KEY, "entity_index", "kind", "mi_type")
+    return owners.join(counts, [KEY, "entity_index"], "left").withColumns({name: F.coalesce(name, F.lit(0)) for name in UNRESOLVED})
+
+
+def by_file(source: DataFrame, drawings: DataFrame, records: DataFrame, entities: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """A row a drawing that could be read: sha256 of its bytes as stored, sizes, version, encoding, and counts of record types, entities and diagnostic codes."""
+
+    def tally(rows: DataFrame, column: str, name: str) -> DataFrame:
+        each = rows.where(F.col(column).isNotNull()).groupBy(KEY, column).count()
+        return each.groupBy(KEY).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "count")))).alias(name))
+
+    typed = F.col("kind") != "unsupported"
+    sides = [
+        source.select(KEY, F.sha2("content", 256).alias("sha256")), tally(records, "record_type", "raw_record_counts"),
+        entities.groupBy(KEY).agg(F.count(F.when(typed, 1)).alias("typed_entities"), F.count(F.when(~typed, 1)).alias("unsupported_entities")), tally(diagnostics, "code", "diagnostic_codes"),
+    ]
+    out = drawings.where("error is null").select(KEY, "container_size", F.col("source_size").alias("logical_size"), F.col("global.version").alias("version"), F.col("encoding.name").alias("encoding"), F.col("format.compression").alias("compression"))
+    for side in sides:
+        out = out.join(side, KEY, "left")
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
+    return out.withColumns({**{c: F.coalesce(c, none) for c in ("raw_record_counts", "diagnostic_codes")}, **{c: F.coalesce(c, F.lit(0)) for c in ("typed_entities", "unsupported_entities")}})
+
+
+def audit(records: DataFrame, entities: DataFrame, hatch_rows: DataFrame, dimension_rows: DataFrame, diagnostics: DataFrame, references: DataFrame, layers: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Counts of records, kinds, styles, layers, splines, annotations, unresolved targets, properties, placements and diagnostics.
 
     Each entity is turned into its (metric, item, value) triples in place, so one aggregation counts them all.
     """
@@ -30,13 +62,15 @@ def audit(records: DataFrame, entities: DataFrame, hatch_rows: DataFrame, dimens
         when(kind == "property", triple("property_model", mi, "")),
         when(
             F.col("graphic").isNotNull(), triple("colors", style, g("color")), triple("color_names", style, color_name(g("color"))), triple("linetypes", style, g("linetype")), triple("lineweights", style, g("lineweight")),
-            triple("visibility_values", style, g("visibility_value")), triple("property_counts", style, F.size(g("property_ids"))),
+            triple("visibility", style, g("visibility")), triple("visibility_values", style, g("visibility_value")), triple("property_counts", style, F.size(g("property_ids"))),
         ),
         when(kind.isin("arc", "fillet"), triple("orientation", mi, F.col("arc.orientation")), triple("ccw", mi, F.col("arc.ccw"))),
         when(
             kind == "bspline", triple("orders", mi, F.col("bspline.order")), triple("control_point_counts", mi, F.size("bspline.control_point_ids")), triple("prefix_lengths", mi, F.size("bspline.prefix_values")),
             triple("definition_values", mi, F.array_join("bspline.definition_values", ",")), triple("weight_presence", mi, F.col("bspline.weights").isNotNull()),
+            *[triple(name, mi, F.col(f"bspline.{name}")) for name in ("closed", "periodic", "rational")],
         ),
+        when(kind == "dimension", triple("geometry_reference_counts", mi, F.size("dimension.reference_geometry_ids")), triple("point_reference_counts", mi, F.size("dimension.reference_point_ids"))),
         when(kind == "leader", triple("leader_vertex_counts", mi, F.size("leader.points"))),
         when(kind == "contour", triple("contour_component_counts", mi, F.size("contour.component_ids"))),
         when(kind == "symbol", triple("symbol_component_counts", mi, F.size("symbol.component_ids"))),
@@ -47,7 +81,15 @@ def audit(records: DataFrame, entities: DataFrame, hatch_rows: DataFrame, dimens
         F.col("record_type").isNotNull(), triple("raw", F.col("record_type"), ""), triple("field_counts", F.col("record_type"), F.size("fields")),
         triple("terminal_field_values", F.col("record_type"), F.when(F.col("record_type").isin("ARC", "FIL"), F.element_at("fields", -1))),
     )
+    lost = unresolved(entities, references)
+    kinds = {"dimension": ("unresolved_geometry", "unresolved_points"), "contour": ("contour_unresolved_components",), "symbol": ("symbol_unresolved_components",)}
+    told = F.concat(*[when(kind == k, *[triple(name, mi, F.col(name)) for name in names]) for k, names in kinds.items()])
+    drawn = entities.where("graphic is not null").select(KEY, "entity_index").join(layers, [KEY, "entity_index"], "left")
+    patterned = hatch_rows.select(KEY, "entity_index", "mi_type").join(patterns.select(KEY, "entity_index", F.lit(True).alias("have")), [KEY, "entity_index"], "left")
     rows = [
+        lost.select(F.explode(told).alias("t")),
+        drawn.select(triple("layer_counts", style, F.coalesce(F.size("layers"), F.lit(0))).alias("t")),
+        patterned.select(triple("hatch_pattern_present", F.col("mi_type"), F.coalesce("have", F.lit(False))).alias("t")),
         entities.select(F.explode(found).alias("t")),
         records.select(F.explode(raw).alias("t")).where("t.metric <> 'terminal_field_values' or t.item in ('ARC', 'FIL')"),
         hatch_rows.select(triple("hatch_boundary_counts", F.col("mi_type"), F.size("boundary_loop_ids")).alias("t")),

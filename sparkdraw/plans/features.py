@@ -534,6 +534,7 @@ def q69_linetypes(spark, sf_dir):
           SELECT 'leader_vertex_counts', 'LED', CAST(o_orderkey % 4 + 1 AS VARCHAR), count(*) FROM orders GROUP BY ALL UNION ALL
           SELECT 'field_counts', 'LED', CAST(10 + 3 * (o_orderkey % 4 + 1) AS VARCHAR), count(*) FROM orders GROUP BY ALL UNION ALL
           SELECT 'property_counts', 'graphics', '0', count(*) FROM orders UNION ALL SELECT 'lineweights', 'graphics', '0.5', count(*) FROM orders UNION ALL
+          SELECT 'layer_counts', 'graphics', '0', count(*) FROM orders UNION ALL SELECT 'visibility', 'graphics', 'null', count(*) FROM orders UNION ALL
           SELECT 'visibility_values', 'graphics', '9', count(*) FROM orders UNION ALL SELECT 'diagnostic_codes', code, '', count(DISTINCT o_orderkey // 1000) FROM orders, (VALUES ('MI_MISSING_GLOBAL_SECTION'), ('MI_ENTITY_SECTION_OUTSIDE_PART')) AS v(code) GROUP BY code""")
 def q70_audit_metrics(spark, sf_dir):
     o, k = table(spark, sf_dir, "orders"), c("o_orderkey")
@@ -547,21 +548,26 @@ def q70_audit_metrics(spark, sf_dir):
 # Attachments
 
 
-@query("""SELECT s_suppkey, kind, CASE kind WHEN 'line' THEN 'PSTAT' WHEN 'dimension' THEN 'PSTAT' ELSE '' END AS properties,
+def _linked(spark, sf_dir) -> corpus.Corpus:
+    """For each supplier a line, a dimension, a contour and a symbol, of whose pointers some mean nothing."""
+    t, n = table(spark, sf_dir, "supplier"), c("s_suppkey")
+    k, d = n * 20, many_drawings(n)
+    dim: list = [0] * 75
+    dim[0], dim[1], dim[2], dim[3], dim[7], dim[8], dim[16], dim[18], dim[20], dim[21] = k + 2, k + 18, k + 19, k + 1, 1.5, 2.5, k + 7, k + 17, 5, "five"
+    return read(
+        spark, S.rows(t, d, 41, 41, k, S.record("PSTAT", k + 5, 0, 1), S.assp(k + 7, "here"), S.assp(k + 9, F.concat(F.lit("LAYER:"), (n % 3).cast("string")))), S.rows(t, d, 61, 61, k, S.p(k + 1, n, 1)),
+        S.rows(t, d, 62, 62, k, S.lin(k + 2, k + 1, k + 16, (1, 0, 0.5, 9, 2, k + 15, k + 5))),
+        S.rows(t, d, 71, 71, k, S.record("DSGL", k + 3, 2, k + 15, k + 5, *dim), S.record("COC", k + 4, 1, 0, 0.5, 9, F.when(n % 2 == 0, F.concat_ws("\n", F.lit("1"), (k + 9).cast("string"))).otherwise("0"), 1, 0, 2, k + 2, k + 14), S.record("SYML", k + 8, k + 2, k + 1, k + 4)),
+    )
+
+
+@query("""SELECT s_suppkey, kind, CASE WHEN kind IN ('line', 'dimension') THEN 'PSTAT' WHEN kind = 'contour' AND s_suppkey % 2 = 0 THEN 'ASSP' ELSE '' END AS properties,
           CASE kind WHEN 'dimension' THEN 'LIN ' || (s_suppkey * 20 + 2) || ',-' WHEN 'contour' THEN 'LIN ' || (s_suppkey * 20 + 2) || ',-' WHEN 'symbol' THEN 'LIN ' || (s_suppkey * 20 + 2) || ',-,-' ELSE '' END AS links,
           CASE kind WHEN 'line' THEN s_suppkey || ',-' WHEN 'dimension' THEN '-,' || s_suppkey ELSE '' END AS points, CASE kind WHEN 'dimension' THEN 'here' ELSE '-' END AS style, '-' AS text_style
           FROM supplier, (VALUES ('line'), ('dimension'), ('contour'), ('symbol')) AS v(kind)""")
 def q71_attachments(spark, sf_dir):
     """Properties that resolve, and geometry, points, components and styles, null where an id is missing or means another class."""
-    t, n = table(spark, sf_dir, "supplier"), c("s_suppkey")
-    k, d = n * 20, many_drawings(n)
-    dim: list = [0] * 75
-    dim[0], dim[1], dim[2], dim[3], dim[7], dim[8], dim[16], dim[18], dim[20], dim[21] = k + 2, k + 18, k + 19, k + 1, 1.5, 2.5, k + 7, k + 17, 5, "five"
-    parts = [
-        S.rows(t, d, 41, 41, k, S.record("PSTAT", k + 5, 0, 1), S.assp(k + 7, "here")), S.rows(t, d, 61, 61, k, S.p(k + 1, n, 1)), S.rows(t, d, 62, 62, k, S.lin(k + 2, k + 1, k + 16, (1, 0, 0.5, 9, 2, k + 15, k + 5))),
-        S.rows(t, d, 71, 71, k, S.record("DSGL", k + 3, 2, k + 15, k + 5, *dim), S.record("COC", k + 4, *S.STYLE, 1, 0, 2, k + 2, k + 14), S.record("SYML", k + 8, k + 2, k + 1, k + 4)),
-    ]
-    rows = read(spark, *parts).attachments.where("kind in ('line', 'dimension', 'contour', 'symbol')")
+    rows = _linked(spark, sf_dir).attachments.where("kind in ('line', 'dimension', 'contour', 'symbol')")
     told = lambda values, one: F.array_join(F.transform(values, lambda v: F.coalesce(one(v), F.lit("-"))), ",")
     link = lambda v: F.concat(v["mi_type"], F.lit(" "), v["entity_id"].cast("string"))
     style = lambda name: F.coalesce(F.get(c(name)["associated_strings"], F.lit(0))["text"], F.lit("-")).alias(name.removeprefix("dimension_"))
@@ -569,3 +575,39 @@ def q71_attachments(spark, sf_dir):
         F.floor(c("entity_id") / 20).alias("s_suppkey"), "kind", told("properties", lambda v: v["mi_type"]).alias("properties"), told(F.concat("geometries", "components"), link).alias("links"),
         told("points", lambda v: v["x"].cast("bigint").cast("string")).alias("points"), style("dimension_style"), style("text_style"),
     )
+
+
+@query("""WITH s AS (SELECT count(*) AS n, count(*) FILTER (s_suppkey % 2 = 0) AS even FROM supplier)
+          SELECT 'layer_counts' AS metric, 'graphics' AS item, '0' AS value, 2 * n - even AS n FROM s UNION ALL SELECT 'layer_counts', 'graphics', '1', even FROM s WHERE even > 0
+          UNION ALL SELECT m, i, v, n FROM s, (VALUES ('geometry_reference_counts', 'DSGL', '2'), ('point_reference_counts', 'DSGL', '2'), ('unresolved_geometry', 'DSGL', '1'), ('unresolved_points', 'DSGL', '1'),
+            ('contour_unresolved_components', 'COC', '1'), ('symbol_unresolved_components', 'SYML', '2')) AS v(m, i, v)""")
+def q72_audit_references(spark, sf_dir):
+    """Layers of graphics, and how many targets of each owner are missing or of another class."""
+    rows = _linked(spark, sf_dir).audit()
+    names = ("layer_counts", "geometry_reference_counts", "point_reference_counts", "unresolved_geometry", "unresolved_points", "contour_unresolved_components", "symbol_unresolved_components")
+    return rows.where(c("metric").isin(*names)).select("metric", "item", "value", c("count").alias("n"))
+
+
+@query("""SELECT o_orderkey // 1000 AS drawing, 3 * count(*) AS typed, CAST(0 AS BIGINT) AS unsupported, 2 * count(*) AS points, count(*) AS lines, '2.10' AS version, CAST(1 AS BIGINT) AS other_codes FROM orders GROUP BY ALL""")
+def q73_audit_files(spark, sf_dir):
+    """A row a file: counts by type and by code, with the version that the file declares."""
+    o, k = table(spark, sf_dir, "orders"), c("o_orderkey") * 3
+    d = many_drawings(c("o_orderkey"))
+    top = S.rows(o.select(d.alias("d")).distinct(), c("d"), 6, 6, F.lit(0), F.lit("\n"))
+    rows = read(spark, S.head(o, d), top, S.rows(o, d, 61, 61, k, S.p(k + 1, 0, 0), S.p(k + 2, 1, 1)), S.rows(o, d, 62, 62, k, S.lin(k + 3, k + 1, k + 2))).audit_files()
+    raw = c("raw_record_counts")
+    return rows.select(
+        c(KEY).cast("bigint").alias("drawing"), c("typed_entities").alias("typed"), c("unsupported_entities").alias("unsupported"), raw["P"].alias("points"), raw["LIN"].alias("lines"), "version",
+        c("diagnostic_codes")["MI_EMPTY_PART_NAME"].alias("other_codes"),
+    )
+
+
+@query("SELECT s_suppkey, CAST(3 + s_suppkey % 4 AS BIGINT) AS bytes, CAST(2 + s_suppkey % 4 AS BIGINT) AS last_line, CAST(3 + s_suppkey % 4 AS BIGINT) AS mark FROM supplier")
+def q74_preamble(spark, sf_dir):
+    """Blank lines before the first section are the preamble; sections begin after it."""
+    t, k = table(spark, sf_dir, "supplier"), c("s_suppkey")
+    made = S.drawings(S.rows(t, k, 61, 61, k, S.p(k, 1, 2)))
+    blank = F.concat(F.lit(" \n\n"), F.repeat(F.lit("\n"), (made[KEY].cast("int") % 4)))
+    rows = corpus.read(spark, made.select(KEY, F.concat(F.encode(blank, "UTF-8"), "content").alias("content")), mode="FAILFAST")
+    spans = rows._drawings.select(KEY, "preamble_span.length", "preamble_span.end_line").join(rows.sections.select(KEY, "marker_span.offset"), KEY)
+    return spans.select(c(KEY).cast("bigint").alias("s_suppkey"), c("length").alias("bytes"), c("end_line").alias("last_line"), c("offset").alias("mark"))
