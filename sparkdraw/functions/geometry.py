@@ -120,20 +120,73 @@ def spline_points(degree: int, knots: np.ndarray, controls: np.ndarray, at: np.n
     return last[:, :2] / last[:, 2:]
 
 
+def spline_values(degree: int, knots: np.ndarray, controls: np.ndarray, weights: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A point for each of several splines of one degree and size, each at a parameter of its own; NaN outside its domain or at a zero weight."""
+    rows, n = np.arange(len(at)), controls.shape[1]
+    inside = (at >= knots[:, degree]) & (at <= knots[:, n])
+    span = np.clip((knots <= at[:, None]).sum(axis=1) - 1, degree, n - 1)
+    # At the end of the domain the last span that is not empty counts.
+    end = at == knots[:, n]
+    span = np.where(end, np.clip((knots < at[:, None]).sum(axis=1) - 1, degree, n - 1), span)
+    h = np.concatenate([controls * weights[:, :, None], weights[:, :, None]], axis=2)
+    work = h[rows[:, None], span[:, None] - degree + np.arange(degree + 1)]
+    for level in range(1, degree + 1):
+        k = span[:, None] - degree + np.arange(level, degree + 1)
+        low, high = knots[rows[:, None], k], knots[rows[:, None], k + degree - level + 1]
+        wide = high != low
+        alpha = np.where(wide, (at[:, None] - low) / np.where(wide, high - low, 1.0), 0.0)[:, :, None]
+        work[:, level:] = (1 - alpha) * work[:, level - 1 : -1] + alpha * work[:, level:]
+    last = work[:, -1]
+    good = inside & (np.abs(last[:, 2]) > 1e-15)
+    return np.where(good[:, None], last[:, :2] / np.where(good, last[:, 2], 1.0)[:, None], np.nan)
+
+
+def _array(values) -> np.ndarray | None:
+    """Numbers of an array column's value; null if it is or has null."""
+    if values is None or pd.isna(np.asarray(values, object)).any():
+        return None
+    return np.asarray(values, float)
+
+
+@F.pandas_udf(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
+def _evaluated(degree: pd.Series, knots: pd.Series, xs: pd.Series, ys: pd.Series, weights: pd.Series, at: pd.Series) -> pd.DataFrame:
+    out = np.full((len(at), 2), np.nan)
+    groups: dict[tuple[int, int], list] = {}
+    for i, (d, k, x, y, w, t) in enumerate(zip(degree, knots, xs, ys, weights, at, strict=True)):
+        k, x, y, w = _array(k), _array(x), _array(y), np.ones(0) if w is None else _array(w)
+        if k is None or x is None or y is None or w is None or pd.isna(d) or pd.isna(t) or len(x) <= d or len(k) != len(x) + d + 1 or len(w) not in (0, len(x)):
+            continue
+        groups.setdefault((int(d), len(x)), []).append((i, k, np.column_stack([x, y]), w if len(w) else np.ones(len(x)), t))
+    for (d, _), rows in groups.items():
+        at_, k, c, w, t = zip(*rows, strict=True)
+        out[list(at_)] = spline_values(d, np.stack(k), np.stack(c), np.stack(w), np.array(t, float))
+    return pd.DataFrame({"x": out[:, 0], "y": out[:, 1]})
+
+
+def evaluate(parameter: Column, degree: str = "degree", knots: str = "knots", points: str = "control_points", weights: str | None = "weights") -> Column:
+    """The point of a spline at a parameter; null outside its domain, with a control point missing, or at a zero weight.
+
+    Rows of one degree and size are evaluated together. Without weights, or with null ones, the spline is not rational.
+    """
+    w = F.col(weights) if weights else F.lit(None).cast("array<double>")
+    made = _evaluated(F.col(degree), F.col(knots), F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"]), w, parameter.cast("double"))
+    return F.transform(F.array(made), lambda p: F.when(~F.isnan(p["x"]) & p["x"].isNotNull(), p))[0]
+
+
 @F.pandas_udf(T.StructType([T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("y", T.ArrayType(T.DoubleType()))]))
-def _sampled(degree: pd.Series, knots: pd.Series, xs: pd.Series, ys: pd.Series, segments: pd.Series) -> pd.DataFrame:
+def _sampled(degree: pd.Series, knots: pd.Series, xs: pd.Series, ys: pd.Series, weights: pd.Series, segments: pd.Series) -> pd.DataFrame:
     out = []
-    for d, k, x, y, n in zip(degree, knots, xs, ys, segments, strict=True):
+    for d, k, x, y, w, n in zip(degree, knots, xs, ys, weights, segments, strict=True):
         points = None
         if k is not None and x is not None and not pd.isna(np.asarray(x, object)).any() and not pd.isna(np.asarray(y, object)).any():
             k, c = np.asarray(k, float), np.column_stack([np.asarray(x, float), np.asarray(y, float)])
             at = k[d] + (k[len(c)] - k[d]) * np.arange(n + 1) / n
-            points = spline_points(int(d), k, c, np.minimum(at, k[len(c)]))
+            points = spline_points(int(d), k, c, np.minimum(at, k[len(c)]), None if w is None else np.asarray(w, float))
         out.append((None, None) if points is None else (points[:, 0], points[:, 1]))
     return pd.DataFrame({"x": pd.Series([x for x, _ in out], dtype=object), "y": pd.Series([y for _, y in out], dtype=object)})
 
 
-def spline_samples(degree, knots, xs, ys, segments) -> Column:
+def spline_samples(degree, knots, xs, ys, segments, weights=None) -> Column:
     """segments + 1 points over the domain; null if a control point is missing."""
-    both = _sampled(degree, knots, xs, ys, segments)
+    both = _sampled(degree, knots, xs, ys, F.lit(None).cast("array<double>") if weights is None else weights, segments)
     return F.arrays_zip(both["x"].alias("x"), both["y"].alias("y"))

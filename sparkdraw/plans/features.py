@@ -611,3 +611,17 @@ def q74_preamble(spark, sf_dir):
     rows = corpus.read(spark, made.select(KEY, F.concat(F.encode(blank, "UTF-8"), "content").alias("content")), mode="FAILFAST")
     spans = rows._drawings.select(KEY, "preamble_span.length", "preamble_span.end_line").join(rows.sections.select(KEY, "marker_span.offset"), KEY)
     return spans.select(c(KEY).cast("bigint").alias("s_suppkey"), c("length").alias("bytes"), c("end_line").alias("last_line"), c("offset").alias("mark"))
+
+
+@query("""SELECT vec_id, CAST(vec_id % 63 AS DOUBLE) + 0.25 AS x, round(0.75 * CAST(embedding[vec_id % 63 + 1] AS DOUBLE) + 0.25 * CAST(embedding[vec_id % 63 + 2] AS DOUBLE), 6) + 0.0 AS y FROM embeddings""")
+def q75_spline_at(spark, sf_dir):
+    """A spline of degree 1 at a parameter of its own."""
+    t, d = table(spark, sf_dir, "embeddings"), many_drawings(c("vec_id"))
+    k = c("vec_id") * 100
+    controls = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: (k + i).cast("string"))
+    points = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: S.p(k + i + 1, i, F.get("embedding", i).cast("double"))), "")
+    spline = S.record("BSPL", k + 99, *S.STYLE, 2, 0, 0, 63, k + 1, k + 64, 64, S.many(controls), 66, 0, *range(64), 63, 0)
+    rows = read(spark, S.rows(t, d, 61, 61, k, points), S.rows(t, d, 62, 62, k, spline)).bsplines
+    n = F.floor(c("entity_id") / 100)
+    at = rows.select(n.alias("vec_id"), G.evaluate((n % 63).cast("double") + 0.25).alias("p"))
+    return at.select("vec_id", F.round("p.x", 6).alias("x"), (F.round("p.y", 6) + 0.0).alias("y"))
