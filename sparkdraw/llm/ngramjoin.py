@@ -177,7 +177,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     meet = F.lit(True)
     for k in range(ORDERS - 1):
         meet = meet & F.arrays_overlap(F.get("a_filters", F.lit(k)), F.get("b_filters", F.lit(k)))
-    left = pairs.join(side("a", "filters"), "a").join(side("b", "filters"), "b").where(meet).select("a", "b")
+    left = pairs.hint("merge").join(side("a", "filters"), "a").hint("merge").join(side("b", "filters"), "b").where(meet).select("a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,7 +190,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep = pa.array(100 * np.array(shared, np.int64) >= SHARE * np.array(total, np.int64), pa.bool_())
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array(total, pa.int64()))], names=["a", "b", "shared", "total"])
 
-    return left.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b").mapInArrow(run, "a long, b long, shared long, total long")
+    return left.hint("merge").join(side("a", "hashes"), "a").hint("merge").join(side("b", "hashes"), "b").mapInArrow(run, "a long, b long, shared long, total long")
 
 
 class _Join:
@@ -205,17 +205,20 @@ class _Join:
         # Aggregated before it is dealt out: a class can hold a third of all rows.
         found = self.rows.where("n_shingles > 0").groupBy("name")
         found = found.agg(F.min("doc_id").alias("lead"), F.first("n_shingles").cast("int").alias("n"), F.first("first").alias("first"))
-        # Numbers stay as they are once the table is written.
-        self.classes = staged(found.withColumn("node", F.monotonically_increasing_id()), "classes")
-        busy = staged(self.classes.select(F.explode("first").alias("token")).groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token"), "busy")
+        # Numbers stay as they are once the table is written. Prefixes go once they are dealt out.
+        wide = staged(found.withColumn("node", F.monotonically_increasing_id()), "classes")
+        self.rows, spent = staged(self.rows.select("doc_id", "n_shingles", "name"), "rows"), self.rows
+        discard(spent)
+        busy = staged(wide.select(F.explode("first").alias("token")).groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token"), "busy")
         bitmap = _filter(busy, F.col("token"))
-        met = _kept(self.classes, bitmap).join(busy, "token")
+        met = _kept(wide, bitmap).join(busy, "token")
         # ``before`` is the last token before this one that others have too.
         own = Window.partitionBy("node")
         met = met.withColumns({"met": F.count("*").over(own), "before": F.lag("token").over(own.orderBy("at"))})
         self.members = staged(met.select("token", F.struct("met", "node", "n", "at", "before").alias("m")), "members")
         bitmap.unpersist()
-        discard(busy)
+        self.classes = staged(wide.select("node", "name", "lead"), "classes")
+        discard(busy, wide)
 
     def sets_of(self, nodes: DataFrame) -> DataFrame:
         """Sets of the classes in nodes, from the text of one document of each class."""
@@ -223,7 +226,8 @@ class _Join:
         bitmap = _filter(named, F.xxhash64("lead"))
         found = _sets(self.docs.select(F.xxhash64("doc_id").alias("key"), "doc_id", "text"), self.shared, bitmap)
         # Documents that share an id can differ in text, and a row can repeat.
-        out = found.join(named, "name").where(F.col("doc_id").eqNullSafe(F.col("lead"))).select("node", "filters", "hashes")
+        # Both sides grow with the input, so sets are dealt out at every size.
+        out = found.join(named.hint("merge"), "name").where(F.col("doc_id").eqNullSafe(F.col("lead"))).select("node", "filters", "hashes")
         out = staged(out, "sets")
         bitmap.unpersist()
         discard(named)
@@ -259,6 +263,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     edges = staged(best.select(F.least("node", "best.centre").alias("a"), F.greatest("node", "best.centre").alias("b")).distinct(), "edges")
     sets = join.sets_of(_ends(edges))
     links = staged(_verified(edges, sets).select("a", "b"), "links")
+    discard(sets)
     labels = connected_components(links)
 
     # Pairs between components of a bucket; its largest component is compared with the others, not with itself.
@@ -271,11 +276,12 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     others = open_.select("token", F.col("m").alias("y"), F.col("part").alias("py"))
     more = staged(join.between(outside, others, F.col("px") != F.col("py")).join(edges, ["a", "b"], "left_anti"), "edges")
     discard(open_)
-    spent = [edges, more, sets, links, labels]
+    spent = [edges, more, links, labels]
     if not more.isEmpty():
         rest = join.sets_of(_ends(more))
         found = staged(_verified(more, rest).select("a", "b"), "links")
-        spent += [rest, found]
+        discard(rest)
+        spent.append(found)
         if not found.isEmpty():
             # Between components, so few: components of these join whole ones.
             side = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
