@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 from drawing import OLD_STYLE, STYLE, asse, child, drawing, head, rec, section, tex
+from plain_encoding import detect, version_is_utf8
 from pyspark.sql import functions as F
 
 import sparkdraw
@@ -150,14 +151,13 @@ def test_text_errors_name_the_byte(spark):
 
 def test_encodings():
     assert codecs.encoding_of("Shift-JIS") == "shift_jis" and codecs.encoding_of("UTF_8") == "utf-8" and codecs.encoding_of("latin1") is None
-    assert not codecs.version_is_utf8("3.4") and codecs.version_is_utf8("3.20") and codecs.version_is_utf8("4") and not codecs.version_is_utf8("x.30")
+    assert not version_is_utf8("3.4") and version_is_utf8("3.20") and version_is_utf8("4") and not version_is_utf8("x.30")
     assert codecs.decode(b"\x81\x60", "shift_jis") == "～" and codecs.decode(b"\x80", "shift_jis") == "\x80"
     for raw, encoding, at in ((b"a\xa0", "shift_jis", 1), (b"\xfd", "shift_jis", 0), (b"ok\xff", "utf-8", 2), (b"\xff", "hp-roman8", 0)):
         with pytest.raises(codecs.BadBytes) as bad:
             codecs.decode(raw, encoding)
         assert bad.value.offset == at
     assert codecs.decode(b"\xe8\xff"[:1], "hp-roman8") != ""
-    detect = codecs.detect
     assert detect(None, False, None, None, [b"abc"])[:2] == (None, "ascii_only")
     assert detect(None, False, None, None, ["é".encode()])[:2] == ("utf-8", "heuristic")
     assert detect(None, False, None, None, [b"\x82\xa0"])[:2] == ("shift_jis", "heuristic")
