@@ -34,7 +34,7 @@ def raw(x: Column) -> Column:
     return F.encode(x, "ISO-8859-1")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _is_shift_jis(x: pd.Series) -> pd.Series:
     return x.map(lambda v: codecs.decodes(bytes(v), "shift_jis")).astype(bool)
 
