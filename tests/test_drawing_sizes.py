@@ -28,5 +28,6 @@ def test_drawings_stay_bounded(spark, tmp_path, monkeypatch, name):
         Q.QUERIES[name](spark, str(tmp_path))
     (source, options), = seen
     found = source.select(F.size(F.split(F.col("content").cast("string"), r"\|~")).alias("records")).agg(F.count("*").alias("n"), F.max("records").alias("most")).first()
-    assert found.n == 20 and found.most <= 4 * 1000 + 1
+    # q12 has a drawing of nations besides.
+    assert found.n == 20 + (name == "q12_part_ownership") and found.most <= 4 * 1000 + 1
     assert options.get("mode") == "FAILFAST"
