@@ -211,7 +211,7 @@ class _Join:
         discard(spent)
         busy = staged(wide.select(F.explode("first").alias("token")).groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token"), "busy")
         bitmap = _filter(busy, F.col("token"))
-        met = _kept(wide, bitmap).join(busy, "token")
+        met = _kept(wide, bitmap).join(busy.hint("merge"), "token")
         # ``before`` is the last token before this one that others have too.
         own = Window.partitionBy("node")
         met = met.withColumns({"met": F.count("*").over(own), "before": F.lag("token").over(own.orderBy("at"))})
@@ -257,7 +257,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     members, classes = join.members, join.classes
 
     centres = members.groupBy("token").agg(F.max("m").alias("c"))
-    pairs = members.join(centres, "token").where((F.col("m.node") != F.col("c.node")) & _plausible("m", "c"))
+    pairs = members.join(centres.hint("merge"), "token").where((F.col("m.node") != F.col("c.node")) & _plausible("m", "c"))
     pairs = pairs.groupBy(F.col("m.node").alias("node"), F.col("c.node").alias("centre")).agg(F.count("*").alias("common"), F.max("c.met").alias("met"))
     best = pairs.groupBy("node").agg(F.max(F.struct("common", "met", "centre")).alias("best"))
     edges = staged(best.select(F.least("node", "best.centre").alias("a"), F.greatest("node", "best.centre").alias("b")).distinct(), "edges")
@@ -267,11 +267,11 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     labels = connected_components(links)
 
     # Pairs between components of a bucket; its largest component is compared with the others, not with itself.
-    placed = members.select("token", "m", F.col("m.node").alias("node")).join(labels, "node", "left").select("token", "m", F.coalesce("label", "node").alias("part"))
+    placed = members.select("token", "m", F.col("m.node").alias("node")).join(labels.hint("merge"), "node", "left").select("token", "m", F.coalesce("label", "node").alias("part"))
     parts = placed.groupBy("token", "part").agg(F.count("*").alias("k"))
     mixed = parts.groupBy("token").agg(F.max(F.struct("k", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("token", "main.part")
     mixed = mixed.withColumnRenamed("part", "main")
-    open_ = staged(placed.join(mixed, "token"), "open")
+    open_ = staged(placed.join(mixed.hint("merge"), "token"), "open")
     outside = open_.where("part <> main").select("token", F.col("m").alias("x"), F.col("part").alias("px"))
     others = open_.select("token", F.col("m").alias("y"), F.col("part").alias("py"))
     more = staged(join.between(outside, others, F.col("px") != F.col("py")).join(edges, ["a", "b"], "left_anti"), "edges")
