@@ -199,7 +199,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> ToxicModel:
-    """Learn from at most ``sample`` labelled rows; the driver gets counts, and three numbers a row."""
+    """Learn from at most ``sample`` labelled rows; the driver gets counts of features, and for each cut two numbers a row."""
     half = (F.crc32(F.concat(F.lit("half "), F.col("doc_id").cast("string")).cast("binary")) % 2).cast("int")
     rows = staged(training_rows(docs, labels, label, sample).withColumn("half", half), "sample")
     counts = staged(_count(rows), "features")
@@ -230,32 +230,48 @@ def _fit(rows: DataFrame, counts: DataFrame) -> ToxicModel:
     # Rows of one half are judged by the words of the other.
     other = [ToxicModel(model.rate, resolved(model.rate, half[1 - h])) for h in (0, 1)]
     measured = _measured(rows, other)
+    try:
+        return _calibrated(model, measured)
+    finally:
+        discard(measured)
+
 
-    best = math.inf
-    for k, flat in enumerate(FLATS):
-        found = [(r["label"], r["words"], r["best"][k], r["heavy"][k], r["times"][k], r["scores"][k]) for r in measured]
-        clean = [r for r in found if not r[0]]
-        if not clean or len(clean) == len(found):
-            return model
-        tried = ToxicModel(model.rate, model.odds, flat=flat)
-        _extremes(tried, found, clean)
-        x, y = [], []
-        for label_, words, top, _, _, scores in found:
-            log_p = tried.log_p(top, words)
-            total = sum(s for s in scores if tried.log_p(s, words) < math.log(SIGNIFICANT))
-            x.append((1.0, math.log1p(-log_p), math.log1p(total)))
-            y.append(label_)
-        x, y = np.array(x), np.array(y, float)
+def _calibrated(model: ToxicModel, measured: DataFrame) -> ToxicModel:
+    """The cut, law and curve with the least loss. The driver gets best scores, sums of significant scores and word counts by rounded weight; a text's segments stay where they are."""
+    found = sorted(measured.select("id", "label", "words", "best").collect(), key=lambda r: r["id"])
+    clean = [r for r in found if not r["label"]]
+    if not clean or len(clean) == len(found):
+        return model
+    counts: list[dict[float, int]] = [{} for _ in FLATS]
+    heavy = measured.select(F.posexplode(F.arrays_zip("heavy", "times")).alias("k", "both")).select("k", F.explode(F.arrays_zip("both.heavy", "both.times")).alias("v"))
+    for r in heavy.groupBy("k", F.col("v.heavy").alias("weight")).agg(F.sum("v.times").alias("n")).collect():
+        counts[r["k"]][r["weight"]] = r["n"]
+    tried = [ToxicModel(model.rate, model.odds, flat=flat) for flat in FLATS]
+    for k, one in enumerate(tried):
+        _extremes(one, counts[k], [(r["words"], r["best"][k]) for r in clean])
+    sums = measured.select("id", *[_significant(one, k).alias(f"s{k}") for k, one in enumerate(tried)])
+    totals = {r["id"]: r[1:] for r in sums.collect()}
+
+    best, chosen = math.inf, model
+    y = np.array([r["label"] for r in found], float)
+    for k, one in enumerate(tried):
+        x = np.array([(1.0, math.log1p(-one.log_p(r["best"][k], r["words"])), math.log1p(totals[r["id"]][k])) for r in found])
         curve = _logistic(x, y)
-        tried.curve = tuple(curve.tolist())
+        one.curve = tuple(curve.tolist())
         loss = float(np.logaddexp(0, np.where(y > 0, -1, 1) * np.clip(x @ curve, -30, 30)).mean())
         if loss < best:
-            best, chosen = loss, tried
+            best, chosen = loss, one
     return chosen
 
 
-def _measured(rows: DataFrame, other: list[ToxicModel]) -> list:
-    """Each row's scores under the words of the other half, for each of FLATS; clean rows' weights are counted by batch, in one of its rows."""
+def _significant(model: ToxicModel, k: int) -> F.Column:
+    """Sum of the scores that are significant by ``log_p``, which falls as the score grows."""
+    least = (F.log(F.lit(model.constant) * F.col("words")) - math.log(-math.log1p(-SIGNIFICANT))) / model.scale
+    return F.aggregate(F.filter(F.get("scores", F.lit(k)), lambda s: (s > 0) & (s > least)), F.lit(0.0), lambda a, s: a + s)
+
+
+def _measured(rows: DataFrame, other: list[ToxicModel]) -> DataFrame:
+    """A table of each row's scores under the words of the other half, for each of FLATS; clean rows' weights are counted by batch, in one of its rows."""
     models = rows.sparkSession.sparkContext.broadcast([[ToxicModel(m.rate, m.odds, flat=flat) for m in other] for flat in FLATS])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,17 +296,15 @@ def _measured(rows: DataFrame, other: list[ToxicModel]) -> list:
                 kinds = [pa.string(), pa.list_(pa.float64()), pa.int64(), pa.int32(), many, pa.list_(pa.list_(pa.int64())), many]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id", "best", "words", "label", "heavy", "times", "scores"])
 
-    found = rows.mapInArrow(measure, "id string, best array<double>, words long, label int, heavy array<array<double>>, times array<array<long>>, scores array<array<double>>").collect()
+    schema = "id string, best array<double>, words long, label int, heavy array<array<double>>, times array<array<long>>, scores array<array<double>>"
+    found = staged(rows.mapInArrow(measure, schema), "measured")
     models.unpersist()
-    return sorted(found, key=lambda r: r["id"])
+    return found
 
 
-def _extremes(model: ToxicModel, found: list[tuple], clean: list[tuple]) -> None:
-    """Scale from the law of the weights, constant from the best scores of clean documents: (label, words, best, heavy, times, scores)."""
-    counts: Counter[float] = Counter()
-    words = sum(r[1] for r in clean)
-    for r in found:
-        counts.update(dict(zip(r[3], r[4], strict=True)))
+def _extremes(model: ToxicModel, counts: dict[float, int], clean: list[tuple[int, float]]) -> None:
+    """Scale from the law of the weights (how often each occurs in clean documents), constant from the best scores of clean documents: (words, best)."""
+    words = sum(n for n, _ in clean)
     if not words or not counts:
         return
     w = np.array(sorted(counts), float)
@@ -305,7 +319,7 @@ def _extremes(model: ToxicModel, found: list[tuple], clean: list[tuple]) -> None
         low, high = (mid, high) if excess(mid) < 0 else (low, mid)
     model.scale = max(low, 0.05)
     # The mean of exp(-scale * best) over texts of n words is near 1 / (1 + constant * n).
-    chance = np.mean([math.exp(-model.scale * r[2]) for r in clean])
+    chance = np.mean([math.exp(-model.scale * top) for _, top in clean])
     model.constant = max(1e-6, (1 / max(chance, 1e-9) - 1) * len(clean) / words)
 
 
