@@ -6,7 +6,7 @@ __version__ = "0.1.0"
 #: Public names and the modules that have them; loaded on first use, so that workers import only what they run.
 _HOME = {
     "Corpus": ".corpus", "read": ".corpus", "DrawingError": ".errors", "InvalidDrawing": ".errors", "LimitExceeded": ".errors", "UnsupportedDrawing": ".errors",
-    "detect_format": ".sources.files", "Limits": ".sources.limits", "read_stream": ".streaming.ingest",
+    "detect_format": ".sources.files", "Limits": ".sources.limits", "read_stream": ".streaming.ingest", "register": ".sources.reader",
 }
 __all__ = sorted(_HOME)
 

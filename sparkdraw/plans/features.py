@@ -14,6 +14,7 @@ from ..functions import geometry as G
 from ..operators import polylines
 from ..operators.decode import DIMENSIONS
 from ..operators.resolve import KEY
+from ..sources import reader
 from ..sources.limits import Limits
 from ..storage import shared_dir
 from . import synth as S
@@ -625,3 +626,17 @@ def q75_spline_at(spark, sf_dir):
     n = F.floor(c("entity_id") / 100)
     at = rows.select(n.alias("vec_id"), G.evaluate((n % 63).cast("double") + 0.25).alias("p"))
     return at.select("vec_id", F.round("p.x", 6).alias("x"), (F.round("p.y", 6) + 0.0).alias("y"))
+
+
+@query("""SELECT s_suppkey, 'CIR' AS record_type, CAST(s_suppkey % 1000 AS BIGINT) AS center FROM supplier""")
+def q76_source_records(spark, sf_dir):
+    """Records of a type through the data source, over files in folders of folders."""
+    t, k = table(spark, sf_dir, "supplier"), c("s_suppkey")
+    d = many_drawings(k)
+    made = S.drawings(S.rows(t, d, 61, 61, k, S.p(k * 2 + 1, 0, 0)), S.rows(t, d, 62, 62, k, S.cir(k * 2 + 2, k % 1000, 1)), end="##~~")
+    path = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    texts = made.select(c(KEY).alias("folder"), c("content").cast("string").alias("value"))
+    texts.repartition("folder").write.partitionBy("folder").text(path)
+    reader.register(spark)
+    rows = spark.read.format("drawings").options(table="records", mode="FAILFAST", pathGlobFilter="part-*").load(path).where("record_type = 'CIR'")
+    return rows.select(((c("entity_id") - 2) / 2).cast("bigint").alias("s_suppkey"), "record_type", F.get("fields", F.lit(7)).cast("bigint").alias("center"))

@@ -342,7 +342,7 @@ def _sparse(schema: pa.Schema, n: int, have: dict[str, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(have[f.name], f.type) if f.name in have else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
-def _opened(data: bytes | None, size: int, limits: Limits) -> tuple[bytes, str | None, dict]:
+def drawing_bytes(data: bytes | None, size: int, limits: Limits) -> tuple[bytes, str | None, dict]:
     """The logical bytes, the envelope and the format."""
     if data is None:
         if size is not None and size > limits.max_file_size:
@@ -385,7 +385,7 @@ def scan(df: DataFrame, limits: Limits, failfast: bool, range_size: int = RANGE)
 
     def one(who: str, data: bytes | None, size: int) -> Iterator[pa.RecordBatch]:
         try:
-            logical, envelope, head = _opened(data, size, limits)
+            logical, envelope, head = drawing_bytes(data, size, limits)
             if len(logical) > range_size:
                 for part, (a, b) in enumerate(cuts(logical, range_size)):
                     piece = {"part": part, "content": logical[a:b], "container_size": len(data), "compression": envelope}
@@ -449,7 +449,7 @@ def lines(df: DataFrame, limits: Limits, range_size: int = RANGE) -> DataFrame:
         for batch in batches:
             for who, data, size in zip(*[batch.column(c) for c in ("drawing_id", "content", "size")], strict=True):
                 try:
-                    logical, _, _ = _opened(data.as_py(), size.as_py(), limits)
+                    logical, _, _ = drawing_bytes(data.as_py(), size.as_py(), limits)
                     if len(logical) > range_size:
                         continue
                     frame = Frame(logical, limits)
