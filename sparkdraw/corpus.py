@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from .errors import CLASSES
 from .functions import text as codecs
 from .functions.geometry import apply
-from .operators import audit, decode, diagnostics, polylines, query, resolve, structure
+from .operators import audit, decode, diagnostics, polylines, query, raster, resolve, structure
 from .operators import encoding as encodings
 from .operators.polylines import CURVE_SEGMENTS
 from .operators.resolve import KEY
@@ -389,6 +389,12 @@ class Corpus:
     def skipped(self, segments: int = CURVE_SEGMENTS) -> DataFrame:
         return polylines.skipped(self.polylines(segments), self.texts)
 
+    def previews(self, width: int = raster.WIDTH, height: int = raster.HEIGHT, segments: int = CURVE_SEGMENTS, expand: bool = False, strict: bool = True, points: bool = False, texts: bool = True, **look) -> DataFrame:
+        """(drawing_id, width, height, png): an image a drawing, painted on the executors; a drawing that shows nothing has no row. Texts are strokes along their baselines; ``look`` is as in ``raster.painted``."""
+        shown = self.marks(expand, strict).where(F.when(F.col("mi_type") == "P", points).otherwise(texts)) if points or texts else None
+        strokes = raster.strokes(self.polylines(segments, expand, strict), shown)
+        return raster.images(raster.painted(strokes, width=width, height=height, **look), width, height)
+
     def draw(self, path: str, drawing_id: str, segments: int = CURVE_SEGMENTS, expand: bool = False, strict: bool = True, points: bool = False, texts: bool = True, **look) -> None:
         """A PNG of one drawing; what it leaves out is summed up in a warning for each reason."""
         of = lambda df: df.where(F.col(KEY) == drawing_id)

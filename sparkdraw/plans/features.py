@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import corpus
 from ..functions import geometry as G
-from ..operators import polylines
+from ..operators import polylines, raster
 from ..operators.decode import DIMENSIONS
 from ..operators.resolve import KEY
 from ..sources import reader
@@ -640,3 +640,17 @@ def q76_source_records(spark, sf_dir):
     reader.register(spark)
     rows = spark.read.format("drawings").options(table="records", mode="FAILFAST", pathGlobFilter="part-*").load(path).where("record_type = 'CIR'")
     return rows.select(((c("entity_id") - 2) / 2).cast("bigint").alias("s_suppkey"), "record_type", F.get("fields", F.lit(7)).cast("bigint").alias("center"))
+
+
+@query("""WITH r AS (SELECT c_custkey // 1000 AS drawing, c_custkey % 90 AS y, max(c_nationkey) AS x FROM customer GROUP BY ALL)
+          SELECT drawing, CAST(sum(x + 1) AS BIGINT) AS painted, CAST(100 AS BIGINT) AS width, CAST(90 AS BIGINT) AS height FROM r GROUP BY drawing""")
+def q77_preview_images(spark, sf_dir):
+    """Images of horizontal lines, some on top of others: painted pixels, and sizes as the PNG's header says."""
+    t, k = table(spark, sf_dir, "customer"), c("c_custkey") * 3
+    d = many_drawings(c("c_custkey"))
+    ends = F.concat(S.p(k + 1, 0, c("c_custkey") % 90), S.p(k + 2, c("c_nationkey"), c("c_custkey") % 90))
+    shapes = read(spark, S.rows(t, d, 61, 61, k, ends), S.rows(t, d, 62, 62, k, S.lin(k + 3, k + 1, k + 2))).polylines(2)
+    pixels = raster.painted(raster.strokes(shapes), (0, 0, 99, 89), width=100, height=90, margin=0)
+    size = lambda at: F.conv(F.hex(F.substring("png", at, 4)), 16, 10).cast("bigint")
+    heads = raster.images(pixels, 100, 90).select(KEY, size(17).alias("width"), size(21).alias("height"))
+    return pixels.groupBy(KEY).agg(F.count("*").alias("painted")).join(heads, KEY).select(c(KEY).cast("bigint").alias("drawing"), "painted", "width", "height")
