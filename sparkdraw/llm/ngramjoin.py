@@ -4,9 +4,10 @@ A text's set has its distinct shingles of four words. Under any order of all tok
 the threshold share a token among the first n - ceil(t n) + 1 of each: their prefixes. ORDERS orders put
 seldom tokens first, each by other counters, so prefixes differ from order to order. Prefix tokens of the
 first order name buckets; pairs that meet there, and whose sizes and places let them reach the threshold,
-are candidates. Those whose prefixes do not also meet under every other order are dropped; the rest is
-verified on the full sets. No step loses a linked pair: each filter is a necessary condition, whatever the
-orders are. The counters are LOADS slots an order that tokens are hashed to, so their size is fixed
+are candidates. Sketches of the sets, a bit for a hash or two, put aside most that fall short of the
+threshold. Sets are built for the rest alone: pairs whose prefixes do not also meet under every other order
+are dropped, what is left is verified on the full sets. No step loses a linked pair: each filter is a
+necessary condition, whatever the orders are. The counters are LOADS slots an order that tokens are hashed to, so their size is fixed
 (tokens that share a slot only make an order less sharp), and they cover all rows.
 
 Texts with equal sets form a class with one row in all further steps. ``near_copies`` links buckets first
@@ -73,6 +74,22 @@ def prefix(hashes: np.ndarray, loads: np.ndarray, order: int) -> np.ndarray:
     return hashes[np.argsort(loads[order][_slots(hashes, order)], kind="stable")[:first]]
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """A bit a slot: whether an odd number of the set's hashes fall there. Slots are a power of two, as many as hashes at least."""
+    slots = max(64, 1 << (len(hashes) - 1).bit_length())
+    found = np.zeros(slots, np.uint8)
+    np.add.at(found, (hashes & np.uint64(slots - 1)).astype(np.int64), np.uint8(1))
+    return np.packbits(found & np.uint8(1)).tobytes()
+
+
+def unshared(x: np.ndarray, y: np.ndarray) -> int:
+    """So many hashes at least are in one of two sets only, by their sketches as 64-bit words: a hash that both have changes no bit between them."""
+    x, y = sorted((x, y), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def loads(docs: DataFrame) -> np.ndarray:
     """ORDERS rows of LOADS counters over the sets of all texts; this many numbers reach the driver, whatever the input."""
 
@@ -95,8 +112,8 @@ def loads(docs: DataFrame) -> np.ndarray:
 
 
 def _read(docs: DataFrame, shared) -> DataFrame:
-    """(doc_id, n_shingles, name, first): name is the set's, first its prefix under the first order."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("name", T.BinaryType()), T.StructField("first", T.ArrayType(T.LongType()))])
+    """(doc_id, n_shingles, name, first, sketch): name and sketch are the set's, first its prefix under the first order."""
+    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, t) for n, t in (("n_shingles", T.LongType()), ("name", T.BinaryType()), ("first", T.ArrayType(T.LongType())), ("sketch", T.BinaryType()))]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -105,10 +122,8 @@ def _read(docs: DataFrame, shared) -> DataFrame:
                 memo = Words()
                 found = [shingles(t or "", memo) for t in part.column("text").to_pylist()]
                 firsts = [prefix(h, known, 0).view(np.int64) if len(h) else None for h in found]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(h) for h in found], pa.int64()), pa.array([_name(h.tobytes()) if len(h) else None for h in found], pa.binary()), pa.array(firsts, pa.list_(pa.int64()))],
-                    names=schema.names,
-                )
+                names, sketches = (pa.array([f(h) if len(h) else None for h in found], pa.binary()) for f in (lambda h: _name(h.tobytes()), sketch))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(h) for h in found], pa.int64()), names, pa.array(firsts, pa.list_(pa.int64())), sketches], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -171,6 +186,23 @@ def _plausible(x: str, y: str) -> F.Column:
     return left * (100 + SHARE) >= (F.col(f"{x}.n") + F.col(f"{y}.n")) * SHARE
 
 
+def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches let them reach the threshold."""
+    side = lambda end: classes.select(F.col("node").alias(end), F.col("n").alias(f"{end}_n"), F.col("sketch").alias(f"{end}_sketch"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sketches = ([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(f"{end}_sketch")] for end in "ab")
+            least = np.array([unshared(x, y) for x, y in zip(*sketches, strict=True)], np.int64)
+            both = batch.column("a_n").to_numpy().astype(np.int64) + batch.column("b_n").to_numpy()
+            # Of sizes that add up to ``both``, less unshared hashes leave a larger intersection and a smaller union.
+            keep = pa.array(least * (100 + SHARE) <= both * (100 - SHARE), pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(end).filter(keep) for end in "ab"], names=["a", "b"])
+
+    # Sketches are dealt out by node, then with the pair.
+    return pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, shared, total) of the pairs (a, b) that meet under every other order and reach the threshold."""
     side = lambda end, *more: sets.select(F.col("node").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in more])
@@ -204,7 +236,7 @@ class _Join:
         self.rows = staged(_read(self.docs, self.shared), "rows")
         # Aggregated before it is dealt out: a class can hold a third of all rows.
         found = self.rows.where("n_shingles > 0").groupBy("name")
-        found = found.agg(F.min("doc_id").alias("lead"), F.first("n_shingles").cast("int").alias("n"), F.first("first").alias("first"))
+        found = found.agg(F.min("doc_id").alias("lead"), F.first("n_shingles").cast("int").alias("n"), F.first("first").alias("first"), F.first("sketch").alias("sketch"))
         # Numbers stay as they are once the table is written. Prefixes go once they are dealt out.
         wide = staged(found.withColumn("node", F.monotonically_increasing_id()), "classes")
         self.rows, spent = staged(self.rows.select("doc_id", "n_shingles", "name"), "rows"), self.rows
@@ -217,7 +249,7 @@ class _Join:
         met = met.withColumns({"met": F.count("*").over(own), "before": F.lag("token").over(own.orderBy("at"))})
         self.members = staged(met.select("token", F.struct("met", "node", "n", "at", "before").alias("m")), "members")
         bitmap.unpersist()
-        self.classes = staged(wide.select("node", "name", "lead"), "classes")
+        self.classes = staged(wide.select("node", "name", "lead", "n", "sketch"), "classes")
         discard(busy, wide)
 
     def sets_of(self, nodes: DataFrame) -> DataFrame:
@@ -261,9 +293,10 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     pairs = pairs.groupBy(F.col("m.node").alias("node"), F.col("c.node").alias("centre")).agg(F.count("*").alias("common"), F.max("c.met").alias("met"))
     best = pairs.groupBy("node").agg(F.max(F.struct("common", "met", "centre")).alias("best"))
     edges = staged(best.select(F.least("node", "best.centre").alias("a"), F.greatest("node", "best.centre").alias("b")).distinct(), "edges")
-    sets = join.sets_of(_ends(edges))
-    links = staged(_verified(edges, sets).select("a", "b"), "links")
-    discard(sets)
+    near = staged(_possible(edges, classes), "near")
+    sets = join.sets_of(_ends(near))
+    links = staged(_verified(near, sets).select("a", "b"), "links")
+    discard(near, sets)
     labels = connected_components(links)
 
     # Pairs between components of a bucket; its largest component is compared with the others, not with itself.
@@ -274,7 +307,8 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     open_ = staged(placed.join(mixed.hint("merge"), "token"), "open")
     outside = open_.where("part <> main").select("token", F.col("m").alias("x"), F.col("part").alias("px"))
     others = open_.select("token", F.col("m").alias("y"), F.col("part").alias("py"))
-    more = staged(join.between(outside, others, F.col("px") != F.col("py")).join(edges, ["a", "b"], "left_anti"), "edges")
+    more = join.between(outside, others, F.col("px") != F.col("py")).join(edges, ["a", "b"], "left_anti")
+    more = staged(_possible(more, classes), "near")
     discard(open_)
     spent = [edges, more, links, labels]
     if not more.isEmpty():
@@ -309,7 +343,7 @@ def similar_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     join = _Join(df, id_col, text_col)
     x, y = (join.members.select("token", F.col("m").alias(end)) for end in "xy")
-    edges = staged(join.between(x, y, F.col("x.node") < F.col("y.node")), "edges")
+    edges = staged(_possible(join.between(x, y, F.col("x.node") < F.col("y.node")), join.classes), "near")
     sets = join.sets_of(_ends(edges))
     lead = lambda end: join.classes.select(F.col("node").alias(end), F.col("lead").alias(f"{end}_lead"))
     links = _verified(edges, sets).join(lead("a"), "a").join(lead("b"), "b")
