@@ -196,7 +196,8 @@ def framed(ranges: DataFrame, limits: Limits, failfast: bool) -> DataFrame:
                     if row["part"] == 0:
                         yield told(S.error_row(row[KEY], row["container_size"], bad), 0, False)
                     continue
-                for some in S.rows_of(row[KEY], frame, [], None, head):
+                out = S.Gathered()
+                for some in (*out.add(row[KEY], frame, [], None, head), *out.rest()):
                     yield told(some, row["part"], False)
                 if frame.sections:
                     n = len(frame.sections)

@@ -38,6 +38,8 @@ FRAMED_SECTIONS = frozenset((41, 42, 5, 61, 62, 63, 71, 72, 81, 82))
 FIELD_SECTIONS = frozenset((1, 2, 3, 6))
 TEXT_TYPES = frozenset(("TEX", "ASSP", "DTA", "DTV", "ASSE", "DANG", "DCHMF", "DDIA", "DRAD", "DSGL"))
 RECORDS_A_BATCH = 20_000
+#: Drawings of so many bytes share a batch.
+BYTES_A_BATCH = 1 << 20
 #: Drawings with more bytes are cut into ranges of about as many.
 RANGE = 16 << 20
 
@@ -358,53 +360,93 @@ def drawing_bytes(data: bytes | None, size: int, limits: Limits) -> tuple[bytes,
         raise
 
 
-def rows_of(who: str, frame: Frame, sections: list[dict], seen: dict[int, int] | None, head: tuple[dict, list[dict]] | None) -> Iterator[pa.RecordBatch]:
-    """SCAN_SCHEMA batches of a stretch; head: the drawing's row and remarks, with its first stretch."""
-    schema = to_arrow_schema(SCAN_SCHEMA)
-    notes = frame.diagnostics
-    if head is not None:
-        yield _sparse(schema, 1, {"drawing_id": [who], "row": ["drawing"], "drawing": [head[0]]})
-        notes = notes + head[1]
-    for kind, rows in (("section", sections), ("diagnostic", notes)):
-        if rows:
-            yield _sparse(schema, len(rows), {"drawing_id": [who] * len(rows), "row": [kind] * len(rows), kind: rows})
-    for i in range(0, len(frame.records), RECORDS_A_BATCH):
-        cols = frame.record_columns(i, i + RECORDS_A_BATCH, seen)
-        n = len(cols[0])
-        yield _sparse(schema, n, {"drawing_id": [who] * n, "row": ["record"] * n} | dict(zip([f.name for f in RECORD], cols, strict=True)))
+class Gathered:
+    """Rows of SCAN_SCHEMA of drawings one after another, as batches of one row kind: to make a batch costs more than to frame a small drawing."""
+
+    def __init__(self):
+        self.schema, self.names = to_arrow_schema(SCAN_SCHEMA), [f.name for f in RECORD]
+        self._begin()
+
+    def _begin(self) -> None:
+        self.own: dict[str, tuple[list[str], list[dict]]] = {kind: ([], []) for kind in ("drawing", "section", "diagnostic", "range")}
+        self.who: list[str] = []
+        self.records: list[list] = [[] for _ in RECORD]
+        self.size = 0
+
+    def one(self, kind: str, who: str, rows: list[dict]) -> None:
+        keys, values = self.own[kind]
+        keys += [who] * len(rows)
+        values += rows
+
+    def add(self, who: str, frame: Frame, sections: list[dict], seen: dict[int, int] | None, head: tuple[dict, list[dict]] | None) -> Iterator[pa.RecordBatch]:
+        """A stretch, and the batches that are full then; head: the drawing's row and remarks, with its first stretch."""
+        if head is not None:
+            self.one("drawing", who, [head[0]])
+            self.one("diagnostic", who, head[1])
+        self.one("diagnostic", who, frame.diagnostics)
+        self.one("section", who, sections)
+        for i in range(0, len(frame.records), RECORDS_A_BATCH):
+            cols = frame.record_columns(i, i + RECORDS_A_BATCH, seen)
+            if len(self.who) + len(cols[0]) > RECORDS_A_BATCH:
+                yield from self.rest()
+            self.who += [who] * len(cols[0])
+            for have, more in zip(self.records, cols, strict=True):
+                have += more
+        yield from self.full(len(frame.data))
+
+    def full(self, more: int) -> Iterator[pa.RecordBatch]:
+        """The batches, once they hold many rows, or rows of many bytes."""
+        self.size += more
+        if self.size >= BYTES_A_BATCH or len(self.who) + sum(len(keys) for keys, _ in self.own.values()) >= RECORDS_A_BATCH:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        own, who, records = self.own, self.who, self.records
+        self._begin()
+        for kind, (keys, rows) in own.items():
+            if keys:
+                yield _sparse(self.schema, len(keys), {"drawing_id": keys, "row": [kind] * len(keys), kind: rows})
+        if who:
+            yield _sparse(self.schema, len(who), {"drawing_id": who, "row": ["record"] * len(who)} | dict(zip(self.names, records, strict=True)))
+
+
+def failed(size: int, bad: DrawingError) -> dict:
+    """The row of a drawing that cannot be read."""
+    return {f.name: None for f in DRAWING} | {"container_size": size, "error": {"class": type(bad).__name__, "message": str(bad)}}
 
 
 def error_row(who: str, size: int, bad: DrawingError) -> pa.RecordBatch:
-    error = {f.name: None for f in DRAWING} | {"container_size": size, "error": {"class": type(bad).__name__, "message": str(bad)}}
-    return _sparse(to_arrow_schema(SCAN_SCHEMA), 1, {"drawing_id": [who], "row": ["drawing"], "drawing": [error]})
+    return _sparse(to_arrow_schema(SCAN_SCHEMA), 1, {"drawing_id": [who], "row": ["drawing"], "drawing": [failed(size, bad)]})
 
 
 def scan(df: DataFrame, limits: Limits, failfast: bool, range_size: int = RANGE) -> DataFrame:
     """Rows of SCAN_SCHEMA for drawings (drawing_id, content, size). A drawing that fails has its error, or raises; one of more than ``range_size`` bytes has its ranges."""
-    schema = to_arrow_schema(SCAN_SCHEMA)
 
-    def one(who: str, data: bytes | None, size: int) -> Iterator[pa.RecordBatch]:
+    def one(out: Gathered, who: str, data: bytes | None, size: int) -> Iterator[pa.RecordBatch]:
         try:
             logical, envelope, head = drawing_bytes(data, size, limits)
             if len(logical) > range_size:
                 for part, (a, b) in enumerate(cuts(logical, range_size)):
-                    piece = {"part": part, "content": logical[a:b], "container_size": len(data), "compression": envelope}
-                    yield _sparse(schema, 1, {"drawing_id": [who], "row": ["range"], "range": [piece]})
+                    out.one("range", who, [{"part": part, "content": logical[a:b], "container_size": len(data), "compression": envelope}])
+                    yield from out.full(b - a)
                 return
             frame = Frame(logical, limits)
             check_totals(limits, lines=len(frame.starts), widest=frame.widest, sections=len(frame.sections))
         except DrawingError as bad:
             if failfast:
                 raise
-            yield error_row(who, size, bad)
+            out.one("drawing", who, [failed(size, bad)])
+            yield from out.full(0)
             return
         row = drawing_row(head, envelope, len(data), len(logical), frame.counts, frame.preamble, frame.terminator)
-        yield from rows_of(who, frame, [section_row(p) for p in frame.sections], {}, (row, whole_notes(row)))
+        yield from out.add(who, frame, [section_row(p) for p in frame.sections], {}, (row, whole_notes(row)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Gathered()
         for batch in batches:
             for who, data, size in zip(*[batch.column(c) for c in ("drawing_id", "content", "size")], strict=True):
-                yield from one(who.as_py(), data.as_py(), size.as_py())
+                yield from one(out, who.as_py(), data.as_py(), size.as_py())
+        yield from out.rest()
 
     return df.select("drawing_id", "content", "size").mapInArrow(run, SCAN_SCHEMA)
 
