@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -40,6 +41,8 @@ TEXT_TYPES = frozenset(("TEX", "ASSP", "DTA", "DTV", "ASSE", "DANG", "DCHMF", "D
 RECORDS_A_BATCH = 20_000
 #: Drawings of so many bytes share a batch.
 BYTES_A_BATCH = 1 << 20
+#: Fewer bytes have few lines.
+SMALL = 2048
 #: Drawings with more bytes are cut into ranges of about as many.
 RANGE = 16 << 20
 
@@ -87,6 +90,8 @@ def _span(offset: int, length: int, start: int, end: int) -> dict:
 
 def _lines_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end (with its line ending) of each line, and the index of its ending in _ENDINGS."""
+    if len(data) < SMALL and b"\r" not in data:
+        return _few_lines(data)
     b = np.frombuffer(data, np.uint8)
     lf, cr = b == 10, b == 13
     pair = np.zeros(len(b), bool)
@@ -101,6 +106,19 @@ def _lines_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(([0], ends[:-1])).astype(np.int64) if len(ends) else np.zeros(0, np.int64), ends.astype(np.int64), kind
 
 
+def _few_lines(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_lines_of a small drawing whose lines end in line feeds, for which array operations have more overhead than work."""
+    ends = list(accumulate(len(x) + 1 for x in data.split(b"\n")))
+    kind = np.zeros(len(ends), np.int64)
+    # What follows the last line feed is a line if there is something.
+    ends[-1] -= 1
+    kind[-1] = 3
+    if not data or data.endswith(b"\n"):
+        ends.pop()
+        kind = kind[:-1]
+    return np.array([0, *ends][: len(ends)], np.int64), np.array(ends, np.int64), kind
+
+
 def _split(raw: bytes) -> list[str]:
     """Lines of raw as strings of one character a byte, without the empty one after a final line end."""
     text = raw.decode("latin-1")
