@@ -19,6 +19,8 @@ BLANK = " \t\n\f\r"
 _UNSIGNED = r"^\+?[0-9]+$"
 _SIGNED = r"^[+-]?[0-9]+$"
 _FLOAT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+#: Numbers of _FLOAT that cannot be too large for a double.
+_SMALL = r"^[+-]?([0-9]{1,300}(\.[0-9]*)?|\.[0-9]+)$"
 
 
 def trimmed(x: Column) -> Column:
@@ -39,8 +41,8 @@ def signed(x: Column) -> Column:
 def finite(x: Column) -> Column:
     """A finite decimal number; else null."""
     t = trimmed(x)
-    value = F.when(t.rlike(_FLOAT), t.try_cast("double"))
-    return F.when(F.abs(value) < float("inf"), value)
+    value = t.try_cast("double")
+    return F.when(t.rlike(_SMALL), value).when(t.rlike(_FLOAT), F.when(F.abs(value) < float("inf"), value))
 
 
 def flag(x: Column) -> Column:

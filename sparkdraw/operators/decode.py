@@ -84,8 +84,8 @@ def _only(found: Column) -> Column:
 
 
 def _starts() -> Column:
-    """Both places at which content can start: after a property list counted at field 5, or at field 6."""
-    return F.array_distinct(F.array_compact(F.array(f.count(5) + 6, f.count(6) + 7)))
+    """Both places at which content can start."""
+    return F.array_distinct(F.array_compact(F.array(F.col("legacy__"), F.col("modern__"))))
 
 
 def content_starts() -> dict[tuple[str, ...], Column]:
@@ -99,7 +99,7 @@ def content_starts() -> dict[tuple[str, ...], Column]:
             lambda k: (f.u(start).between(1, 9)) & (k > 0) & (at + 1 + 2 * k == n) & F.forall(F.sequence(F.lit(0), k - 1), lambda j: F.coalesce(signed(F.get(f.array, at + 2 + 2 * j)) == 0, F.lit(False))),
         )
 
-    legacy, modern = f.count(5) + 6, f.count(6) + 7
+    legacy, modern = F.col("legacy__"), F.col("modern__")
     text = F.when(n >= 30, _only(F.array_compact(F.array(F.when(text_fits(legacy, 20), legacy * 2), F.when(text_fits(modern, 21), modern * 2 + 1)))))
     leader = _only(F.filter(_starts(), lambda s: F.coalesce(let(f.count(s + 2), lambda k: (k > 0) & (s + 3 + 3 * k == n)), F.lit(False))))
     contour = _only(F.filter(_starts(), lambda s: F.coalesce(let(f.count(s + 2), lambda k: (k > 0) & (s + 3 + k == n)), F.lit(False))))
@@ -144,8 +144,8 @@ def _spline_starts() -> Column:
 def graphic_header() -> Column:
     """Style and properties of a record whose content starts at ``start``; null if no single header ends there."""
     start = F.col("start")
-    legacy = F.coalesce(f.count(5) + 6 == start, F.lit(False))
-    modern = F.coalesce(f.count(6) + 7 == start, F.lit(False))
+    legacy = F.coalesce(F.col("legacy__") == start, F.lit(False))
+    modern = F.coalesce(F.col("modern__") == start, F.lit(False))
     first = F.when(legacy, 6).otherwise(7)
     ids = f.us(first, start - first)
     good = _all(legacy != modern, _ok(f.i(2), f.i(3), f.f(4)), F.when(legacy, f.i(4).isNotNull()).otherwise(f.i(5).isNotNull()), F.size(ids) == start - first, whole(ids))
@@ -214,18 +214,30 @@ def _alignment(code: Column) -> tuple[Column, Column]:
     return F.get(across, ((code - 1) % 3).cast("int")), F.get(up, F.floor((code - 1) / 3).cast("int"))
 
 
-def text() -> Column:
-    """TEX; ``start`` is doubled, and odd for the modern layout."""
-    s, modern = (F.col("start0") / 2).cast("int"), F.col("start0") % 2 == 1
-    shift = F.when(modern, 1).otherwise(0)
-    matrix, sizes = f.fs(s + 1, 9), f.fs(s + 15 + shift, 2)
+def _text_places() -> tuple[Column, Column, Column]:
+    """Where a TEX's content starts, whether its layout is modern, and how far that moves its last fields; ``start0`` is doubled, and odd for the modern layout."""
+    modern = F.col("start0") % 2 == 1
+    return (F.col("start0") / 2).cast("int"), modern, F.when(modern, 1).otherwise(0)
+
+
+def text_readings() -> dict[str, Column]:
+    """What text() reads of a TEX many times."""
+    s, _, shift = _text_places()
     count = f.count(s + 20 + shift)
+    lines = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda j: text_value(s + 21 + shift + 2 * j))
+    made = {"align__": f.u(s), "matrix__": f.fs(s + 1, 9), "sizes__": f.fs(s + 15 + shift, 2), "spacing__": f.f(s + 18 + shift), "lines__": lines}
+    return {name: F.when(TYPE == "TEX", value) for name, value in made.items()}
+
+
+def text() -> Column:
+    """TEX, from text_readings()."""
+    s, modern, _ = _text_places()
+    matrix, sizes, lines, spacing = (F.col(n) for n in ("matrix__", "sizes__", "lines__", "spacing__"))
     near = lambda i, to: F.abs(F.get(matrix, F.lit(i)) - to) <= 1e-12
     good = _all(
-        F.col("graphic").isNotNull(), F.size(matrix) == 9, whole(matrix), near(6, 0.0), near(7, 0.0), near(8, 1.0), F.size(sizes) == 2, whole(sizes), F.forall(sizes, lambda v: v > 0), f.f(s + 18 + shift).isNotNull()
+        F.col("graphic").isNotNull(), F.size(matrix) == 9, whole(matrix), near(6, 0.0), near(7, 0.0), near(8, 1.0), F.size(sizes) == 2, whole(sizes), F.forall(sizes, lambda v: v > 0), spacing.isNotNull()
     )
-    lines = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda j: text_value(s + 21 + shift + 2 * j))
-    align = f.u(s)
+    align = F.col("align__")
     h, v = _alignment(align)
     m = lambda i: F.get(matrix, F.lit(i))
     det = m(0) * m(4) - m(1) * m(3)
@@ -235,7 +247,7 @@ def text() -> Column:
             align.alias("alignment"), h.alias("horizontal"), v.alias("vertical"),
             matrix.alias("transform_values"), _point(m(2), m(5)).alias("origin"), F.pmod(F.atan2(m(3), m(0)), F.lit(2 * math.pi)).alias("rotation"), (F.get(sizes, F.lit(0)) / F.get(sizes, F.lit(1))).alias("width_factor"), (det < 0).alias("mirrored"),
             text_value(s + 12).alias("font_name"), F.when(modern, text_value(s + 13)).alias("alternate_font_name"), sizes.alias("size_values"), F.get(sizes, F.lit(1)).alias("height"),
-            f.f(s + 18 + shift).alias("line_spacing"), lines.alias("lines"), F.get(lines, F.lit(0)).alias("content"),
+            spacing.alias("line_spacing"), lines.alias("lines"), F.get(lines, F.lit(0)).alias("content"),
             F.when(~F.exists(lines, lambda x: x.text.isNull()), F.array_join(F.transform(lines, lambda x: x.text), "\n")).alias("text"), _values(),
         ),
     )
@@ -287,7 +299,7 @@ def tolerance() -> Column:
     )
 
 
-def leader() -> Column:
+def leader_readings() -> dict[str, Column]:
     s = F.col("start")
     k = f.count(s + 2)
 
@@ -295,7 +307,12 @@ def leader() -> Column:
         at = s + 3 + 3 * j
         return F.struct(f.f(at).alias("x"), f.f(at + 1).alias("y"), f.f(at + 2).alias("elevation"))
 
-    points = F.transform(F.sequence(F.lit(0), F.greatest(k - 1, F.lit(0))), vertex)
+    return {"vertices__": F.when(TYPE == "LED", F.transform(F.sequence(F.lit(0), F.greatest(k - 1, F.lit(0))), vertex))}
+
+
+def leader() -> Column:
+    """LED, from leader_readings()."""
+    s, points = F.col("start"), F.col("vertices__")
     good = _all(F.col("graphic").isNotNull(), f.i(s).isNotNull(), f.f(s + 1) > 0, F.forall(points, lambda p: p.x.isNotNull() & p.y.isNotNull() & p.elevation.isNotNull()))
     return F.when((TYPE == "LED") & good, F.struct(f.i(s).alias("arrow_type"), f.f(s + 1).alias("arrow_size"), points.alias("points"), _values()))
 
@@ -405,6 +422,9 @@ DECODERS = {
 }
 
 
+#: What decoders read many times is a column of its own, as an expression is evaluated wherever it stands.
+READINGS = {"text": text_readings, "leader": leader_readings}
+
 #: Record types with a decoder, and the variant column of each kind.
 KNOWN = frozenset(t for types in KINDS.values() for t in types)
 VARIANT = {kind: "arc" if kind == "fillet" else kind for kind in KINDS}
@@ -416,7 +436,7 @@ def _session_cache() -> dict:
     context = SparkContext._active_spark_context
     if context not in _built:
         _built.clear()
-        _built[context] = {"starts": content_starts(), "graphic": graphic_header(), "types": None} | {name: build() for name, build in DECODERS.items()}
+        _built[context] = {"starts": content_starts(), "graphic": graphic_header(), "types": None, "readings": {name: read() for name, read in READINGS.items()}} | {name: build() for name, build in DECODERS.items()}
     return _built[context]
 
 
@@ -426,9 +446,13 @@ def _variants(records: DataFrame, names: list[str], made: dict, types: set[str]
     for group, start in made["starts"].items():
         if have := [t for t in group if t in types]:
             start0 = start0.when(TYPE.isin(*have), start)
-    base = records.where(F.col("entity_id").isNotNull()).withColumn("start0", start0)
+    # Content starts after a property list counted at field 5, or at field 6.
+    headed = [t for group in made["starts"] for t in group if t in types]
+    after = lambda i: F.when(TYPE.isin(*headed), f.count(i) + i + 1) if headed else F.lit(None).cast("int")
+    base = records.where(F.col("entity_id").isNotNull()).withColumns({"legacy__": after(5), "modern__": after(6)}).withColumn("start0", start0)
     start = F.when(TYPE == "TEX", (F.col("start0") / 2).cast("int")).otherwise(F.col("start0"))
-    return base.withColumn("start", start).withColumn("graphic", made["graphic"]).withColumns({name: made[name] for name in names})
+    readings = {n: x for name in names for n, x in made["readings"].get(name, {}).items()}
+    return base.withColumn("start", start).withColumn("graphic", made["graphic"]).withColumns(readings).withColumns({name: made[name] for name in names})
 
 
 def present_types(records: DataFrame) -> set[str]:
